@@ -74,7 +74,7 @@ def ids(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def mail(bucket: np.ndarray, block: int, columns: dict[str, pa.Array]) -> Iterator[tuple[int, int, bytes]]:
-    """One packed row for each bucket; bucket must be sorted and columns in its order. Position in a bucket's row is at."""
+    """One packed row for each bucket; bucket must be sorted and columns in its order. at is the place in that order."""
     at = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(bucket)] if len(bucket) else [0]
     whole = pa.table({"at": pa.array(np.arange(len(bucket), dtype=np.int32)), **columns})
     for lo, hi in zip(at, at[1:]):

@@ -81,7 +81,7 @@ def removed_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts
         whole = pa.concat_tables([t for _, t in got])
         source = np.repeat(np.arange(len(got)), [t.num_rows for _, t in got])
         doc, at = whole.column("doc").to_numpy(), whole.column("at").to_numpy()
-        words = T.Words(*T.strings(whole.column("words").cast(pa.large_string())))
+        words = T.Words(*T.strings(whole.column("words")))
         valid = np.flatnonzero(words.whole(window))
         string = np.searchsorted(words.first, valid, "right") - 1
         hashes = words.grams(window)[valid]
