@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, jaccard, suffixes, superkmers
+from . import bpe, decontam, fingerprints, jaccard, language, quality, sharding, suffixes, superkmers
 
 #: The tokenizer of the third operator's query.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +31,22 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(table(spark, sf_dir, "documents"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,5 +55,5 @@ def op10_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmers.removed_words(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_bpe, op9_jaccard_join, op10_superkmer_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_bpe, op4_jump_sharding, op5_language_id, op6_fingerprints, op7_quality, op9_jaccard_join, op10_superkmer_dedup)}
 ORACLE_SQL: dict[str, str] = {}
