@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, fingerprints, jaccard, language, quality, sharding, suffixes, superkmers
+from . import bpe, decontam, fingerprints, jaccard, language, quality, sharding, suffixes, superkmers, toxicity
 
 #: The tokenizer of the third operator's query.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -47,6 +47,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,5 +59,5 @@ def op10_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmers.removed_words(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_bpe, op4_jump_sharding, op5_language_id, op6_fingerprints, op7_quality, op9_jaccard_join, op10_superkmer_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_bpe, op4_jump_sharding, op5_language_id, op6_fingerprints, op7_quality, op8_toxicity, op9_jaccard_join, op10_superkmer_dedup)}
 ORACLE_SQL: dict[str, str] = {}
