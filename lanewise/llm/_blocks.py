@@ -12,8 +12,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 #: Bytes of text in a block: what one task holds at a time.
 BLOCK_BYTES = 4 << 20
@@ -40,10 +42,13 @@ def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     return max(1, -(-total // block_bytes))
 
 
-def packed(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id and text in n blocks, as compressed payloads dealt by block."""
+def packed(docs: DataFrame, n: int, whole: bool = False) -> DataFrame:
+    """doc_id and text in n blocks, as compressed payloads dealt by block; with whole, all columns after these two."""
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block")
 
+    rest = {f"c{k}": c for k, c in enumerate(docs.columns) if whole and c not in ("doc_id", "text")}
+    names = ["doc_id", "text", *rest]
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -53,10 +58,10 @@ def packed(docs: DataFrame, n: int) -> DataFrame:
             own, batch = own[order], batch.take(pa.array(order))
             at = [0, *(np.flatnonzero(np.diff(own)) + 1), len(own)]
             for lo, hi in zip(at, at[1:]):
-                row = pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo)], ["doc_id", "text"])
+                row = pa.RecordBatch.from_arrays([c.slice(lo, hi - lo) for c in batch.columns[1:]], names)
                 yield pa.RecordBatch.from_arrays([pa.array([own[lo]], pa.int32()), pa.array([dumps(row)], pa.binary())], ["block", "payload"])
 
-    return docs.select(block, F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pack, BLOCKS).repartition(n, "block")
+    return docs.select(block, F.col("doc_id").cast("long"), F.col("text").cast("string"), *(docs[c].alias(k) for k, c in rest.items())).mapInArrow(pack, BLOCKS).repartition(n, "block")
 
 
 def unpack(table: pa.Table) -> tuple[pa.ChunkedArray, pa.ChunkedArray]:
@@ -68,6 +73,25 @@ def unpack(table: pa.Table) -> tuple[pa.ChunkedArray, pa.ChunkedArray]:
     return whole.column("doc_id"), whole.column("text")
 
 
+def restored(table: pa.Table, columns: list[str], text: pa.Array | None = None, keep: np.ndarray | None = None) -> pa.Table:
+    """All columns of a whole block's documents, as packed; with text, that instead and n_chars counted anew."""
+    parts = [loads(x.as_buffer()) for x in table.column("payload")]
+    whole = pa.concat_tables(parts).combine_chunks()
+    out = {c: whole.column(c if c in ("doc_id", "text") else f"c{k}") for k, c in enumerate(columns)}
+    if text is not None:
+        out["text"] = text
+        if "n_chars" in out and pa.types.is_integer(out["n_chars"].type):
+            out["n_chars"] = pc.utf8_length(text).cast(out["n_chars"].type)
+    made = pa.table(out)
+    return made if keep is None else made.filter(pa.array(keep))
+
+
+def schema_of(docs: DataFrame) -> StructType:
+    """The columns of docs as restored: doc_id is a long and text a string, and any may be null."""
+    kinds = {"doc_id": LongType(), "text": StringType()}
+    return StructType([StructField(f.name, kinds.get(f.name, f.dataType)) for f in docs.schema])
+
+
 def ids(column: pa.ChunkedArray) -> np.ndarray:
     """doc_id for comparison: null comes after every other."""
     return column.fill_null(NULL_ID).to_numpy()
@@ -104,7 +128,7 @@ def answered(messages: DataFrame, n: int, solve: Callable[[list[tuple[int, pa.Ta
     return messages.groupBy("bucket").applyInArrow(run, MAIL).select("block", "payload").repartition(n, "block")
 
 
-def settled(blocks: DataFrame, answers: DataFrame, apply: Callable[[pa.Table, list[pa.Table]], pa.Table], schema: str) -> DataFrame:
+def settled(blocks: DataFrame, answers: DataFrame, apply: Callable[[pa.Table, list[pa.Table]], pa.Table], schema: str | StructType) -> DataFrame:
     """What each block makes of its documents and the answers."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:

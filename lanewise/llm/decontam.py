@@ -109,8 +109,40 @@ def shingle_counts(docs: DataFrame, lookups: dict[int, Lookup]) -> dict[int, np.
     return counts
 
 
-def hits(docs: DataFrame, items: pa.Table, window: int, shingle: int, key: str = "long") -> DataFrame:
-    """doc_id, n_words, hit (packed bits of words), items: of each document against one block of items."""
+@dataclass
+class Probe:
+    """What is broadcast of a benchmark block: its windows, and by shingle size the prefix shingles and their windows."""
+
+    windows: Windows
+    place: np.ndarray  # of the prefix shingle in each window
+    by_size: dict[int, tuple[Lookup, np.ndarray, np.ndarray]]
+
+    def find(self, words: T.Words) -> tuple[np.ndarray, dict[int, set[str]]]:
+        """Which words any window covers, and the items that have windows in each row."""
+        hashes, length = self.windows.hashes, self.windows.length
+        edge = np.zeros(len(words) + 1, np.int64)
+        items: dict[int, set[str]] = {}
+        for k, (lookup, first, own) in self.by_size.items():
+            at, key = lookup.find(words.grams(k))
+            many = first[key + 1] - first[key]
+            at = np.repeat(at, many)
+            win = own[np.repeat(first[key] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())] if len(key) else key
+            start = at - self.place[win]
+            row = np.searchsorted(words.first, at, "right") - 1
+            ok = (start >= words.first[row]) & (start + length[win] <= words.first[row + 1])
+            win, start, row = win[ok], start[ok], row[ok]
+            for j in range(hashes.shape[1]):
+                ok = (j >= length[win]) | (words.hash[np.minimum(start + j, len(words) - 1)] == hashes[win, j])
+                win, start, row = win[ok], start[ok], row[ok]
+            np.add.at(edge, start, 1)
+            np.add.at(edge, start + length[win], -1)
+            for r, w in zip(row.tolist(), win.tolist()):
+                items.setdefault(r, set()).update(self.windows.items[w])
+        return np.cumsum(edge)[: len(words)] > 0, items
+
+
+def probe_of(docs: DataFrame, items: pa.Table, window: int, shingle: int) -> Probe:
+    """A benchmark block's probe; each window's prefix is its shingle that is rarest in all documents."""
     wins = windows_of(items, window, shingle)
     n = len(wins.length)
     sizes = [int(k) for k in np.unique(wins.size)]
@@ -119,46 +151,28 @@ def hits(docs: DataFrame, items: pa.Table, window: int, shingle: int, key: str =
     counts = shingle_counts(docs, lookups) if n else {}
     # the rarest shingle of each window, the first among equals
     place, prefix = np.zeros(n, np.int64), np.zeros(n, T.U64)
+    by_size = {}
     for k in sizes:
         own = np.flatnonzero(wins.size == k)
         count = counts[k][np.minimum(np.searchsorted(lookups[k].keys, wins.shingles[own]), len(lookups[k].keys) - 1)]
         place[own] = np.argmin(np.where(in_use[own], count, np.iinfo(np.int64).max), axis=1)
         prefix[own] = wins.shingles[own, place[own]]
-    probes = {}
-    for k in sizes:
-        own = np.flatnonzero(wins.size == k)
         own = own[np.argsort(prefix[own], kind="stable")]
         lookup = Lookup(prefix[own])
-        probes[k] = (lookup, np.searchsorted(prefix[own], np.append(lookup.keys, T.U64(2**64 - 1))), own)
-    sent = docs.sparkSession.sparkContext.broadcast((wins.hashes, wins.length, wins.items, place, probes))
+        by_size[k] = (lookup, np.append(np.searchsorted(prefix[own], lookup.keys), len(own)), own)
+    return Probe(wins, place, by_size)
+
+
+def hits(docs: DataFrame, items: pa.Table, window: int, shingle: int, key: str = "long") -> DataFrame:
+    """doc_id, n_words, hit (packed bits of words), items: of each document against one block of items."""
+    sent = docs.sparkSession.sparkContext.broadcast(probe_of(docs, items, window, shingle))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, length, names, place, probes = sent.value
         for ids, words in _batches(batches):
-            rows, starts, found = [], [], []
-            for k, (lookup, first, own) in probes.items():
-                at, key = lookup.find(words.grams(k))
-                many = first[key + 1] - first[key]
-                at = np.repeat(at, many)
-                win = own[np.repeat(first[key] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())] if len(key) else key
-                start = at - place[win]
-                row = np.searchsorted(words.first, at, "right") - 1
-                ok = (start >= words.first[row]) & (start + length[win] <= words.first[row + 1])
-                win, start, row = win[ok], start[ok], row[ok]
-                for j in range(hashes.shape[1]):
-                    ok = (j >= length[win]) | (words.hash[np.minimum(start + j, len(words) - 1)] == hashes[win, j])
-                    win, start, row = win[ok], start[ok], row[ok]
-                rows.append(row), starts.append(start), found.append(win)
-            edge = np.zeros(len(words) + 1, np.int64)
-            own_items: dict[int, set[str]] = {}
-            for row, start, win in zip(rows, starts, found):
-                np.add.at(edge, start, 1)
-                np.add.at(edge, start + length[win], -1)
-                for r, w in zip(row.tolist(), win.tolist()):
-                    own_items.setdefault(r, set()).update(names[w])
-            hit = np.cumsum(edge)[: len(words)] > 0
-            bits = [np.packbits(hit[words.first[r] : words.first[r + 1]]).tobytes() if r in own_items else b"" for r in range(len(ids))]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(words.counts), pa.array(bits, pa.binary()), pa.array([sorted(own_items.get(r, ())) for r in range(len(ids))], pa.list_(pa.string()))], ["doc_id", "n_words", "hit", "items"])
+            hit, own = sent.value.find(words)
+            rows = range(len(ids))
+            bits = [np.packbits(hit[words.first[r] : words.first[r + 1]]).tobytes() if r in own else b"" for r in rows]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(words.counts), pa.array(bits, pa.binary()), pa.array([sorted(own.get(r, ())) for r in rows], pa.list_(pa.string()))], ["doc_id", "n_words", "hit", "items"])
 
     return docs.mapInArrow(probe, f"doc_id {key}, n_words long, hit binary, items array<string>")
 
@@ -166,9 +180,7 @@ def hits(docs: DataFrame, items: pa.Table, window: int, shingle: int, key: str =
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    items = benchmark.select(F.col("item_id").cast("string"), "text").where("item_id is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
-    n = max(1, -(-size // block_bytes))
+    items, n = _items(benchmark, block_bytes)
     if n == 1:
         found = hits(docs, items.toArrow(), window, shingle)
     else:
@@ -177,6 +189,42 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     return found.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
+def _items(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """The items that count, and the blocks that they fill."""
+    items = benchmark.select(F.col("item_id").cast("string"), "text").where("item_id is not null and text is not null")
+    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id"))).first()[0] or 0
+    return items, max(1, -(-size // block_bytes))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs that aren't contaminated, with all their columns."""
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    items, n = _items(benchmark, block_bytes)
+    if n > 1:
+        name = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        bad = contamination(own.select(name.alias("doc_id"), "text"), benchmark, window, shingle, block_bytes).where("contaminated")
+        bad = bad.select(F.col("doc_id").alias("contaminated_row")).distinct()
+        return docs.join(bad, name == F.col("contaminated_row"), "left_anti")
+    sent = docs.sparkSession.sparkContext.broadcast(probe_of(own, items.toArrow(), window, shingle))
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offs = T.strings(batch.column(at))
+            fine = []
+            for lo, hi in T.pieces(offs, BATCH):
+                words = words_of(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                hit = np.diff(np.append(0, np.cumsum(sent.value.find(words)[0]))[words.first])
+                fine.append(~contaminated(hit, words.counts))
+            yield batch.filter(pa.array(np.concatenate(fine))) if fine else batch
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def contaminated(hit: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return (hit > 0) & (20 * hit >= words)
+
+
 def _merged(docs: DataFrame, blocks: list[DataFrame], window: int, shingle: int) -> DataFrame:
     """The hits of all blocks: bits and items of a (doc_id, text) are united, and equal rows stay as many."""
     passes = None
@@ -205,4 +253,4 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit = np.array([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8)).sum() for x in batch.column(2)], np.int64)
         items = batch.column(3).to_pylist()
         shas = [T.sha256(",".join(x).encode()) for x in items]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(shas, pa.string()), pa.array((hit > 0) & (20 * hit >= words), pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(shas, pa.string()), pa.array(contaminated(hit, words), pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])

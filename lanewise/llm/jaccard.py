@@ -42,7 +42,9 @@ class _Sets:
 
     def __init__(self, table: pa.Table, k: int):
         self.ids, text = B.unpack(table)
-        w = T.Words(*T.strings(text), lower=True)
+        raw, offs = T.strings(text)
+        self.name = row_names(raw, offs)
+        w = T.Words(raw, offs, lower=True)
         counts = w.counts
         at = np.flatnonzero(w.whole(k))
         hashes, row = [w.grams(k)[at]], [np.searchsorted(w.first, at, "right") - 1]
@@ -64,6 +66,12 @@ class _Sets:
         return np.unique((self.hash >> T.U64(64 - bits)).astype(np.int64), return_inverse=True, return_counts=True)
 
 
+def row_names(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """A hash of each text."""
+    parts = [T.Rolling(raw[offs[a] : offs[b]]).stretches(offs[a:b] - offs[a], offs[a + 1 : b + 1] - offs[a]) for a, b in T.pieces(offs)]
+    return np.concatenate(parts) if parts else np.empty(0, T.U64)
+
+
 def _planes(values: np.ndarray, first: int) -> dict[str, pa.Array]:
     gaps = np.ascontiguousarray(np.diff(values, prepend=first)).astype("<i8").view(np.uint8).reshape(-1, 8)
     return {f"p{k}": pa.array(np.ascontiguousarray(gaps[:, k])) for k in range(8)}
@@ -75,7 +83,8 @@ def _values(table: pa.Table, first: int) -> np.ndarray:
 
 
 def sized(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n and, for rows that may link, a 128-bit set_key and their shared shingles, rarest first."""
+    """doc_id, n, block, row (a hash of the text) and, for rows that may link, a 128-bit set_key and their shared
+    shingles, rarest first."""
     n = B.block_count(docs)
     bits = min(62, max(40, (n * B.BLOCK_BYTES // 6).bit_length() + 10))
     cuts = np.array([(i << bits) // n for i in range(n + 1)], np.int64)
@@ -120,13 +129,13 @@ def sized(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFram
         sums = [np.append(T.U64(0), np.cumsum(T.mix(sets.hash ^ T.U64(seed)))) for seed in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
         key = np.stack([x[sets.first[1:]] - x[sets.first[:-1]] for x in sums], 1).astype("<u8")
         data, raw = tokens.tobytes(), key.tobytes()
-        out = {"doc_id": sets.ids, "n": pa.array(sets.n)}
+        out = {"doc_id": sets.ids, "n": pa.array(sets.n), "block": pa.array(np.full(len(sets.n), table.column("block")[0].as_py(), np.int32)), "row": pa.array(sets.name.view(np.int64))}
         out["set_key"] = pa.array([raw[16 * r : 16 * r + 16] if may[r] else None for r in range(len(may))], pa.binary())
         out["tokens"] = pa.array([data[8 * at[r] : 8 * at[r + 1]] if may[r] else None for r in range(len(may))], pa.binary())
         return pa.table(out)
 
     blocks = B.packed(docs, n)
-    return B.settled(blocks, B.answered(B.sent(blocks, n, send), n, solve), apply, "doc_id long, n long, set_key binary, tokens binary")
+    return B.settled(blocks, B.answered(B.sent(blocks, n, send), n, solve), apply, "doc_id long, n long, block int, row long, set_key binary, tokens binary")
 
 
 def linked(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -248,7 +257,13 @@ def rest(classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     rows = checkpointed(sized(docs, shingle, percent).withColumn("d", F.coalesce("doc_id", F.lit(B.NULL_ID))))
-    alone = rows.where("set_key is null")
+    some, name = _named(rows, percent)
+    both = some.join(name, "set_key").select("doc_id", "n", "component").unionAll(rows.where("set_key is null").select("doc_id", "n", "d"))
+    return both.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component") != B.NULL_ID, F.col("component")).alias("component_id"))
+
+
+def _named(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows that may link, and each set_key's component, named by its least doc_id."""
     some = rows.where("set_key is not null")
     classes = some.groupBy("set_key").agg(F.min("d").alias("least"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     classes = checkpointed(classes.withColumn("cid", F.monotonically_increasing_id()))
@@ -257,9 +272,30 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     name = classes.select("cid", "set_key", "least").join(labels, F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("root", "cid")).drop("node", "root")
     name = name.join(more, F.col("label") == F.col("node"), "left").withColumn("label", F.coalesce("root", "label"))
     least = name.groupBy("label").agg(F.min("least").alias("component"))
-    name = name.select("set_key", "label").join(least, "label").select("set_key", "component")
-    both = some.join(name, "set_key").select("doc_id", "n", "component").unionAll(alone.select("doc_id", "n", "d"))
-    return both.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component") != B.NULL_ID, F.col("component")).alias("component_id"))
+    return some, name.select("set_key", "label").join(least, "label").select("set_key", "label", "component")
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each component, that of the least doc_id; the others' names alone travel to the blocks."""
+    columns, n = docs.columns, B.block_count(docs)
+    rows = checkpointed(sized(docs, shingle, percent).withColumn("d", F.coalesce("doc_id", F.lit(B.NULL_ID))))
+    some, name = _named(rows, percent)
+    own = some.join(name, "set_key").select("block", "d", "row", "label")
+    stays = own.groupBy("label").agg(F.min(F.struct("d", "row", "block")).alias("stays")).select("stays.*", F.lit(1).alias("keep"))
+    decided = own.groupBy("block", "d", "row").agg(F.lit(1)).select("block", "d", "row").join(stays, ["block", "d", "row"], "left").select("block", "d", "row", F.coalesce("keep", F.lit(0)).alias("keep"))
+
+    def apply(table: pa.Table, decisions: pa.Table) -> pa.Table:
+        ids, text = B.unpack(table)
+        key = list(zip(B.ids(ids).tolist(), row_names(*T.strings(text)).view(np.int64).tolist()))
+        left = {(d, r): k for d, r, k in zip(*(decisions.column(c).to_pylist() for c in ("d", "row", "keep")))}
+        keep = np.ones(len(key), bool)
+        for i, k in enumerate(key):
+            if k in left:
+                keep[i], left[k] = left[k] > 0, 0
+        return B.restored(table, columns, keep=keep)
+
+    blocks = B.packed(docs, n, whole=True)
+    return blocks.groupBy("block").cogroup(decided.repartition(n, "block").groupBy("block")).applyInArrow(apply, B.schema_of(docs))
 
 
 def _between(links: DataFrame, labels: DataFrame) -> DataFrame:

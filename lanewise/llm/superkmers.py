@@ -58,10 +58,12 @@ class _Runs:
 
 
 def removed_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, with texts, kept_text for each row.
+    """doc_id, n_words, n_removed, kept_sha256 for each row; with texts, docs with the words removed instead.
 
-    kept_text is the text itself where nothing is removed, else the kept words joined by spaces.
+    A text that loses nothing stays as it is, another becomes the kept words joined by spaces (perhaps none); n_chars,
+    if there is such a column, is counted anew.
     """
+    columns = docs.columns
     n = B.block_count(docs)
 
     def place(runs: _Runs) -> tuple[np.ndarray, np.ndarray]:
@@ -122,25 +124,29 @@ def removed_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts
         np.add.at(edge, gone, 1)
         np.add.at(edge, gone + window, -1)
         keep = np.cumsum(edge)[: len(runs.words)] == 0
-        return _result(runs, keep, texts)
+        return B.restored(table, columns, text=_texts(runs, keep)) if texts else _digests(runs, keep)
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
-    blocks = B.packed(docs, n)
+    schema = B.schema_of(docs) if texts else "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    blocks = B.packed(docs, n, whole=texts)
     return B.settled(blocks, B.answered(B.sent(blocks, n, send), n, solve), apply, schema)
 
 
-def _result(runs: _Runs, keep: np.ndarray, texts: bool) -> pa.Table:
+def _kept(runs: _Runs, keep: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """How many words each row keeps, and these joined by spaces."""
     packed, at = T.spaced(runs.raw, runs.words)
-    first = runs.words.first
-    kept, koffs = T.gathered(packed, at[:-1][keep], np.diff(at)[keep])
-    count = np.append(0, np.cumsum(keep))[first]
-    left = np.diff(count)
-    data, where = kept.tobytes(), koffs[count]
-    shas, out, whole = [], [], runs.text.to_pylist() if texts else []
-    for r in range(len(first) - 1):
-        stretch = data[where[r] : max(where[r], where[r + 1] - 1)]
-        shas.append(T.sha256(stretch))
-        if texts:
-            out.append(whole[r] if left[r] == first[r + 1] - first[r] else stretch.decode())
-    columns = {"doc_id": runs.ids, "n_words": pa.array(np.diff(first)), "n_removed": pa.array(np.diff(first) - left), "kept_sha256": pa.array(shas, pa.string())}
-    return pa.table(columns | ({"kept_text": pa.array(out, pa.string())} if texts else {}))
+    kept, offs = T.gathered(packed, at[:-1][keep], np.diff(at)[keep])
+    count = np.append(0, np.cumsum(keep))[runs.words.first]
+    data, where = kept.tobytes(), offs[count]
+    return np.diff(count), [data[a : max(a, b - 1)] for a, b in zip(where, where[1:])]
+
+
+def _digests(runs: _Runs, keep: np.ndarray) -> pa.Table:
+    left, texts = _kept(runs, keep)
+    n = runs.words.counts
+    return pa.table({"doc_id": runs.ids, "n_words": pa.array(n), "n_removed": pa.array(n - left), "kept_sha256": pa.array([T.sha256(x) for x in texts], pa.string())})
+
+
+def _texts(runs: _Runs, keep: np.ndarray) -> pa.Array:
+    left, texts = _kept(runs, keep)
+    same = left == runs.words.counts
+    return pa.array([a if ok else b.decode() for a, b, ok in zip(runs.text.to_pylist(), texts, same)], pa.string())

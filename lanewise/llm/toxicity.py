@@ -326,19 +326,29 @@ def learned(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> Machine:
 def scored(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("held_out", held_out(FOLDS, FOLD))
-    return _scores(texts, learned(docs, labels, n), "doc_id long, held_out boolean")
+    sent = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, n))
 
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = _scores(sent.value, batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-def _scores(texts: DataFrame, machine: Machine, keep: str) -> DataFrame:
-    """The columns keep, score and predicted of each row."""
-    sent = texts.sparkSession.sparkContext.broadcast(machine)
-    names = [x.split()[0] for x in keep.split(", ")]
+    return texts.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def accepted(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> DataFrame:
+    """The rows of docs that aren't predicted toxic, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, n))
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offs = _lower(batch.column("text"))
-            parts = [sent.value.scores(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]) for lo, hi in T.pieces(offs)]
-            p = np.concatenate(parts) if parts else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], [*names, "score", "predicted"])
+            yield batch.filter(pa.array(_scores(sent.value, batch.column(at)) < THRESHOLD))
+
+    return docs.mapInArrow(keep, docs.schema)
+
 
-    return texts.mapInArrow(score, f"{keep}, score double, predicted int")
+def _scores(machine: Machine, text: pa.Array) -> np.ndarray:
+    raw, offs = _lower(text)
+    parts = [machine.scores(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]) for lo, hi in T.pieces(offs)]
+    return np.concatenate(parts) if parts else np.empty(0)
