@@ -16,17 +16,16 @@ def held_out(folds: int, fold: int) -> Column:
 
 
 def sample(rows: DataFrame, n: int, *key: str) -> DataFrame:
-    """About n rows at most, chosen by a hash of key; all if there are no more. Twice n is never exceeded."""
+    """About n different rows, chosen by a hash of key; all if there are no more."""
     total = rows.count()
-    if total <= n:
-        return rows
     scale = 1 << 30
-    return rows.where(F.pmod(F.xxhash64(*key), F.lit(scale)) < int(scale * n / total)).limit(2 * n)
+    chosen = rows if total <= n else rows.where(F.pmod(F.xxhash64(*key), F.lit(scale)) < int(scale * n / total))
+    return chosen.distinct()
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, n: int) -> DataFrame:
-    """text and label of a sample of the labelled rows outside the held-out fold."""
+    """doc_id, label and text of a sample of about n labelled documents outside the held-out fold."""
     known = labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label")).where((F.col("label").isNotNull()) & (remainder(folds) != fold))
     chosen = sample(known.groupBy("doc_id").agg(F.max("label").alias("label")), n, "doc_id")
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").limit(4 * n)
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))

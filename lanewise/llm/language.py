@@ -116,8 +116,8 @@ def learned(docs: DataFrame, n: int = SAMPLE) -> Filter | None:
             lang = names.indices.to_numpy()
             for lo, hi in T.pieces(offs):
                 packed, row = grams(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                key, own = np.unique(np.stack([packed, row.astype(T.U64)]), axis=1) if len(packed) else (packed, row)
-                own = lang[lo:hi][own.astype(np.int64)]
+                both = np.unique(packed | (row.astype(T.U64) << T.U64(8 * GRAM)))
+                key, own = both & T.U64((1 << 8 * GRAM) - 1), lang[lo:hi][(both >> T.U64(8 * GRAM)).astype(np.int64)]
                 for k in np.unique(lang[lo:hi]):
                     found, many = np.unique(key[own == k], return_counts=True)
                     docs_of = int((lang[lo:hi] == k).sum())
