@@ -4,12 +4,13 @@ The kernel compares two words by their common subsequences of three letters, eac
 left out in between (at most GAP at a time), so an insult with gaps or inserted letters stays close to itself. Words
 are the letters of white-space tokens, of the parts of tokens with signs inside, and of runs of single letters.
 
-Sentences of documents labelled 0 are negative. Of those labelled 1, sentences with a word that is evidence are
-positive, first by the words' share of toxic documents, then by the machine itself, in ROUNDS rounds. Words that
+Sentences of documents labelled 0 are negative; of those labelled 1, sentences with a word that is evidence (by its
+share of toxic documents) are positive. In ROUNDS rounds the negative sentences that score worst are added. Words that
 decide on sentences are mapped to their kernels with LANDMARKS words, whitened (Nyström), and a linear machine is
 trained on them with squared hinge loss in numpy. A document's score follows by logistic regression from its worst
-word and from how much there is of words above 0, in all and for its length. As the kernel is an inner product of subsequence counts, the trained machine is one table of weights for
-hashed subsequences, which scoring looks up. Learning reads at most `sample` labelled documents, chosen by hash.
+word and from how much there is of words above DOUBT, in all and for its length. As the kernel is an inner product of subsequence counts, the trained machine is one table of weights for
+hashed subsequences, which scoring looks up. Learning reads at most about `sample` labelled
+documents, chosen by hash, and one of each group of near copies among them.
 
 Cases: null, empty and letterless texts have no words and so a low score; without labels of both kinds every score
 is the share of label 1 (0 without labels); repeated rows give a row each; a doc_id labelled more than once counts
@@ -31,17 +32,17 @@ from . import _text as T
 from ._learn import held_out, labelled
 
 FOLDS, FOLD, THRESHOLD = 3, 1, 0.7
-SAMPLE = 8_000
+SAMPLE = 4_000
 GAP, DECAY, BITS = 2, 0.6, 18
-LANDMARKS, ROUNDS, SEED = 256, 3, 11
+LANDMARKS, ROUNDS, SEED = 384, 4, 11
 #: Copies of each telling word with an inserted letter that a round learns as well, and their weight together.
 VARIANTS, ALTERED = 3, 0.1
-#: Of the landmarks, the share of words that tell the labels apart; the others are drawn from all words.
-TELLING = 0.6
 NEGATIVES = 3  # worst sentences of each document labelled 0 that a round learns from
 STEPS, RIDGE, BALANCE = 20, 1e-3, 0.4
-#: Share of toxic documents from which a word is evidence, its prior's weight, and times the usual share to be likely.
-EVIDENT, PRIOR, LIKELY = 0.5, 5.0, 2.0
+#: Share of toxic documents from which a word is evidence, and the weight of its prior in documents.
+EVIDENT, PRIOR = 0.5, 5.0
+#: Values up to this count for nothing in a document's sum.
+DOUBT = 0.4
 #: A spelled-out word has so many single letters, a part of a token so many letters, at least.
 LEAST = 3
 
@@ -146,10 +147,10 @@ def norms(size: np.ndarray) -> np.ndarray:
 
 
 def evidence(value: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """Of each document, from its words' values: the worst, the sum of those above 0 and its density, as logarithms."""
+    """Of each document, from its words' values: the worst, the sum of those above DOUBT and its density, as logarithms."""
     peak = np.full(rows, -1.0)
     np.maximum.at(peak, row, value)
-    above = np.bincount(row, np.clip(value, 0, 1), rows)
+    above = np.bincount(row, np.clip((value - DOUBT) / (1 - DOUBT), 0, 1), rows)
     words = np.bincount(row, minlength=rows)
     return np.stack([np.ones(rows), peak, np.log1p(4 * above), np.log((above + 0.2) / (words + 40))], 1)
 
@@ -218,6 +219,18 @@ def _inserted(letters: np.ndarray, start: np.ndarray, units: np.ndarray, rng: np
     return np.concatenate([letters, *extra]).astype(np.uint8), np.append(start, start[-1] + np.cumsum([len(x) for x in extra], dtype=np.int64))
 
 
+def _unlike(unit: np.ndarray, doc: np.ndarray, sentence: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """The first document of each group of near copies with one label: those whose least sentence hash is equal."""
+    order = np.lexsort((unit, sentence))
+    head = np.flatnonzero(np.append(True, np.diff(sentence[order]) != 0))
+    hashes = T.mix(np.add.reduceat(T.mix(unit[order].astype(np.uint64) + T.U64(1)), head))
+    least = np.full(len(toxic), np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, doc[order][head], hashes)
+    keep = np.zeros(len(toxic), bool)
+    keep[np.unique((least & ~T.U64(1)) | toxic.astype(np.uint64), return_index=True)[1]] = True
+    return keep
+
+
 def train(unit: np.ndarray, doc: np.ndarray, sentence: np.ndarray, letters: np.ndarray, start: np.ndarray, toxic: np.ndarray) -> Machine:
     """unit, doc and sentence of each word's occurrence; toxic: each document's label."""
     n, many = len(start) - 1, len(toxic)
@@ -225,17 +238,23 @@ def train(unit: np.ndarray, doc: np.ndarray, sentence: np.ndarray, letters: np.n
         share = toxic.mean() if many else 0.0
         return Machine(np.zeros(1 << BITS), -1.0, np.array([np.log((share + 1e-9) / (1 - share + 1e-9)), 0, 0, 0]))
     rng = np.random.default_rng(SEED)
-    both = np.unique(doc * n + unit)
-    bad = np.bincount((both % n)[toxic[both // n]], minlength=n)
-    fine = np.bincount((both % n)[~toxic[both // n]], minlength=n)
+    keep = _unlike(unit, doc, sentence, toxic)
+    toxic, doc = toxic[keep], np.where(keep, np.cumsum(keep) - 1, -1)[doc]
+    unit, sentence, doc = unit[doc >= 0], sentence[doc >= 0], doc[doc >= 0].astype(np.int32)
+    many = len(toxic)
+    both = np.unique(doc.astype(np.int64) * n + unit)
+    bad, fine = (np.bincount((both % n)[toxic[both // n] == x], minlength=n) for x in (True, False))
+    del both
     # a word's toxic share, drawn towards that of all documents: rare and common words are no evidence
     usual = toxic.mean()
     share = (bad + PRIOR * usual) / (bad + fine + PRIOR)
-    evident, likely = share > EVIDENT, share > LIKELY * usual
+    evident = share > EVIDENT
     value = np.where(evident, share, -1.0)
-    telling = np.argsort(-(value * bad), kind="stable")[: int(TELLING * LANDMARKS)]
-    others = np.setdiff1d(np.flatnonzero(np.diff(start) > 1), telling)
-    landmarks = np.concatenate([telling, rng.choice(others, min(len(others), LANDMARKS - len(telling)), replace=False)])
+    third = LANDMARKS // 3
+    telling = np.argsort(-(value * bad), kind="stable")[:third]
+    common = np.setdiff1d(np.argsort(-fine, kind="stable")[:third], telling)
+    others = np.setdiff1d(np.flatnonzero((np.diff(start) > 1) & ~evident), np.concatenate([telling, common]))
+    drawn = rng.choice(others, min(len(others), third), replace=False)
     altered = np.flatnonzero(evident & (np.diff(start) > LEAST))
     letters, start = _inserted(letters, start, altered, rng)
     altered = np.arange(n, len(start) - 1)
@@ -243,18 +262,20 @@ def train(unit: np.ndarray, doc: np.ndarray, sentence: np.ndarray, letters: np.n
     unit, doc, sentence = unit[order], doc[order], sentence[order]
     head = np.flatnonzero(np.append(True, sentence[1:] != sentence[:-1]))
     of_sentence = doc[head]
-    machine = None
+    machine, negative = None, np.zeros(len(unit), bool)
     for _ in range(ROUNDS):
         worst = np.maximum.reduceat(value[unit], head)
-        of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(unit))))
+        of = np.repeat(np.arange(len(head), dtype=np.int32), np.diff(np.append(head, len(unit))))
         by = np.lexsort((-worst, of_sentence))
         rank = np.empty(len(by), np.int64)
         rank[by] = np.arange(len(by)) - np.searchsorted(of_sentence[by], of_sentence[by])
-        # the words that decide: in positive documents all above 0 and the worst, in negative ones those of some sentences
+        # positive are sentences' words that are evidence, negative the worst words of the worst sentences
         decides = value[unit] == worst[of]
         bad_row = toxic[doc]
-        positive = bad_row & ((value[unit] > 0) & likely[unit] | evident[unit] & decides & (rank == 0)[of])
-        negative = ~bad_row & decides & (rank < NEGATIVES)[of]
+        positive = bad_row & evident[unit]
+        # earlier rounds' negatives stay, or the machine would forget ordinary words
+        negative |= ~bad_row & decides & (rank < NEGATIVES)[of]
+        landmarks = np.unique(np.concatenate([telling, common, drawn]))
         words = np.unique(unit[positive | negative])
         count = [np.bincount(unit[x], minlength=n)[words] for x in (positive, negative)]
         words, sign = np.concatenate([words, words]), np.repeat([1.0, -1.0], len(words))
@@ -266,8 +287,8 @@ def train(unit: np.ndarray, doc: np.ndarray, sentence: np.ndarray, letters: np.n
         square = kernel[back[len(words) :]].astype(np.float64)
         root, axes = np.linalg.eigh((square + square.T) / 2)
         whiten = axes * (1 / np.sqrt(np.maximum(root, 1e-3)))
-        x = kernel[back[: len(words)]] @ whiten
-        x = np.hstack([x, np.ones((len(x), 1))])
+        x = np.ones((len(words), len(landmarks) + 1), np.float32)
+        x[:, :-1] = kernel[back[: len(words)]] @ whiten
         w = np.zeros(x.shape[1])
         loss = lambda w: (weight * np.maximum(1 - sign * (x @ w), 0) ** 2).sum() + RIDGE * (w @ w)
         for _ in range(STEPS):  # Newton's method on the squared hinge loss, with shorter steps where they gain more
@@ -280,6 +301,9 @@ def train(unit: np.ndarray, doc: np.ndarray, sentence: np.ndarray, letters: np.n
             w = best
         machine = Machine(_weights(letters, start, landmarks, whiten @ w[:-1]), float(w[-1]), np.zeros(4))
         value = machine.values(letters, start)[:n]
+        # the next round's drawn landmarks are ordinary words that this machine takes for toxic, the more frequent first
+        wrong = np.flatnonzero((value > -0.5) & ~evident & (fine > 0))
+        drawn = wrong[np.argsort(-(value[wrong] + 1) * np.sqrt(fine[wrong]), kind="stable")][:third] if len(wrong) >= third // 2 else drawn
     found = evidence(value[unit], doc, many)
     odds = np.zeros(found.shape[1])
     cost = lambda c: np.logaddexp(0, found @ c * np.where(toxic, -1, 1)).sum() + 0.05 * (c @ c)
@@ -316,11 +340,15 @@ def learned(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> Machine:
     rows = rows.sort_by("doc_id").combine_chunks()
     if not rows.num_rows:
         return train(*(np.empty(0, np.int64) for _ in range(3)), np.empty(0, np.uint8), np.zeros(1, np.int64), np.empty(0, bool))
-    doc = np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows.column("words")).to_numpy())
-    sentence = pc.list_flatten(rows.column("sentences")).to_numpy().astype(np.int64) + (doc << 32)
+    doc = np.repeat(np.arange(rows.num_rows, dtype=np.int32), pc.list_value_length(rows.column("words")).to_numpy())
+    own = pc.list_flatten(rows.column("sentences")).to_numpy()
+    # sentences are numbered through: a new one wherever the document or the number within it changes
+    sentence = np.cumsum(np.append(True, (doc[1:] != doc[:-1]) | (own[1:] != own[:-1])), dtype=np.int32)
     words = pc.dictionary_encode(pc.list_flatten(rows.column("words")).combine_chunks())
+    toxic = rows.column("label").to_numpy() > 0
+    del rows, own
     letters, start = T.strings(words.dictionary)
-    return train(words.indices.to_numpy().astype(np.int64), doc, sentence, letters, start, rows.column("label").to_numpy() > 0)
+    return train(words.indices.to_numpy(), doc, sentence, letters, start, toxic)
 
 
 def scored(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> DataFrame:
