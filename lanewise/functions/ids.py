@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def content_id(text: Column, **metadata: Column) -> Column:
@@ -30,7 +31,7 @@ def canonical(record: dict) -> str:
     return json.dumps(record, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def content_id_of_json(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The id of (text, metadata as JSON text, parents, revision) for metadata of any shape."""
     for text, metadata, parents, revision in parts:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -36,18 +37,36 @@ def cover(spans: Iterable[tuple[int, int]], until: int | None = None) -> list[tu
     return chain
 
 
+def walk(starts: list[int], stops: list[int], wide: list[bool]) -> Iterator[tuple[int, int, bool, int]]:
+    """start, stop, kind and number of objects before, of each stretch of a chain: stretches are compacted objects, which are
+    entered at their start only, and runs of single objects, which may be entered anywhere."""
+    at, before = 0, 0
+    while (k := bisect_right(starts, at) - 1) >= 0 and at <= stops[k] and (at == starts[k] or not wide[k]):
+        yield at, stops[k], wide[k], before
+        before += 1 if wide[k] else stops[k] - at + 1
+        at = stops[k] + 1
+
+
 def chains(objects: DataFrame, until: int | None = None) -> DataFrame:
-    """agent, epoch, lo, hi, n: each lane's chain. The listing of one lane and epoch is small and goes to one task."""
+    """agent, epoch, lo, hi, n: each lane's chain, n counting from 0.
+
+    Runs of neighbouring single objects are folded to one row before a lane's stretches meet in a task, which so holds
+    as many rows as the lane has gaps and compacted objects; the chosen stretches are joined back to the objects.
+    """
+    rows = objects if until is None else objects.where(F.col("hi") <= until)
+    widest = rows.groupBy(*LANE, "lo").agg(F.max("hi").alias("hi"))
+    order = Window.partitionBy(*LANE).orderBy("lo")
+    runs = widest.where("hi = lo").withColumn("run", F.col("lo") - F.row_number().over(order)).groupBy(*LANE, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run")
+    stretches = runs.withColumn("wide", F.lit(False)).unionByName(widest.where("hi > lo").withColumn("wide", F.lit(True)))
 
-    def run(key: tuple, listing: pd.DataFrame) -> pd.DataFrame:
-        found = cover(zip(listing.lo.tolist(), listing.hi.tolist()), until)
-        out = pd.DataFrame(found or [(0, 0)], columns=["lo", "hi"])
-        out.insert(0, "epoch", key[1])
-        out.insert(0, "agent", key[0])
-        out["n"] = range(len(out))
-        return out.head(len(found))
+    def run(key: tuple, lane: pd.DataFrame) -> pd.DataFrame:
+        lane = lane.sort_values("lo")
+        found = pd.DataFrame(walk(lane.lo.tolist(), lane.hi.tolist(), lane.wide.tolist()), columns=["start", "stop", "wide", "before"]).astype({"start": "int64", "stop": "int64", "wide": "bool", "before": "int64"})
+        return found.assign(agent=key[0], epoch=key[1])[["agent", "epoch", "start", "stop", "wide", "before"]]
 
-    return objects.select("agent", "epoch", "lo", "hi").groupBy(*LANE).applyInPandas(run, "agent string, epoch int, lo long, hi long, n long")
+    found = stretches.groupBy(*LANE).applyInPandas(run, "agent string, epoch int, start long, stop long, wide boolean, before long")
+    joined = widest.join(found, LANE).where("lo = start OR (NOT wide AND lo > start AND hi <= stop)")
+    return joined.select(*LANE, "lo", "hi", (F.col("before") + F.col("lo") - F.col("start")).alias("n"))
 
 
 def islands(objects: DataFrame) -> DataFrame:

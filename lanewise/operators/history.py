@@ -50,7 +50,7 @@ def parse_cut(text: str) -> list[tuple[str, int, int]]:
 def until(placed_log: DataFrame, cut: DataFrame) -> DataFrame:
     """The records of each lane's cut epoch up to its position; other lanes have none."""
     bounds = cut.select("agent", F.col("epoch").alias("at_epoch"), F.col("seq").alias("at_seq"))
-    return placed_log.join(F.broadcast(bounds) if cut.isStreaming else bounds, "agent").where("epoch = at_epoch AND seq <= at_seq").drop("at_epoch", "at_seq")
+    return placed_log.join(bounds, "agent").where("epoch = at_epoch AND seq <= at_seq").drop("at_epoch", "at_seq")
 
 
 def placed(log: DataFrame, size: int = 10) -> DataFrame:

@@ -6,20 +6,21 @@ any order. Equal times are told apart by author and then by record number.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PUT = F.col("op") == "put"
+def put() -> Column:
+    return F.col("op") == "put"
 
 
 def tombstones(log: DataFrame) -> DataFrame:
-    return log.where(~PUT).select("fid").distinct()
+    return log.where(~put()).select("fid").distinct()
 
 
 def partial(log: DataFrame) -> DataFrame:
     """fid, origin (ts, agent, event_id), authors, dead: what further rows can still be merged into."""
-    origin = F.min(F.when(PUT, F.struct("ts", "agent", "event_id")))
-    return log.groupBy("fid").agg(origin.alias("origin"), F.collect_set(F.when(PUT, F.col("agent"))).alias("authors"), F.max(~PUT).alias("dead"))
+    origin = F.min(F.when(put(), F.struct("ts", "agent", "event_id")))
+    return log.groupBy("fid").agg(origin.alias("origin"), F.collect_set(F.when(put(), F.col("agent"))).alias("authors"), F.max(~put()).alias("dead"))
 
 
 def combined(states: DataFrame) -> DataFrame:
@@ -43,24 +44,25 @@ def origins(log: DataFrame) -> DataFrame:
 
 
 def authors(log: DataFrame) -> DataFrame:
-    return log.where(PUT).groupBy("fid").agg(F.array_join(F.array_sort(F.collect_set("agent")), ",").alias("authors"), F.count_distinct("agent").alias("n_authors"))
+    return log.where(put()).groupBy("fid").agg(F.array_join(F.array_sort(F.collect_set("agent")), ",").alias("authors"), F.count_distinct("agent").alias("n_authors"))
 
 
 def effective_forgets(log: DataFrame) -> DataFrame:
     """Tombstones of ids that anyone put."""
-    return log.where(~PUT).join(log.where(PUT).select("fid").distinct(), "fid", "left_semi")
+    return log.where(~put()).join(log.where(put()).select("fid").distinct(), "fid", "left_semi")
 
 
 def repeats(log: DataFrame) -> DataFrame:
-    """Puts that their own lane already has."""
-    order = Window.partitionBy("agent", "fid").orderBy("ts", "event_id")
-    return log.where(PUT).withColumn("n", F.row_number().over(order)).where("n > 1").drop("n")
+    """Puts that their own lane already has: all but the first of each lane and id."""
+    puts = log.where(put())
+    first = puts.groupBy("agent", "fid").agg(F.min(F.struct("ts", "event_id")).alias("first"))
+    return puts.join(first, ["agent", "fid"]).where(F.struct("ts", "event_id") > F.col("first")).drop("first")
 
 
 def revisions(log: DataFrame) -> DataFrame:
     """Each put's revision: how many times its content had been forgotten and was put again, this time included."""
     order = Window.partitionBy("fid").orderBy("ts", "event_id")
-    earlier = F.coalesce(F.sum(PUT.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    again = PUT & (F.lag("op").over(order) == "forget") & (earlier > 0)
+    earlier = F.coalesce(F.sum(put().cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    again = put() & (F.lag("op").over(order) == "forget") & (earlier > 0)
     marked = log.withColumn("again", F.coalesce(again, F.lit(False)).cast("int"))
-    return marked.withColumn("revision", F.sum("again").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(PUT).drop("again")
+    return marked.withColumn("revision", F.sum("again").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(put()).drop("again")

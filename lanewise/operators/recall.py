@@ -16,7 +16,7 @@ DIGITS = 6
 BLOCK = 4096
 
 
-def recall(rows: DataFrame, query: list[float], k: int, where: Column | None = None) -> DataFrame:
+def recall(rows: DataFrame, query: list[float], k: int, where: Column | str | None = None) -> DataFrame:
     """vec_id, score of the k rows most like query; equal scores in the order of vec_id; none for k <= 0."""
     if where is not None:
         rows = rows.where(where)

@@ -1 +1 @@
-"""The registered queries and their oracle SQL."""
+"""Registered queries and their DuckDB SQL, over the carrier views of the test tables."""
