@@ -40,7 +40,7 @@ def parse_cut(text: str) -> list[tuple[str, int, int]]:
     out = {}
     for part in filter(str.strip, text.split(",")):
         try:
-            agent, epoch, seq = part.rsplit(":", 2)
+            agent, epoch, seq = part.strip().rsplit(":", 2)
             out[agent] = (int(epoch.lstrip("e")), int(seq))
         except ValueError as error:
             raise ValueError(f"not a cut: {part.strip()!r}") from error
