@@ -31,7 +31,7 @@ from . import _text as T
 LEVELS, SKETCH = (2, 3), 64
 TOSSES = 4
 #: Most ranges of doc_id: the driver holds their bounds.
-RANGES = 4096
+RANGES = 1 << 16
 U64 = T.U64
 
 
@@ -130,9 +130,9 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
         return docs.sparkSession.createDataFrame([], SCHEMA)
     parts = sorted(r.part for r in heads)
     # the first row of a range also ends the range before it in descending order; the first of all ends the last
-    follows = F.create_map(*[F.lit(x) for a, b in zip(parts, parts[1:] + parts[:1]) for x in (a, b)])
-    found = docs.sparkSession.createDataFrame([(r.part, r.d, r.h) for r in heads], "part int, d long, h long")
-    ghosts = rows.join(F.broadcast(found), ["part", "d", "h"]).dropDuplicates(["part"]).select(follows[F.col("part")].alias("part"), "doc_id", "text", "d", "h", F.lit(True).alias("ghost"))
+    ends = dict(zip(parts, parts[1:] + parts[:1]))
+    found = docs.sparkSession.createDataFrame([(r.part, r.d, r.h, ends[r.part]) for r in heads], "part int, d long, h long, ends int")
+    ghosts = rows.join(F.broadcast(found), ["part", "d", "h"]).dropDuplicates(["part"]).select(F.col("ends").alias("part"), "doc_id", "text", "d", "h", F.lit(True).alias("ghost"))
     dealt = rows.withColumn("ghost", F.lit(False)).unionByName(ghosts).repartition(n, "part")
     in_order = dealt.sortWithinPartitions("part", "ghost", F.desc("d"), F.desc("h")).select("part", "ghost", "doc_id", "text")
     return in_order.mapInArrow(_compared, SCHEMA)
