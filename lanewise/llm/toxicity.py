@@ -43,6 +43,8 @@ STEPS, RIDGE, BALANCE = 20, 1e-3, 0.4
 EVIDENT, PRIOR = 0.5, 5.0
 #: Values up to this count for nothing in a document's sum.
 DOUBT = 0.4
+#: Rows of a matrix, and letters of units, that are worked on at a time.
+ROWS, UNITS = 1 << 13, 1 << 18
 #: A spelled-out word has so many single letters, a part of a token so many letters, at least.
 LEAST = 3
 
@@ -164,8 +166,9 @@ class Machine:
     def values(self, letters: np.ndarray, start: np.ndarray) -> np.ndarray:
         """The machine's decision on each unit; units without letters are plain negatives."""
         total = np.zeros(len(start) - 1)
-        for found, unit, weight in subsequences(letters, start):
-            total += weight * np.bincount(unit, self.weights[found], len(total))
+        for lo, hi in T.pieces(start, UNITS):
+            for found, unit, weight in subsequences(letters[start[lo] : start[hi]], start[lo : hi + 1] - start[lo]):
+                total[lo:hi] += weight * np.bincount(unit, self.weights[found], hi - lo)
         size = np.diff(start)
         return np.where(size > 0, total / norms(size) + self.bias, -1.0)
 
@@ -176,34 +179,30 @@ class Machine:
 
 
 def _kernels(letters: np.ndarray, start: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
-    """Normalised kernels of all units with the landmark units."""
-    parts = [(h, u, np.full(len(h), w, np.float32)) for h, u, w in subsequences(letters, start)]
+    """Normalised kernels of all units with the landmark units; one combination of gaps is held at a time."""
+    size = norms(np.diff(start)).astype(np.float32)
+    parts = [(h, u, np.full(len(h), w)) for h, u, w in subsequences(*T.gathered(letters, start[landmarks], np.diff(start)[landmarks]))]
     found, unit, weight = (np.concatenate(x) for x in zip(*parts))
-    size = norms(np.diff(start))
-    weight = weight / size[unit].astype(np.float32)
-    place = np.full(len(start) - 1, -1)
-    place[landmarks] = np.arange(len(landmarks))
-    own = place[unit] >= 0
-    columns = np.unique(found[own])
+    columns, at = np.unique(found, return_inverse=True)
     table = np.zeros((len(columns), len(landmarks)), np.float32)
-    np.add.at(table, (np.searchsorted(columns, found[own]), place[unit[own]]), weight[own])
-    at = np.minimum(np.searchsorted(columns, found), len(columns) - 1)
-    hit = columns[at] == found
-    at, unit, weight = at[hit], unit[hit], weight[hit]
-    order = np.argsort(unit, kind="stable")
-    at, unit, weight = at[order], unit[order], weight[order]
+    np.add.at(table, (at, unit), weight / size[landmarks][unit])
     out = np.zeros((len(start) - 1, len(landmarks)), np.float32)
-    for lo in range(0, len(at), 1 << 15):
-        part = slice(lo, lo + (1 << 15))
-        head = np.flatnonzero(np.append(True, unit[part][1:] != unit[part][:-1]))
-        out[unit[part][head]] += np.add.reduceat(table[at[part]] * weight[part, None], head)
+    for found, unit, weight in subsequences(letters, start):
+        at = np.minimum(np.searchsorted(columns, found), len(columns) - 1)
+        hit = columns[at] == found
+        at, unit = at[hit], unit[hit]
+        for lo in range(0, len(at), ROWS):
+            part = slice(lo, lo + ROWS)
+            head = np.flatnonzero(np.append(True, unit[part][1:] != unit[part][:-1]))
+            own = unit[part][head]
+            out[own] += np.add.reduceat(table[at[part]], head) * (np.float32(weight) / size[own])[:, None]
     return out
 
 
 def _weights(letters: np.ndarray, start: np.ndarray, landmarks: np.ndarray, alpha: np.ndarray) -> np.ndarray:
     """The table of subsequence weights that gives each unit the sum of alpha times its landmark kernels."""
-    share = np.zeros(len(start) - 1)
-    share[landmarks] = alpha / norms(np.diff(start)[landmarks])
+    letters, start = T.gathered(letters, start[landmarks], np.diff(start)[landmarks])
+    share = alpha / norms(np.diff(start))
     out = np.zeros(1 << BITS)
     for found, unit, weight in subsequences(letters, start):
         out += weight * np.bincount(found, share[unit], 1 << BITS)
@@ -286,15 +285,23 @@ def train(unit: np.ndarray, doc: np.ndarray, sentence: np.ndarray, letters: np.n
         kernel = _kernels(part, cut, back[len(words) :])
         square = kernel[back[len(words) :]].astype(np.float64)
         root, axes = np.linalg.eigh((square + square.T) / 2)
-        whiten = axes * (1 / np.sqrt(np.maximum(root, 1e-3)))
+        whiten = (axes * (1 / np.sqrt(np.maximum(root, 1e-3)))).astype(np.float32)
         x = np.ones((len(words), len(landmarks) + 1), np.float32)
-        x[:, :-1] = kernel[back[: len(words)]] @ whiten
+        for lo in range(0, len(words), ROWS):
+            x[lo : lo + ROWS, :-1] = kernel[back[lo : min(lo + ROWS, len(words))]] @ whiten
+        del kernel, square
         w = np.zeros(x.shape[1])
-        loss = lambda w: (weight * np.maximum(1 - sign * (x @ w), 0) ** 2).sum() + RIDGE * (w @ w)
+        loss = lambda w: (weight * np.maximum(1 - sign * (x @ w.astype(np.float32)), 0) ** 2).sum() + RIDGE * (w @ w)
         for _ in range(STEPS):  # Newton's method on the squared hinge loss, with shorter steps where they gain more
-            inside = sign * (x @ w) < 1
-            pull = x[inside] * weight[inside, None]
-            to = np.linalg.solve(pull.T @ x[inside] + RIDGE * np.eye(len(w)), pull.T @ sign[inside])
+            curve, slope = RIDGE * np.eye(len(w)), np.zeros(len(w))
+            for lo in range(0, len(x), ROWS):
+                part = slice(lo, lo + ROWS)
+                inside = sign[part] * (x[part] @ w.astype(np.float32)) < 1
+                near = x[part][inside]
+                pull = near * weight[part][inside, None]
+                curve += pull.T @ near
+                slope += pull.T @ sign[part][inside]
+            to = np.linalg.solve(curve, slope)
             best = min((w + k * (to - w) for k in (1, 0.5, 0.25, 0.1, 0.03)), key=loss)
             if loss(best) >= loss(w) - 1e-9:
                 break
