@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontam, fingerprints, jaccard, language, quality, sharding, suffixes, superkmers, toxicity
+from .oracles import ORACLE_SQL
 
 #: The tokenizer of the third operator's query.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,5 +60,6 @@ def op10_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmers.removed_words(table(spark, sf_dir, "documents"))
 
 
+__all__ = ["ORACLE_SQL", "QUERIES", "TOKENIZER", "table"]
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_bpe, op4_jump_sharding, op5_language_id, op6_fingerprints, op7_quality, op8_toxicity, op9_jaccard_join, op10_superkmer_dedup)}
-ORACLE_SQL: dict[str, str] = {}
