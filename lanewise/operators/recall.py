@@ -27,8 +27,8 @@ def recall(rows: DataFrame, query: list[float], k: int, where: Column | str | No
 def recall_many(rows: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """query_id, vec_id, score, rank of each query's k rows, for queries (query_id, embedding) of any number.
 
-    Blocks of query vectors are broadcast; tasks keep k rows a query and batch, so what is shuffled doesn't depend on
-    the number of rows in a batch.
+    Blocks of query vectors are broadcast; each task keeps k rows a query, so what is shuffled depends on the numbers
+    of tasks and queries and not on the rows.
     """
     found = None
     blocks = max(1, -(-queries.count() // block))
@@ -45,16 +45,22 @@ def recall_many(rows: DataFrame, queries: DataFrame, k: int, block: int = BLOCK)
 
 
 def _best(sent, k: int):
+    """Each task's k best rows of each query, held over all of its batches."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix = sent.value
+        best = [(np.empty((len(part), 0)), np.empty((len(part), 0), np.int64)) for part in (matrix[lo : lo + 256] for lo in range(0, len(ids), 256))]
         for batch in batches:
-            if not batch.num_rows or not len(ids):
+            if not batch.num_rows:
                 continue
             own = batch.column(0).to_numpy()
             rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
-            for lo in range(0, len(ids), 256):
-                scores = np.round(matrix[lo : lo + 256] @ rows.T, DIGITS)
-                order = np.lexsort((np.broadcast_to(own, scores.shape), -scores))[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[lo : lo + 256], order.shape[1])), pa.array(own[order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())], ["query_id", "vec_id", "score"])
+            for b, (score, found) in enumerate(best):
+                new = np.round(matrix[256 * b : 256 * b + 256] @ rows.T, DIGITS)
+                score, found = np.hstack([score, new]), np.hstack([found, np.broadcast_to(own, new.shape)])
+                order = np.lexsort((found, -score))[:, :k]
+                best[b] = np.take_along_axis(score, order, 1), np.take_along_axis(found, order, 1)
+        for b, (score, found) in enumerate(best):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[256 * b : 256 * b + 256], score.shape[1])), pa.array(found.ravel()), pa.array(score.ravel())], ["query_id", "vec_id", "score"])
 
     return run

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions import ids, keys
 from lanewise.operators import chain, history, merge
 from lanewise.sources import carriers as C
+from lanewise.streaming import refresh
 
 ME, BACK, UNTIL, KEEP, LIMIT = "agent_0", 50, 5, 2, 20
 PREFIX = "00"
@@ -143,6 +147,15 @@ def live_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.live_state(log(spark, sf_dir)).groupBy(F.to_date("created_at").cast("string").alias("day"), "author").agg(F.count("*").alias("n"))
 
 
+def stream_live_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live view from the log read as a stream, its state folded batch by batch."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")
+    folder = f"{shared}/{uuid.uuid4().hex}"
+    events = spark.readStream.schema(C.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    refresh.refreshed(spark, C.log_of(events), f"{folder}/seen", f"{folder}/state")
+    return merge.live(refresh.saved(spark, f"{folder}/state"))
+
+
 _LIVE = """, puts AS (SELECT fid, min((ts, agent, event_id)) AS o, string_agg(DISTINCT agent, ',' ORDER BY agent) AS authors FROM {log} WHERE op = 'put' GROUP BY fid),
 live AS (SELECT fid, o[1] AS created_at, o[2] AS author, authors FROM puts WHERE fid NOT IN (SELECT fid FROM {log} WHERE op = 'forget'))
 """
@@ -162,6 +175,7 @@ QUERIES = {
     "authors": (lambda s, d: merge.authors(log(s, d)), f"{LOG} SELECT fid, string_agg(DISTINCT agent, ',' ORDER BY agent) AS authors, count(DISTINCT agent) AS n_authors FROM mem_log WHERE op = 'put' GROUP BY fid"),
     "tombstones": (lambda s, d: merge.tombstones(log(s, d)), f"{LOG} SELECT DISTINCT fid FROM mem_log WHERE op = 'forget'"),
     "live_state": (lambda s, d: merge.live_state(log(s, d)), f"{LOG}{LIVE} SELECT * FROM live"),
+    "stream_live_state": (stream_live_state, f"{LOG}{LIVE} SELECT * FROM live"),
     "live_count": (live_count, f"{LOG}{LIVE} SELECT count(*) AS n FROM live"),
     "live_by_day": (live_by_day, f"{LOG}{LIVE} SELECT CAST(CAST(created_at AS DATE) AS VARCHAR) AS day, author, count(*) AS n FROM live GROUP BY ALL"),
     "forget_effective": (lambda s, d: merge.effective_forgets(log(s, d)), f"{LOG} SELECT fid, agent, ts, event_id, op FROM mem_log WHERE op = 'forget' AND fid IN (SELECT fid FROM mem_log WHERE op = 'put')"),

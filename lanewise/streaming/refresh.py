@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from lanewise.operators import merge
+from lanewise.sources.files import Files
 
 
 def source(spark: SparkSession, folder: str, schema: StructType | str, files_per_batch: int | None = None) -> DataFrame:
@@ -43,3 +44,9 @@ def refreshed(spark: SparkSession, log: DataFrame, checkpoint: str, folder: str)
 
     log.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return seen
+
+
+def saved(spark: SparkSession, folder: str) -> DataFrame:
+    """The last version of a refreshed state."""
+    last = max(int(x[1:]) for x in Files(spark, folder).names(""))
+    return spark.read.parquet(f"{folder}/v{last}")
