@@ -16,7 +16,7 @@ from contextlib import contextmanager, suppress
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise.errors import ChainBroken, Fenced
@@ -223,9 +223,10 @@ class Space:
         lo, hi, epoch = (0, self.next - 1, self.lease.epoch) if level else (self.next, self.next, self.lease.epoch)
         # a writer that was fenced may have left files under the same key: each write has a folder of its own
         folder = f"{self.root}/log/agent={self.agent}/epoch={epoch}/level={level}/lo={lo}/hi={hi}"
-        records.write.mode("overwrite").parquet(folder)
-        counts = self.spark.read.schema(RECORD).parquet(folder).agg(F.count_if(F.col("op") == "put"), F.count_if(F.col("op") == "forget")).first()
-        if not sum(counts):
+        seen = Observation()
+        records.observe(seen, F.count_if(F.col("op") == "put").alias("added"), F.count_if(F.col("op") == "forget").alias("removed")).write.mode("overwrite").parquet(folder)
+        counts = seen.get
+        if not sum(counts.values()):
             self.files.delete(folder.removeprefix(f"{self.root}/"))
             return
         try:
@@ -233,7 +234,7 @@ class Space:
         except Fenced:
             self.files.delete(folder.removeprefix(f"{self.root}/"))
             raise
-        marker = {"agent": self.agent, "epoch": epoch, "level": level, "lo": lo, "hi": hi, "created_at": time.time(), "added": counts[0], "removed": counts[1], "note": note}
+        marker = {"agent": self.agent, "epoch": epoch, "level": level, "lo": lo, "hi": hi, "created_at": time.time(), "note": note} | counts
         if not self.files.save(f"commits/{self.agent}-{epoch:010d}-{level}-{lo:012d}-{hi:012d}.json", marker):
             raise Fenced(f"position {lo} of epoch {epoch} is taken")
         if not level:
