@@ -60,9 +60,21 @@ def repeats(log: DataFrame) -> DataFrame:
 
 
 def revisions(log: DataFrame) -> DataFrame:
-    """Each put's revision: how many times its content had been forgotten and was put again, this time included."""
-    order = Window.partitionBy("fid").orderBy("ts", "event_id")
-    earlier = F.coalesce(F.sum(put().cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    again = put() & (F.lag("op").over(order) == "forget") & (earlier > 0)
-    marked = log.withColumn("again", F.coalesce(again, F.lit(False)).cast("int"))
-    return marked.withColumn("revision", F.sum("again").over(order.rowsBetween(Window.unboundedPreceding, 0))).where(put()).drop("again")
+    """Each put's revision: how many times its content had been forgotten and was put again, this time included.
+
+    Turns from forget to put are counted within days, then over the days of an id, so that no task sorts all of an id.
+    """
+    when, up_to = F.struct("ts", "event_id"), (Window.unboundedPreceding, 0)
+    within = Window.partitionBy("fid", "day").orderBy("ts", "event_id")
+    turn = F.coalesce(put() & (F.lag("op").over(within) == "forget"), F.lit(False)).cast("int")
+    rows = log.withColumn("day", F.to_date("ts")).withColumn("turn", turn).withColumn("inside", F.sum("turn").over(within.rowsBetween(*up_to)))
+    days = rows.groupBy("fid", "day").agg(F.max("inside").alias("turns"), F.min_by("op", when).alias("opens"), F.max_by("op", when).alias("closes"))
+    over = Window.partitionBy("fid").orderBy("day")
+    meets = F.coalesce((F.col("opens") == "put") & (F.lag("closes").over(over) == "forget"), F.lit(False)).cast("int")
+    before = F.coalesce(F.sum("turns").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.withColumn("meets", meets).select("fid", "day", (F.sum("meets").over(over.rowsBetween(*up_to)) + before).alias("offset"))
+    # a put that a tombstone came before, but no put, is no revision
+    late = F.coalesce((F.min(F.when(~put(), when)) < F.min(F.when(put(), when))).cast("int"), F.lit(0))
+    first = log.groupBy("fid").agg(late.alias("late"))
+    numbered = rows.where(put()).join(days, ["fid", "day"]).join(first, "fid")
+    return numbered.withColumn("revision", F.col("inside") + F.col("offset") - F.col("late")).select(*log.columns, "revision")
