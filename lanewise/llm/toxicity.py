@@ -232,6 +232,7 @@ def _unlike(unit: np.ndarray, doc: np.ndarray, sentence: np.ndarray, toxic: np.n
 
 def train(unit: np.ndarray, doc: np.ndarray, sentence: np.ndarray, letters: np.ndarray, start: np.ndarray, toxic: np.ndarray) -> Machine:
     """unit, doc and sentence of each word's occurrence; toxic: each document's label."""
+    pa.default_memory_pool().release_unused()
     n, many = len(start) - 1, len(toxic)
     if not n or not toxic.any() or toxic.all():
         share = toxic.mean() if many else 0.0
@@ -282,30 +283,30 @@ def train(unit: np.ndarray, doc: np.ndarray, sentence: np.ndarray, letters: np.n
         words, sign, weight = (np.append(x[weight > 0], y) for x, y in ((words, altered), (sign, np.ones(len(altered))), (weight, np.full(len(altered), ALTERED / max(len(altered), 1)))))
         used, back = np.unique(np.concatenate([words, landmarks]), return_inverse=True)
         part, cut = T.gathered(letters, start[used], np.diff(start)[used])
-        kernel = _kernels(part, cut, back[len(words) :])
-        square = kernel[back[len(words) :]].astype(np.float64)
+        x = _kernels(part, cut, back[len(words) :])
+        square = x[back[len(words) :]].astype(np.float64)
         root, axes = np.linalg.eigh((square + square.T) / 2)
         whiten = (axes * (1 / np.sqrt(np.maximum(root, 1e-3)))).astype(np.float32)
-        x = np.ones((len(words), len(landmarks) + 1), np.float32)
-        for lo in range(0, len(words), ROWS):
-            x[lo : lo + ROWS, :-1] = kernel[back[lo : min(lo + ROWS, len(words))]] @ whiten
-        del kernel, square
-        w = np.zeros(x.shape[1])
-        loss = lambda w: (weight * np.maximum(1 - sign * (x @ w.astype(np.float32)), 0) ** 2).sum() + RIDGE * (w @ w)
+        for lo in range(0, len(x), ROWS):
+            x[lo : lo + ROWS] = x[lo : lo + ROWS] @ whiten
+        at, w = back[: len(words)], np.zeros(len(landmarks) + 1)
+        margin = lambda w: sign * (x @ w[:-1].astype(np.float32) + w[-1])[at]
+        loss = lambda w: (weight * np.maximum(1 - margin(w), 0) ** 2).sum() + RIDGE * (w @ w)
         for _ in range(STEPS):  # Newton's method on the squared hinge loss, with shorter steps where they gain more
-            curve, slope = RIDGE * np.eye(len(w)), np.zeros(len(w))
+            inside = margin(w) < 1
+            mass, pull = (np.bincount(at[inside], c[inside], len(x)).astype(np.float32) for c in (weight, weight * sign))
+            curve, slope = RIDGE * np.eye(len(w)), np.append(pull @ x, pull.sum())
             for lo in range(0, len(x), ROWS):
-                part = slice(lo, lo + ROWS)
-                inside = sign[part] * (x[part] @ w.astype(np.float32)) < 1
-                near = x[part][inside]
-                pull = near * weight[part][inside, None]
-                curve += pull.T @ near
-                slope += pull.T @ sign[part][inside]
+                own = lo + np.flatnonzero(mass[lo : lo + ROWS])
+                curve[:-1, :-1] += (x[own] * mass[own, None]).T @ x[own]
+            curve[-1, :-1] = curve[:-1, -1] = mass @ x
+            curve[-1, -1] += mass.sum()
             to = np.linalg.solve(curve, slope)
             best = min((w + k * (to - w) for k in (1, 0.5, 0.25, 0.1, 0.03)), key=loss)
             if loss(best) >= loss(w) - 1e-9:
                 break
             w = best
+        del x, square
         machine = Machine(_weights(letters, start, landmarks, whiten @ w[:-1]), float(w[-1]), np.zeros(4))
         value = machine.values(letters, start)[:n]
         # the next round's drawn landmarks are ordinary words that this machine takes for toxic, the more frequent first
@@ -344,18 +345,22 @@ def learned(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> Machine:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("label").slice(lo, hi - lo), *lists], ["doc_id", "label", "sentences", "words"])
 
     rows = chosen.select("doc_id", "label", "text").mapInArrow(gather, "doc_id long, label int, sentences array<int>, words array<binary>").toArrow()
-    rows = rows.sort_by("doc_id").combine_chunks()
     if not rows.num_rows:
         return train(*(np.empty(0, np.int64) for _ in range(3)), np.empty(0, np.uint8), np.zeros(1, np.int64), np.empty(0, bool))
+    made = list(_occurrences(rows.sort_by("doc_id").combine_chunks()))
+    del rows
+    return train(*(made.pop(0) for _ in range(6)))  # nothing else holds what train() reworks
+
+
+def _occurrences(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """What train() takes, from doc_id, label and lists of sentences and words; copies, so that Arrow's memory goes."""
     doc = np.repeat(np.arange(rows.num_rows, dtype=np.int32), pc.list_value_length(rows.column("words")).to_numpy())
     own = pc.list_flatten(rows.column("sentences")).to_numpy()
     # sentences are numbered through: a new one wherever the document or the number within it changes
     sentence = np.cumsum(np.append(True, (doc[1:] != doc[:-1]) | (own[1:] != own[:-1])), dtype=np.int32)
     words = pc.dictionary_encode(pc.list_flatten(rows.column("words")).combine_chunks())
-    toxic = rows.column("label").to_numpy() > 0
-    del rows, own
     letters, start = T.strings(words.dictionary)
-    return train(words.indices.to_numpy(), doc, sentence, letters, start, toxic)
+    return words.indices.to_numpy().copy(), doc, sentence, letters.copy(), start.copy(), rows.column("label").to_numpy() > 0
 
 
 def scored(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> DataFrame:
