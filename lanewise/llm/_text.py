@@ -175,19 +175,23 @@ def gathered(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.n
     """The bytes of many stretches one after another, and their offsets."""
     offs = np.zeros(len(size) + 1, np.int64)
     np.cumsum(size, out=offs[1:])
-    at = np.arange(offs[-1]) + np.repeat(start - offs[:-1], size)
-    return raw[at], offs
+    out = np.empty(offs[-1], raw.dtype)
+    for lo, hi in pieces(offs):  # places take eight times the bytes
+        out[offs[lo] : offs[hi]] = raw[_places(start[lo:hi], offs[lo : hi + 1])]
+    return out, offs
+
+
+def _places(start: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    return np.arange(offs[-1] - offs[0]) + np.repeat(start - (offs[:-1] - offs[0]), np.diff(offs))
 
 
 def spaced(raw: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
     """All words each followed by one space, and where each begins."""
-    if not len(words):
-        return np.empty(0, np.uint8), np.zeros(1, np.int64)
-    size = words.end - words.start + 1
-    offs = np.zeros(len(size) + 1, np.int64)
-    np.cumsum(size, out=offs[1:])
-    at = np.arange(offs[-1]) + np.repeat(words.start - offs[:-1], size)
-    out = raw[np.minimum(at, len(raw) - 1)]
+    offs = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(words.end - words.start + 1, out=offs[1:])
+    out = np.empty(offs[-1], np.uint8)
+    for lo, hi in pieces(offs):
+        out[offs[lo] : offs[hi]] = raw[np.minimum(_places(words.start[lo:hi], offs[lo : hi + 1]), len(raw) - 1)]
     out[offs[1:] - 1] = 0x20
     return out, offs
 
