@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from . import _text as T
+
 #: Bytes of text in a block: what one task holds at a time.
 BLOCK_BYTES = 4 << 20
 NULL_ID = np.iinfo(np.int64).max
@@ -42,6 +44,47 @@ def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     return max(1, -(-total // block_bytes))
 
 
+def heavy(docs: DataFrame, weigh: Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], most: int, different: int | None = None) -> np.ndarray:
+    """Upper halves of keys, in order, whose strings take more than `most` bytes in all documents, or more than
+    `different` bytes if equal strings are counted once. weigh gives key, name and bytes of each string of some texts.
+    Halves of keys and names are counted, which halves what is shuffled; keys with equal halves count together."""
+    half = T.U64(32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, name, size in weigh(batch.column(0)):
+                pair = (key >> half << half) | (name >> half if different else T.U64(0))
+                pair, first, of = np.unique(pair, return_index=True, return_inverse=True)
+                total = np.bincount(of, size, len(pair)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(size[first].astype(np.int64)), pa.array(total)], ["pair", "size", "total"])
+
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "pair long, size long, total long")
+    over = F.sum("total") > most
+    if different:
+        found = found.groupBy("pair").agg(F.first("size").alias("size"), F.sum("total").alias("total"))
+        over = over | (F.sum("size") > different)
+    found = found.groupBy(F.shiftrightunsigned("pair", 32).alias("key")).agg(over.alias("over")).where("over").select("key").toArrow()
+    return np.sort(found.column("key").to_numpy().astype(np.uint64))
+
+
+def classes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by (a, b), where in it each different pair begins, and each place's pair."""
+    order = np.lexsort((b, a))
+    new = np.ones(len(order), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), of
+
+
+def among(keys: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """Whether the upper half of each key is in heavy."""
+    if not len(heavy):
+        return np.zeros(len(keys), bool)
+    upper = keys >> T.U64(32)
+    return heavy[np.minimum(np.searchsorted(heavy, upper), len(heavy) - 1)] == upper
+
+
 def packed(docs: DataFrame, n: int, whole: bool = False) -> DataFrame:
     """doc_id and text in n blocks, as compressed payloads dealt by block; with whole, all columns after these two."""
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block")

@@ -6,6 +6,10 @@ as one string. In a bucket, strings that only copy each other are repeated as a
 minimiser are joined, their suffix array is built by induced sorting, and the permuted common prefixes of neighbours
 tell which stretches also start elsewhere. Equal strings of a block of documents travel once.
 
+Minimisers with more different strings than one suffix array may hold (the edges of a passage that very many documents
+share), or with very many copies, are counted out first. Their stretches are dealt one by one, by 128-bit hashes of the
+whole stretch, and counted; equal stretches of a block travel once. So no minimiser's bytes outgrow a task.
+
 Cases: null is an empty text; a text shorter than a stretch loses nothing; repeated rows and rows of one doc_id are
 documents of their own; a null doc_id is kept; an empty table gives an empty result; further columns are ignored.
 """
@@ -25,61 +29,113 @@ from ._suffix import repeated
 LENGTH, GRAM = 200, 32
 #: Most stretches in a run, and bytes of one suffix array.
 LONGEST, SHARD_BYTES = 4096, 2 << 20
+#: Most bytes of one minimiser's strings in a bucket, copies included, in suffix arrays' bytes.
+COPIES = 16
 
 
 class _Runs:
     """Runs of stretches with one minimiser in a block's documents."""
 
-    def __init__(self, table: pa.Table, length: int, gram: int):
+    def __init__(self, table: pa.Table, length: int, gram: int, heavy: np.ndarray):
         self.ids, text = B.unpack(table)
         self.raw, self.offs = T.strings(text)
-        parts = [self._part(lo, hi, length, gram) for lo, hi in T.pieces(self.offs)]
+        parts = [_part(self.raw, self.offs, lo, hi, length, gram) for lo, hi in T.pieces(self.offs)]
         self.start, self.size, low, self.inner, whole = (np.concatenate(x) for x in zip(*parts)) if parts else [np.empty(0, k) for k in (np.int64, np.int64, T.U64, bool, T.U64)]
-        order = np.lexsort((whole, low))
-        new = np.ones(len(order), bool)
-        new[1:] = (whole[order][1:] != whole[order][:-1]) | (low[order][1:] != low[order][:-1])
-        head = np.flatnonzero(new)
-        self.of = np.empty(len(order), np.int64)
-        self.of[order] = np.cumsum(new) - 1
+        order, head, self.of = B.classes(low, whole)
         self.first, self.many = order[head], np.diff(np.append(head, len(order))) > 1
         self.low = low[self.first]
-
-    def _part(self, lo: int, hi: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
-        base = self.offs[lo]
-        raw, offs = self.raw[base : self.offs[hi]], self.offs[lo : hi + 1] - base
-        roll = T.Rolling(raw)
-        hashes = T.mix(roll.windows(gram))
-        lows = T.sliding_min(hashes, length - gram + 1) if len(raw) >= length else np.empty(0, T.U64)
-        room = np.maximum(np.diff(offs) - length + 1, 0)
-        valid = np.arange(room.sum()) + np.repeat(offs[:-1] - np.append(0, np.cumsum(room)[:-1]), room)
-        low = lows[valid]
-        new = np.ones(len(valid), bool)
-        new[1:] = (valid[1:] != valid[:-1] + 1) | (low[1:] != low[:-1])
-        at = np.flatnonzero(new)
-        since = np.arange(len(valid)) - np.repeat(at, np.diff(np.append(at, len(valid))))
-        at = np.flatnonzero(new | (since % LONGEST == 0))
-        start, size, low = valid[at], np.diff(np.append(at, len(valid))), low[at]
-        # a run in which the minimiser stands twice may repeat a stretch within itself
-        inner = np.zeros(len(at), bool)
-        if len(at):
-            spot = np.flatnonzero(hashes <= low.max())
-            keys, name = np.unique(hashes[spot], return_inverse=True)
-            spots = np.sort(name * len(raw) + spot)
-            own = np.searchsorted(keys, low) * len(raw)
-            inner = np.searchsorted(spots, own + start + size - 1 + length - gram, "right") - np.searchsorted(spots, own + start) > 1
-        return start + base, size, low, inner, roll.stretches(start, start + size + length - 1)
+        self.heavy = B.among(self.low, heavy)
+
+
+class _Stretches:
+    """The different stretches of the heavy minimisers' strings in a block."""
+
+    def __init__(self, runs: _Runs, length: int):
+        self.string = np.flatnonzero(runs.heavy)
+        own = runs.first[self.string]
+        size = runs.size[own]
+        raw, offs = T.gathered(runs.raw, runs.start[own], size + length - 1)
+        keys = [_keys(raw[offs[a] : offs[b]], offs[a:b] - offs[a], size[a:b], length) for a, b in T.pieces(offs)]
+        a, b = (np.concatenate(x) for x in zip(*keys)) if keys else (np.empty(0, T.U64), np.empty(0, T.U64))
+        order, head, self.of = B.classes(a, b)
+        self.a, self.b = a[order[head]], b[order[head]]
+        copies = 1 + np.repeat(runs.many[self.string], size)
+        self.many = np.add.reduceat(copies[order], head) > 1 if len(head) else np.empty(0, bool)
+        self.offs = np.append(0, np.cumsum(size))
+
+    def ranges(self, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The string of each range of stretches that are hit, and the ranges."""
+        last = np.zeros(self.offs[-1] + 1, bool)
+        last[self.offs] = True
+        found = hit[self.of]
+        at = np.arange(len(found))
+        a = at[found & (~np.append(False, found[:-1]) | last[:-1])]
+        b = at[found & (~np.append(found[1:], False) | last[1:])] + 1
+        string = np.searchsorted(self.offs, a, "right") - 1
+        return self.string[string], np.stack([a - self.offs[string], b - self.offs[string]], 1)
+
+
+def _keys(raw: np.ndarray, start: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each stretch of some strings: from each start, as many as its size."""
+    at = np.arange(size.sum()) + np.repeat(start - np.append(0, np.cumsum(size)[:-1]), size)
+    one, two = (T.Rolling(raw, base).stretches(at, at + length) for base in (T.BASE, T.WORD_BASE))
+    return one, two
+
+
+def _part(raw: np.ndarray, offs: np.ndarray, lo: int, hi: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    base = offs[lo]
+    raw, offs = raw[base : offs[hi]], offs[lo : hi + 1] - base
+    roll = T.Rolling(raw)
+    hashes = T.mix(roll.windows(gram))
+    lows = T.sliding_min(hashes, length - gram + 1) if len(raw) >= length else np.empty(0, T.U64)
+    room = np.maximum(np.diff(offs) - length + 1, 0)
+    valid = np.arange(room.sum()) + np.repeat(offs[:-1] - np.append(0, np.cumsum(room)[:-1]), room)
+    low = lows[valid]
+    new = np.ones(len(valid), bool)
+    new[1:] = (valid[1:] != valid[:-1] + 1) | (low[1:] != low[:-1])
+    at = np.flatnonzero(new)
+    since = np.arange(len(valid)) - np.repeat(at, np.diff(np.append(at, len(valid))))
+    at = np.flatnonzero(new | (since % LONGEST == 0))
+    start, size, low = valid[at], np.diff(np.append(at, len(valid))), low[at]
+    # a run in which the minimiser stands twice may repeat a stretch within itself
+    inner = np.zeros(len(at), bool)
+    if len(at):
+        spot = np.flatnonzero(hashes <= low.max())
+        keys, name = np.unique(hashes[spot], return_inverse=True)
+        spots = np.sort(name * len(raw) + spot)
+        own = np.searchsorted(keys, low) * len(raw)
+        inner = np.searchsorted(spots, own + start + size - 1 + length - gram, "right") - np.searchsorted(spots, own + start) > 1
+    return start + base, size, low, inner, roll.stretches(start, start + size + length - 1)
 
 
 def removed_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
-    n = B.block_count(docs)
+    n, limit = B.block_count(docs), SHARD_BYTES
+
+    def weigh(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        raw, offs = T.strings(text)
+        for lo, hi in T.pieces(offs):
+            _, size, low, _, whole = _part(raw, offs, lo, hi, length, gram)
+            yield low, whole, size + length - 1
+
+    sent_heavy = docs.sparkSession.sparkContext.broadcast(B.heavy(docs, weigh, COPIES * limit, limit))
 
     def place(runs: _Runs) -> tuple[np.ndarray, np.ndarray]:
         bucket = (T.mix(runs.low + T.U64(1)) % T.U64(n)).astype(np.int64)
+        light = np.flatnonzero(~runs.heavy)
+        return bucket, light[np.argsort(bucket[light], kind="stable")]
+
+    def place_stretches(each: _Stretches) -> tuple[np.ndarray, np.ndarray]:
+        bucket = (T.mix(each.a ^ each.b) % T.U64(n)).astype(np.int64)
         return bucket, np.argsort(bucket, kind="stable")
 
     def send(block: int, table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
-        runs = _Runs(table, length, gram)
+        runs = _Runs(table, length, gram, sent_heavy.value)
+        if runs.heavy.any():
+            each = _Stretches(runs, length)
+            bucket, order = place_stretches(each)
+            yield from B.mail(bucket[order], block, {"a": pa.array(each.a[order]), "b": pa.array(each.b[order]), "many": pa.array(each.many[order])})
+            del each
         bucket, order = place(runs)
         own = runs.first[order]
         raw, offs = T.gathered(runs.raw, runs.start[own], runs.size[own] + length - 1)
@@ -87,6 +143,23 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
         yield from B.mail(bucket[order], block, {"low": pa.array(runs.low[order]), "flags": pa.array(flags.astype(np.uint8)), "bytes": T.string_array(raw, offs)})
 
     def solve(got: list[tuple[int, pa.Table]]) -> Iterator[tuple[int, bytes]]:
+        for some, solver in (([x for x in got if "many" in x[1].column_names], solve_stretches), ([x for x in got if "bytes" in x[1].column_names], solve_strings)):
+            if some:
+                yield from solver(some)
+
+    def solve_stretches(got: list[tuple[int, pa.Table]]) -> Iterator[tuple[int, bytes]]:
+        whole = pa.concat_tables([t for _, t in got])
+        source = np.repeat(np.arange(len(got)), [t.num_rows for _, t in got])
+        a, b, many, at = (whole.column(c).to_numpy() for c in ("a", "b", "many", "at"))
+        order, head, of = B.classes(a, b)
+        copies = np.add.reduceat(1 + many[order], head) > 1
+        rows = np.flatnonzero(copies[of] & ~many)
+        for k, (block, _) in enumerate(got):
+            own = rows[source[rows] == k]
+            if len(own):
+                yield block, B.dumps(pa.table({"at": pa.array(at[own])}))
+
+    def solve_strings(got: list[tuple[int, pa.Table]]) -> Iterator[tuple[int, bytes]]:
         whole = pa.concat_tables([t for _, t in got])
         source = np.repeat(np.arange(len(got)), [t.num_rows for _, t in got])
         low, flags, at = (whole.column(c).to_numpy() for c in ("low", "flags", "at"))
@@ -106,7 +179,7 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
         hard = np.flatnonzero(alike | inner & ~copies)
         # a minimiser's strings stay together
         opens = np.flatnonzero(np.diff(group[hard], prepend=-1))
-        shard = np.repeat((np.cumsum(np.diff(offs)[first[hard]]) // SHARD_BYTES)[opens], np.diff(np.append(opens, len(hard))))
+        shard = np.repeat((np.cumsum(np.diff(offs)[first[hard]]) // limit)[opens], np.diff(np.append(opens, len(hard))))
         for k in np.unique(shard):
             own = hard[shard == k]
             part, poffs = T.gathered(raw, offs[first[own]], np.diff(offs)[first[own]])
@@ -132,12 +205,26 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
                 yield block, B.dumps(pa.table({"at": pa.array(at[own]), "ranges": pa.LargeListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(found).astype(np.int32)))}))
 
     def apply(table: pa.Table, answers: list[pa.Table]) -> pa.Table:
-        runs = _Runs(table, length, gram)
+        runs = _Runs(table, length, gram, sent_heavy.value)
         _, order = place(runs)
         ranges: list[np.ndarray] = []
-        count = np.zeros(len(order), np.int64)
+        count = np.zeros(len(runs.first), np.int64)
         place_of = []
+        if runs.heavy.any():
+            each = _Stretches(runs, length)
+            _, to_stretch = place_stretches(each)
+            hit = each.many.copy()
+            for answer in answers:
+                if "ranges" not in answer.column_names:
+                    hit[to_stretch[answer.column("at").to_numpy()]] = True
+            string, pairs = each.ranges(hit)
+            count += np.bincount(string, minlength=len(count))
+            place_of.append(np.unique(string))
+            ranges.append(pairs)
+            del each
         for answer in answers:
+            if "ranges" not in answer.column_names:
+                continue
             to = order[answer.column("at").to_numpy()]
             column = answer.column("ranges").combine_chunks()
             count[to] = np.diff(column.offsets.to_numpy()) // 2
@@ -146,7 +233,7 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
         edge = np.zeros(len(runs.raw) + 1, np.int64)
         if ranges:
             to, pairs = np.concatenate(place_of), np.concatenate(ranges)
-            begin = np.zeros(len(order), np.int64)
+            begin = np.zeros(len(count), np.int64)
             begin[to] = np.append(0, np.cumsum(count[to])[:-1])
             many = count[runs.of]
             at = np.arange(many.sum()) + np.repeat(begin[runs.of] - np.append(0, np.cumsum(many)[:-1]), many)
