@@ -6,6 +6,10 @@ that minimiser. Equal windows have equal minimisers, so a bucket sees all occurr
 and finds for each the least doc_id in which it starts. Equal super-k-mers of a block travel once, with their least
 doc_id, so thousands of copies cost a bucket one string a block.
 
+Minimisers with more bytes than HEAVY in all documents (a frequent gram, the edges of a passage that very many share)
+are counted out first. Their windows are dealt one by one, by 128-bit hashes of the whole window with the least doc_id
+of the block, so no minimiser's bytes outgrow a task.
+
 Cases: null text has no words; an empty text or one of fewer words than a window loses nothing; rows with the same
 doc_id are not smaller than each other; a null doc_id counts as larger than every other; an empty table gives an
 empty result; other columns of the input are ignored.
@@ -23,30 +27,23 @@ from . import _blocks as B
 from . import _text as T
 
 WINDOW, GRAM, LONGEST = 13, 3, 64
+#: Most bytes of one minimiser's super-k-mers in a bucket.
+HEAVY = 2 << 20
 
 
 class _Runs:
     """The super-k-mers of a block's documents."""
 
-    def __init__(self, table: pa.Table, window: int, gram: int):
+    def __init__(self, table: pa.Table, window: int, gram: int, heavy: np.ndarray):
         self.ids, text = B.unpack(table)
         self.text = text
         self.raw, self.offs = T.strings(text)
         self.words = w = T.Words(self.raw, self.offs)
         self.key = B.ids(self.ids)
-        valid = np.flatnonzero(w.whole(window))
-        lows = T.sliding_min(w.grams(gram), window - gram + 1)
-        low = lows[valid] if len(valid) else np.empty(0, T.U64)
-        new = np.ones(len(valid), bool)
-        new[1:] = (valid[1:] != valid[:-1] + 1) | (low[1:] != low[:-1])
-        at = np.flatnonzero(new)
-        # a run of more than LONGEST windows is cut, which repeats no window
-        since = np.arange(len(valid)) - np.repeat(at, np.diff(np.append(at, len(valid))))
-        at = np.flatnonzero(new | (since % LONGEST == 0))
-        self.word, self.size = valid[at], np.diff(np.append(at, len(valid)))
+        self.word, self.size, low = _parted(w, window, gram)
         self.doc = self.key[np.searchsorted(w.first, self.word, "right") - 1]
-        whole = T.Rolling(w.hash, T.WORD_BASE).stretches(self.word, self.word + self.size + window - 1) if len(at) else low
-        bucket = T.mix(low[at] + T.U64(1))
+        whole = T.Rolling(w.hash, T.WORD_BASE).stretches(self.word, self.word + self.size + window - 1) if len(low) else low
+        bucket = T.mix(low + T.U64(1))
         order = np.lexsort((whole, bucket))
         same = (whole[order][1:] == whole[order][:-1]) & (bucket[order][1:] == bucket[order][:-1])
         self.head = np.flatnonzero(np.append(True, ~same)) if len(order) else order
@@ -55,6 +52,37 @@ class _Runs:
         self.first = order[self.head]
         self.least = np.minimum.reduceat(self.doc[order], self.head) if len(order) else self.doc
         self.bucket = bucket[self.first]
+        self.heavy = B.among(self.bucket, heavy)
+
+
+class _Windows:
+    """The different windows of the heavy minimisers' super-k-mers in a block, each with its least doc_id."""
+
+    def __init__(self, runs: _Runs, window: int):
+        self.string = np.flatnonzero(runs.heavy)
+        own = runs.first[self.string]
+        self.size = runs.size[own]
+        hashes, offs = T.gathered(runs.words.hash, runs.word[own], self.size + window - 1)
+        at = np.arange(self.size.sum()) + np.repeat(offs[:-1] - np.append(0, np.cumsum(self.size)[:-1]), self.size)
+        a, b = T.grams(hashes, window)[at], T.grams(T.mix(hashes), window)[at]
+        order, head, self.of = B.classes(a, b)
+        self.a, self.b = a[order[head]], b[order[head]]
+        doc = np.repeat(runs.least[self.string], self.size)
+        self.least = np.minimum.reduceat(doc[order], head) if len(head) else doc
+
+
+def _parted(w: T.Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, number of windows and least hash of each super-k-mer."""
+    valid = np.flatnonzero(w.whole(window))
+    lows = T.sliding_min(w.grams(gram), window - gram + 1)
+    low = lows[valid] if len(valid) else np.empty(0, T.U64)
+    new = np.ones(len(valid), bool)
+    new[1:] = (valid[1:] != valid[:-1] + 1) | (low[1:] != low[:-1])
+    at = np.flatnonzero(new)
+    # a run of more than LONGEST windows is cut, which repeats no window
+    since = np.arange(len(valid)) - np.repeat(at, np.diff(np.append(at, len(valid))))
+    at = np.flatnonzero(new | (since % LONGEST == 0))
+    return valid[at], np.diff(np.append(at, len(valid))), low[at]
 
 
 def removed_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = False) -> DataFrame:
@@ -66,12 +94,33 @@ def removed_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts
     columns = docs.columns
     n = B.block_count(docs)
 
+    def weigh(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        raw, offs = T.strings(text)
+        for lo, hi in T.pieces(offs):
+            w = T.Words(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+            word, size, low = _parted(w, window, gram)
+            at = np.append(0, np.cumsum(w.end - w.start + 1))
+            key = T.mix(low + T.U64(1))
+            yield key, key, at[word + size + window - 1] - at[word]
+
+    sent_heavy = docs.sparkSession.sparkContext.broadcast(B.heavy(docs, weigh, HEAVY))
+
     def place(runs: _Runs) -> tuple[np.ndarray, np.ndarray]:
         bucket = (runs.bucket % T.U64(n)).astype(np.int64)
+        light = np.flatnonzero(~runs.heavy)
+        return bucket, light[np.argsort(bucket[light], kind="stable")]
+
+    def place_windows(each: _Windows) -> tuple[np.ndarray, np.ndarray]:
+        bucket = (T.mix(each.a ^ each.b) % T.U64(n)).astype(np.int64)
         return bucket, np.argsort(bucket, kind="stable")
 
     def send(block: int, table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
-        runs = _Runs(table, window, gram)
+        runs = _Runs(table, window, gram, sent_heavy.value)
+        if runs.heavy.any():
+            each = _Windows(runs, window)
+            bucket, order = place_windows(each)
+            yield from B.mail(bucket[order], block, {"a": pa.array(each.a[order]), "b": pa.array(each.b[order]), "doc": pa.array(each.least[order])})
+            del each
         bucket, order = place(runs)
         packed, at = T.spaced(runs.raw, runs.words)
         word = runs.word[runs.first][order]
@@ -80,6 +129,23 @@ def removed_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts
         yield from B.mail(bucket[order], block, {"doc": pa.array(runs.least[order]), "words": T.string_array(raw, offs)})
 
     def solve(got: list[tuple[int, pa.Table]]) -> Iterator[tuple[int, bytes]]:
+        for some, solver in (([x for x in got if "a" in x[1].column_names], solve_windows), ([x for x in got if "words" in x[1].column_names], solve_strings)):
+            if some:
+                yield from solver(some)
+
+    def solve_windows(got: list[tuple[int, pa.Table]]) -> Iterator[tuple[int, bytes]]:
+        whole = pa.concat_tables([t for _, t in got])
+        source = np.repeat(np.arange(len(got)), [t.num_rows for _, t in got])
+        a, b, doc, at = (whole.column(c).to_numpy() for c in ("a", "b", "doc", "at"))
+        order, head, of = B.classes(a, b)
+        least = np.minimum.reduceat(doc[order], head)[of]
+        rows = np.flatnonzero(least < doc)
+        for k, (block, _) in enumerate(got):
+            own = rows[source[rows] == k]
+            if len(own):
+                yield block, B.dumps(pa.table({"at": pa.array(at[own]), "doc": pa.array(least[own])}))
+
+    def solve_strings(got: list[tuple[int, pa.Table]]) -> Iterator[tuple[int, bytes]]:
         whole = pa.concat_tables([t for _, t in got])
         source = np.repeat(np.arange(len(got)), [t.num_rows for _, t in got])
         doc, at = whole.column("doc").to_numpy(), whole.column("at").to_numpy()
@@ -106,13 +172,23 @@ def removed_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts
                 yield block, B.dumps(pa.table({"at": pa.array(at[own]), "least": pa.LargeListArray.from_arrays(pa.array(offs), pa.array(low))}))
 
     def apply(table: pa.Table, answers: list[pa.Table]) -> pa.Table:
-        runs = _Runs(table, window, gram)
+        runs = _Runs(table, window, gram, sent_heavy.value)
         _, order = place(runs)
         size = runs.size[runs.first]
         offs = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=offs[1:])
         least = np.repeat(runs.least, size)
+        if runs.heavy.any():
+            each = _Windows(runs, window)
+            _, to_window = place_windows(each)
+            for answer in answers:
+                if "doc" in answer.column_names:
+                    each.least[to_window[answer.column("at").to_numpy()]] = answer.column("doc").to_numpy()
+            least[np.repeat(runs.heavy, size)] = each.least[each.of]
+            del each
         for answer in answers:
+            if "doc" in answer.column_names:
+                continue
             to = order[answer.column("at").to_numpy()]
             column = answer.column("least").combine_chunks()
             low = column.flatten().to_numpy()

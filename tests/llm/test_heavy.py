@@ -10,7 +10,8 @@ import numpy as np
 
 from lanewise.llm import _blocks as B
 from lanewise.llm import queries as Q
-from lanewise.llm import suffixes
+from lanewise.llm import _text as T
+from lanewise.llm import suffixes, superkmers
 
 LIMIT = 3000
 
@@ -66,3 +67,33 @@ def test_all_stretches_dealt_one_by_one(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(B, "block_count", lambda docs: 5)
     docs = shared() + [(1000 + i, t) for i, t in corpus.texts()]
     assert rows(Q.op1_suffix_dedup(spark, corpus.write(tmp_path, docs)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.op1(docs))
+
+
+def test_super_k_mers_are_bounded(spark, tmp_path, monkeypatch):
+    limit = LIMIT
+
+    def check(got):
+        size = {}
+        for _, t in got:
+            if "words" in t.column_names and t.num_rows:
+                raw, offs = T.strings(t.column("words"))
+                w = T.Words(raw, offs)
+                grams = w.grams(3)
+                for k in range(t.num_rows):
+                    low = int(grams[w.first[k] : w.first[k + 1] - 2].min())
+                    size[low] = size.get(low, 0) + int(offs[k + 1] - offs[k])
+        if max(size.values(), default=0) > limit:
+            raise AssertionError(f"{max(size.values())} bytes of one minimiser")
+
+    watched(monkeypatch, check)
+    monkeypatch.setattr(superkmers, "HEAVY", limit, raising=False)
+    monkeypatch.setattr(B, "block_count", lambda docs: 7)
+    docs = shared()
+    assert rows(Q.op10_superkmer_dedup(spark, corpus.write(tmp_path, docs)), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.op10(docs))
+
+
+def test_all_windows_dealt_one_by_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(superkmers, "HEAVY", 1, raising=False)
+    monkeypatch.setattr(B, "block_count", lambda docs: 5)
+    docs = shared() + [(1000 + i, t) for i, t in corpus.texts()]
+    assert rows(Q.op10_superkmer_dedup(spark, corpus.write(tmp_path, docs)), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.op10(docs))
