@@ -4,6 +4,10 @@ Operators that compare every stretch of text with all others work in three steps
 its stretches, packed and compressed, to buckets chosen by content; each bucket answers the blocks; each block
 applies the answers. A block is a hash class of (doc_id, text), so a task that is run again after an executor was
 lost makes the same block. The packed texts cross the network once: both uses share one exchange.
+
+A message holds all that one block has for one bucket, without a header of its own, and none is empty. So there are at
+most as many as stretches are sent, however many blocks there are: with few blocks a message has thousands of
+stretches, with very many it is a row with one.
 """
 
 from __future__ import annotations
@@ -24,6 +28,9 @@ BLOCK_BYTES = 4 << 20
 NULL_ID = np.iinfo(np.int64).max
 BLOCKS = "block int, payload binary"
 MAIL = "bucket int, block int, payload binary"
+CODEC = pa.Codec("zstd", 3)
+#: Bytes of a message from which it is compressed.
+SMALL = 256
 OPTIONS = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
 
 
@@ -140,41 +147,120 @@ def ids(column: pa.ChunkedArray) -> np.ndarray:
     return column.fill_null(NULL_ID).to_numpy()
 
 
-def mail(bucket: np.ndarray, block: int, columns: dict[str, pa.Array]) -> Iterator[tuple[int, int, bytes]]:
-    """One packed row for each bucket; bucket must be sorted and columns in its order. at is the place in that order."""
-    at = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(bucket)] if len(bucket) else [0]
-    whole = pa.table({"at": pa.array(np.arange(len(bucket), dtype=np.int32)), **columns})
+class Form:
+    """The columns of a kind of message: numbers of some type, or lists of them ("[u1]"), as sizes and then all values."""
+
+    def __init__(self, kind: int, **columns: str):
+        self.kind = kind
+        self.columns = {c: (np.dtype(f"<{t.strip('[]')}"), t[0] == "[") for c, t in columns.items()}
+
+    def pack(self, first: int, lo: int, hi: int, columns: dict) -> bytes:
+        """Rows lo to hi; first is the number that the receiver gets for the first of them."""
+        parts = [np.array([first, hi - lo], "<u4").tobytes()]
+        for c, (kind, listed) in self.columns.items():
+            if listed:
+                flat, offs = columns[c]
+                parts += [np.diff(offs[lo : hi + 1]).astype("<u4").tobytes(), flat[offs[lo] : offs[hi]].astype(kind, copy=False).tobytes()]
+            else:
+                parts.append(columns[c][lo:hi].astype(kind, copy=False).tobytes())
+        data = b"".join(parts)
+        if len(data) < SMALL:
+            return bytes([2 * self.kind]) + data
+        return bytes([2 * self.kind + 1]) + len(data).to_bytes(4, "little") + CODEC.compress(data, asbytes=True)
+
+    def unpack(self, data: bytes) -> dict:
+        first, n = np.frombuffer(data, "<u4", 2).tolist()
+        out, at = {"#first": first, "#n": n}, 8
+        for c, (kind, listed) in self.columns.items():
+            size = n
+            if listed:
+                sizes = np.frombuffer(data, "<u4", n, at)
+                out[f"#{c}"], size, at = sizes, int(sizes.sum()), at + 4 * n
+            out[c] = np.frombuffer(data, kind, size, at)
+            at += size * kind.itemsize
+        return out
+
+
+def opened(payload: pa.Buffer) -> tuple[int, bytes]:
+    """A message's kind and its data."""
+    data = payload.to_pybytes()
+    if data[0] % 2 == 0:
+        return data[0] // 2, data[1:]
+    return data[0] // 2, CODEC.decompress(data[5:], int.from_bytes(data[1:5], "little"), asbytes=True)
+
+
+class Letters:
+    """Messages of one form that a task has got, and whom each is from; columns of all, one after another."""
+
+    def __init__(self, form: Form, got: list[tuple[int, bytes]]):
+        self.form, self.blocks = form, [b for b, _ in got]
+        parts = [form.unpack(x) for _, x in got]
+        self.counts = np.array([x["#n"] for x in parts], np.int64)
+        self.source = np.repeat(np.arange(len(parts)), self.counts)
+        self.at = np.concatenate([np.arange(x["#first"], x["#first"] + x["#n"]) for x in parts]) if parts else np.empty(0, np.int64)
+        self.columns = {}
+        for c, (kind, listed) in form.columns.items():
+            flat = np.concatenate([x[c] for x in parts]) if parts else np.empty(0, kind)
+            self.columns[c] = (flat, np.append(0, np.cumsum(np.concatenate([x[f"#{c}"] for x in parts]), dtype=np.int64)) if parts else np.zeros(1, np.int64)) if listed else flat
+
+    def __getitem__(self, column: str):
+        return self.columns[column]
+
+    def __len__(self) -> int:
+        return len(self.source)
+
+    def by_sender(self, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """For each sender some of whose rows are among these (in ascending order): its block, and these."""
+        cut = np.searchsorted(rows, np.append(0, np.cumsum(self.counts)))
+        for block, lo, hi in zip(self.blocks, cut, cut[1:]):
+            if lo < hi:
+                yield block, rows[lo:hi]
+
+
+def letters(got: list[tuple[int, pa.Buffer]], *forms: Form) -> list[Letters]:
+    """The messages by form."""
+    own: dict[int, list[tuple[int, bytes]]] = {f.kind: [] for f in forms}
+    for block, payload in got:
+        kind, data = opened(payload)
+        own[kind].append((block, data))
+    return [Letters(f, own[f.kind]) for f in forms]
+
+
+def mail(form: Form, bucket: np.ndarray, columns: dict) -> Iterator[tuple[int, bytes]]:
+    """One message for each bucket; bucket must be sorted and columns in its order, which numbers the rows."""
+    at = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)] if len(bucket) else [0]
     for lo, hi in zip(at, at[1:]):
-        yield int(bucket[lo]), block, dumps(whole.slice(lo, hi - lo).combine_chunks())
+        yield int(bucket[lo]), form.pack(lo, lo, hi, columns)
 
 
 def rows(found: list[tuple[int, int, bytes]], schema: pa.Schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("payload", pa.binary())])) -> pa.Table:
     return pa.Table.from_arrays([pa.array([x[i] for x in found], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def sent(blocks: DataFrame, n: int, send: Callable[[int, pa.Table], Iterator[tuple[int, int, bytes]]]) -> DataFrame:
+def sent(blocks: DataFrame, n: int, send: Callable[[pa.Table], Iterator[tuple[int, bytes]]]) -> DataFrame:
     """What the blocks send, dealt by bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        return rows(list(send(table.column("block")[0].as_py(), table)))
+        block = table.column("block")[0].as_py()
+        return rows([(b, block, x) for b, x in send(table)])
 
     return blocks.groupBy("block").applyInArrow(run, MAIL).repartition(n, "bucket")
 
 
-def answered(messages: DataFrame, n: int, solve: Callable[[list[tuple[int, pa.Table]]], Iterator[tuple[int, bytes]]]) -> DataFrame:
+def answered(messages: DataFrame, n: int, solve: Callable[[list[tuple[int, pa.Buffer]]], Iterator[tuple[int, bytes]]]) -> DataFrame:
     """What the buckets answer, dealt by block."""
 
     def run(table: pa.Table) -> pa.Table:
-        got = [(b.as_py(), loads(p.as_buffer())) for b, p in zip(table.column("block"), table.column("payload"))]
+        got = [(b, p.as_buffer()) for b, p in zip(table.column("block").to_pylist(), table.column("payload"))]
         return rows([(0, *x) for x in solve(got)])
 
     return messages.groupBy("bucket").applyInArrow(run, MAIL).select("block", "payload").repartition(n, "block")
 
 
-def settled(blocks: DataFrame, answers: DataFrame, apply: Callable[[pa.Table, list[pa.Table]], pa.Table], schema: str | StructType) -> DataFrame:
+def settled(blocks: DataFrame, answers: DataFrame, apply: Callable[[pa.Table, list[tuple[int, pa.Buffer]]], pa.Table], schema: str | StructType) -> DataFrame:
     """What each block makes of its documents and the answers."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return apply(left, [loads(p.as_buffer()) for p in right.column("payload")])
+        return apply(left, [(0, p.as_buffer()) for p in right.column("payload")])
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)

@@ -1,10 +1,14 @@
-"""Suffix arrays by induced sorting, one numpy call for each bucket instead of each suffix, and permuted prefixes.
+"""Suffix arrays by induced sorting, one numpy call for each bucket instead of each suffix, and permuted common prefixes.
 
 Suffixes are S (smaller than their successor) or L; a leftmost S (LMS) follows an L. Sorted LMS suffixes induce all
 L suffixes in one sweep over the buckets upwards and these all S suffixes in one downwards; within a bucket, a round
 handles what the round before has put there (runs of one character). LMS substrings are sorted by the same sweeps,
-named, and the string of names is sorted recursively. Strings of more than LOOP different names are sorted by
-doubling the compared length instead, because a sweep costs a few numpy calls for each character.
+named, and the string of names is sorted recursively until all names differ. A sweep costs a few numpy calls for each
+character, so names of too many kinds are written as two digits each, which keeps their order and leaves an alphabet of the
+root of their number.
+
+Common prefixes of neighbours are computed in the order of the text: where a suffix and its neighbour follow equal
+characters, theirs is one less than that of the suffix before; only the others are compared.
 """
 
 from __future__ import annotations
@@ -13,26 +17,38 @@ import numpy as np
 
 from . import _text as T
 
-LOOP = 2048
+#: Suffixes that are put in their places one by one.
+FEW = 12
+#: An alphabet may have a character for so many places of the string, and MOST in any string.
+SPARSE, MOST = 256, 16
+#: Characters of a common prefix that are compared for all suffixes together; longer ones follow one by one.
+TOGETHER = 512
 
 
 def _placed(sa: np.ndarray, at: np.ndarray, t: np.ndarray, p: np.ndarray, step: int) -> None:
     """Puts suffixes p, in order, at the heads (step 1) or tails (-1) of their buckets."""
-    if not len(p):
+    n = len(p)
+    if n <= FEW:
+        for x in p.tolist():
+            c = t[x]
+            sa[at[c] if step > 0 else at[c] - 1] = x
+            at[c] += step
         return
     chars = t[p]
-    if len(p) > 1:
-        order = np.argsort(chars, kind="stable")
-        chars, p = chars[order], p[order]
-    head = np.flatnonzero(np.append(True, chars[1:] != chars[:-1]))
-    size = np.diff(np.append(head, len(p)))
+    order = chars.argsort(kind="stable")
+    chars, p = chars[order], p[order]
+    cut = (chars[1:] != chars[:-1]).nonzero()[0]
+    head = np.zeros(len(cut) + 1, np.int64)
+    head[1:] = cut + 1
+    size = np.empty(len(head), np.int64)
+    size[:-1], size[-1] = head[1:] - head[:-1], n - head[-1]
     own = chars[head]
-    rank = np.arange(len(p)) - np.repeat(head, size)
+    to = at[own]
     if step > 0:
-        sa[np.repeat(at[own], size) + rank] = p
+        sa[(to - head).repeat(size) + np.arange(n)] = p
     else:
-        sa[np.repeat(at[own], size) - 1 - rank] = p
-    at[own] += step * size
+        sa[(to - 1 + head).repeat(size) - np.arange(n)] = p
+    at[own] = to + step * size
 
 
 def _induced(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
@@ -40,102 +56,134 @@ def _induced(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, sigma: int) ->
     count = np.bincount(t, minlength=sigma)
     end = np.cumsum(count)
     start = end - count
+    used = np.flatnonzero(count).tolist()
     lms = lms[np.argsort(t[lms], kind="stable")]
-    cut = np.searchsorted(t[lms], np.arange(sigma + 1))
+    cut = np.searchsorted(t[lms], np.arange(sigma + 1)).tolist()
     sa = np.full(len(t), -1, np.int64)
-    at = start.copy()
-    used = np.flatnonzero(count)
+    at, first, last = start.copy(), start.tolist(), end.tolist()
+    # before the first character there is none: place -1, which is the last one's, is of neither type
+    large, small = ~s_type, s_type.copy()
+    small[-1] = False
     for c in used:
-        lo = start[c]
-        while lo < at[c]:
-            p = sa[lo : at[c]] - 1
-            lo = at[c]
-            p = p[p >= 0]
-            _placed(sa, at, t, p[~s_type[p]], 1)
-        p = lms[cut[c] : cut[c + 1]] - 1
-        _placed(sa, at, t, p[p >= 0], 1)
-    l_end, at = at, end.copy()
+        lo = first[c]
+        while lo < (hi := int(at[c])):
+            p = sa[lo:hi] - 1
+            p, lo = p[large[p]], hi
+            if len(p):
+                _placed(sa, at, t, p, 1)
+        if cut[c] < cut[c + 1]:
+            _placed(sa, at, t, lms[cut[c] : cut[c + 1]] - 1, 1)
+    l_end, at = at.tolist(), end.copy()
     sa[0], at[0] = len(t) - 1, 0
     for c in used[::-1]:
-        hi = end[c]
-        while c and at[c] < hi:
-            p = sa[at[c] : hi][::-1] - 1
-            hi = at[c]
-            p = p[p >= 0]
-            _placed(sa, at, t, p[s_type[p]], -1)
-        p = sa[start[c] : l_end[c]][::-1] - 1
-        p = p[p >= 0]
-        _placed(sa, at, t, p[s_type[p]], -1)
+        hi = last[c]
+        while c and (lo := int(at[c])) < hi:
+            p = sa[lo:hi][::-1] - 1
+            p, hi = p[small[p]], lo
+            if len(p):
+                _placed(sa, at, t, p, -1)
+        if first[c] < l_end[c]:
+            p = sa[first[c] : l_end[c]][::-1] - 1
+            p = p[small[p]]
+            if len(p):
+                _placed(sa, at, t, p, -1)
     return sa
 
 
-def _doubled(t: np.ndarray, names: int | None) -> np.ndarray:
-    rank, k = np.unique(t, return_inverse=True)[1].astype(np.int64), 1
-    while True:
-        key = rank * (len(t) + 1)
-        key[:-k] += rank[k:] + 1
-        order = np.argsort(key, kind="stable")
-        new = np.zeros(len(t), np.int64)
-        new[1:] = np.cumsum(key[order][1:] != key[order][:-1])
-        rank[order] = new
-        k *= 2
-        if new[-1] == len(t) - 1 or k >= len(t) or names and k >= names:
-            return order
+def _leftmost(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which suffixes are S, and the leftmost ones."""
+    rise = np.flatnonzero(t[1:] != t[:-1])  # the last place of each run
+    s_type = np.zeros(len(t), bool)
+    s_type[: rise[-1] + 1] = np.repeat(t[rise + 1] > t[rise], np.diff(np.append(-1, rise)))
+    s_type[-1] = True
+    return s_type, np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
+
+
+def _names_sorted(name: np.ndarray) -> np.ndarray:
+    """The suffixes of a string of names in order; its last name is 0, which is nowhere else."""
+    many = int(name.max()) + 1
+    if many <= max(MOST, len(name) // SPARSE):
+        return suffix_array(name)
+    base = int(np.ceil(np.sqrt(many)))
+    digits = np.zeros(2 * len(name) + 1, np.int64)
+    digits[:-1:2], digits[1::2] = name // base + 1, name % base + 1
+    if len(_leftmost(digits)[1]) > 0.75 * len(name):  # digits that would hardly shorten the string
+        return suffix_array(name)
+    order = suffix_array(digits)
+    return order[(order % 2 == 0) & (order < 2 * len(name))] // 2
 
 
-def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """The suffixes of t in order; t must end in 0 and have it nowhere else. With depth, suffixes that agree in so
-    many characters may come in any order among themselves."""
+def suffix_array(t: np.ndarray) -> np.ndarray:
+    """The suffixes of t in order; t must end in 0 and have it nowhere else."""
     n = len(t)
     if n == 1:
         return np.zeros(1, np.int64)
     sigma = int(t.max()) + 1
-    if sigma > LOOP:
-        return _doubled(t, depth and depth // 2 + 2)
-    t = t.astype(np.int16)
-    rise = np.flatnonzero(t[1:] != t[:-1])  # the last place of each run
-    s_type = np.zeros(n, bool)
-    run = np.diff(np.append(-1, rise))
-    s_type[: rise[-1] + 1] = np.repeat(t[rise + 1] > t[rise], run)
-    s_type[-1] = True
-    lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
+    t = t.astype(np.int16 if sigma < 1 << 15 else np.int32)
+    s_type, lms = _leftmost(t)
     if len(lms) > 1:
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         order = _induced(t, s_type, lms, sigma)
         order = order[is_lms[order]]
-        stop = np.append(lms[1:] + 1, n)
-        place = np.searchsorted(lms, order)
-        end = stop[place]
-        whole = T.Rolling(t.astype(np.uint64)).stretches(order, end)
+        place = (np.cumsum(is_lms) - 1)[order]
+        size = np.append(lms[1:] + 1, n)[place] - order
+        same = size[1:] == size[:-1]
+        same[same] = T.alike(t, order[:-1][same], order[1:][same], size[1:][same])
         name = np.zeros(len(lms), np.int64)
-        name[place] = np.cumsum(np.append(False, (whole[1:] != whole[:-1]) | (np.diff(end - order) != 0)))
-        if name.max() < len(lms) - 1:
-            lms = lms[suffix_array(name, depth)]
-        else:
-            lms = order
+        name[place] = np.cumsum(np.append(False, ~same))
+        lms = lms[_names_sorted(name)] if name.max() < len(lms) - 1 else order
     return _induced(t, s_type, lms, sigma)
 
 
+def permuted_prefixes(data: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each suffix of data (bytes, the last one nowhere else), in the order of the text: the one before it in the
+    suffix array (-1 for the first), and the length of their common prefix."""
+    n = len(data)
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    prior = np.maximum(before, 0) - 1
+    own = np.flatnonzero((before < 0) | (prior < 0) | (np.arange(n) == 0) | (data[np.arange(n) - 1] != data[prior]))
+    words = np.ndarray((n,), "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))
+    size = np.zeros(n, np.int64)
+    i = own[before[own] >= 0]
+    for k in range(0, TOGETHER, 8):
+        if not len(i):
+            break
+        differs = words[i + k] ^ words[before[i] + k]
+        done = differs != 0
+        low = differs[done]
+        size[i[done]] = k + np.bitwise_count((low & (~low + T.U64(1))) - T.U64(1)).astype(np.int64) // 8
+        i = i[~done]
+    for a in i.tolist():
+        x, y, step = a + TOGETHER, int(before[a]) + TOGETHER, 1 << 12
+        while True:
+            length = min(step, n - max(x, y))
+            other = data[x : x + length] != data[y : y + length]
+            if other.any():
+                size[a] = x + int(other.argmax()) - a
+                break
+            x, y = x + length, y + length
+    last = np.zeros(n, np.int64)
+    last[own] = own
+    last = np.maximum.accumulate(last)
+    return before, size[last] - (np.arange(n) - last)
+
+
 def repeated(raw: np.ndarray, offs: np.ndarray, length: int) -> np.ndarray:
-    """Whether the stretch of length bytes from each byte on, within its string, also starts anywhere else."""
+    """Whether the stretch of length bytes from each byte on, within its string, also starts anywhere else. The
+    strings are UTF-8, in which the bytes 254 and 255 don't occur: these stand for the ends."""
     n = len(offs) - 1
     at = np.arange(len(raw)) + np.repeat(np.arange(n), np.diff(offs))
-    t = np.ones(len(raw) + n + 1, np.int64)
-    t[at] = raw.astype(np.int64) + 2
-    t[-1] = 0
-    room = np.zeros(len(t), np.int64)
+    data = np.full(len(raw) + n + 1, 255, np.uint8)
+    data[at] = raw
+    data[-1] = 254
+    t = data.astype(np.int16) + 2
+    t[data == 255], t[-1] = 1, 0
+    room = np.zeros(len(data), np.int64)
     room[at] = np.repeat(offs[1:], np.diff(offs)) - np.arange(len(raw))
-    order = suffix_array(t, length)
-    # permuted common prefixes: of each suffix, in the order of the text, with the one before it in the array
-    before = np.full(len(t), -1, np.int64)
-    before[order[1:]] = order[:-1]
-    i = np.flatnonzero((room >= length) & (before >= 0))
-    i = i[room[before[i]] >= length]
-    data = np.append((t - 2).astype(np.uint8), np.zeros(8, np.uint8))
-    words = np.ndarray((len(t),), "<u8", data, strides=(1,))
-    for k in [*range(0, length - 8, 8), length - 8]:
-        i = i[words[i + k] == words[before[i] + k]]
-    found = np.zeros(len(t), bool)
+    before, size = permuted_prefixes(data, suffix_array(t))
+    i = np.flatnonzero((size >= length) & (room >= length))
+    found = np.zeros(len(data), bool)
     found[i] = found[before[i]] = True
     return found[at]

@@ -1,7 +1,9 @@
 """Whole-batch text kernels: words, rolling hashes and sliding minima over Arrow's UTF-8 buffers.
 
 Every function takes the concatenated bytes of some rows and the row offsets, so that one numpy call covers
-thousands of documents. Hashes are 64-bit polynomials (arithmetic modulo 2**64) finished with an avalanche step.
+thousands of documents. A stretch's hash is two polynomials modulo the prime 2**31 - 1, at points drawn at random, so
+that no construction of words collides (as there is for every odd base modulo 2**64), finished with an avalanche step.
+Where rows are decided, bytes are compared besides.
 """
 
 from __future__ import annotations
@@ -14,8 +16,11 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-BASE = U64(0x9E3779B97F4A7C15)
 WORD_BASE = U64(0xD1342543DE82EF95)
+GRAM_BASE = 0x9E3779B97F4A7C15
+P = U64((1 << 31) - 1)
+#: Points of the polynomials, two for each of two independent hashes; drawn once.
+POINTS = ((1186044283, 783652847), (2012744317, 1467125701))
 PIECE = 1 << 20
 
 SPACE = np.zeros(256, bool)
@@ -37,40 +42,101 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo P."""
+    x = (x & P) + (x >> U64(31))
+    x = (x & P) + (x >> U64(31))
+    return np.where(x >= P, x - P, x)
+
+
 @lru_cache(8)
 def _powers(base: int, log: int) -> tuple[np.ndarray, np.ndarray]:
     def run(b: int) -> np.ndarray:
-        out = np.ones(1 << log, U64)
+        out = np.ones(1 << log, np.uint32)
         for k in range(log):
-            out[1 << k : 2 << k] = out[: 1 << k] * U64(pow(b, 1 << k, 1 << 64))
+            out[1 << k : 2 << k] = _reduced(out[: 1 << k].astype(U64) * U64(pow(b, 1 << k, int(P))))
         return out
 
-    return run(base), run(pow(base, -1, 1 << 64))
+    return run(base), run(pow(base, -1, int(P)))
 
 
-def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n."""
-    up, down = _powers(int(base), max(20, int(n).bit_length()))
-    return up[:n], down[:n]
+@lru_cache(4)
+def _gram_powers(log: int) -> tuple[np.ndarray, np.ndarray]:
+    def run(b: int) -> np.ndarray:
+        out = np.ones(1 << log, U64)
+        for k in range(log):
+            out[1 << k : 2 << k] = out[: 1 << k] * U64(pow(b, 1 << k, 1 << 64))
+        return out
+
+    return run(GRAM_BASE), run(pow(GRAM_BASE, -1, 1 << 64))
 
 
 class Rolling:
-    """Hashes of any stretches of one sequence: prefix sums of value * base**i."""
-
-    def __init__(self, values: np.ndarray, base: np.uint64 = BASE):
-        up, self.down = powers(base, len(values) + 1)
-        self.sums = np.empty(len(values) + 1, U64)
-        self.sums[0] = 0
-        np.cumsum(values.astype(U64) * up[:-1], out=self.sums[1:])
+    """Hashes of any stretches of one sequence of small values (below 2**31): prefix sums of value * point**i."""
+
+    def __init__(self, values: np.ndarray, points: tuple[int, int] = POINTS[0]):
+        self.points, self.log = points, max(20, int(len(values) + 1).bit_length())
+        self.sums = []
+        for point in points:
+            terms = values * _powers(point, self.log)[0][: len(values)].astype(U64)
+            sums = np.empty(len(values) + 1, U64)
+            sums[0] = 0
+            np.cumsum(terms if values.dtype == np.uint8 and len(values) < 1 << 24 else _reduced(terms), out=sums[1:])
+            self.sums.append(sums)
 
     def stretches(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.sums[end] - self.sums[start]) * self.down[start]
-        return mix(h + (end - start).astype(U64) * U64(0xA0761D6478BD642F))
-
-    def windows(self, k: int) -> np.ndarray:
-        """One hash for each start of k values."""
-        n = len(self.sums) - k
-        return (self.sums[k:] - self.sums[:n]) * self.down[:n] if n > 0 else np.empty(0, U64)
+        h = (end - start).astype(U64) * U64(0xA0761D6478BD642F)
+        for point, sums, shift in zip(self.points, self.sums, (U64(0), U64(31))):
+            h += _reduced(_reduced(sums[end] - sums[start]) * _powers(point, self.log)[1][start].astype(U64)) << shift
+        return mix(h)
+
+
+def byte_grams(raw: np.ndarray, k: int) -> np.ndarray:
+    """One value for each start of k bytes, to choose minimisers by; k is small, so plain arithmetic modulo 2**64 does."""
+    n = len(raw) + 1 - k
+    if n <= 0:
+        return np.empty(0, U64)
+    up, down = _gram_powers(max(20, int(len(raw) + 1).bit_length()))
+    sums = np.empty(len(raw) + 1, U64)
+    sums[0] = 0
+    np.cumsum(raw * up[: len(raw)], out=sums[1:])
+    return mix((sums[k:] - sums[:n]) * down[:n])
+
+
+def phrases(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A value for each stretch of some names that are hashes themselves; for likeness, where nothing is decided by it."""
+    up, down = _gram_powers(max(20, int(len(values) + 1).bit_length()))
+    sums = np.empty(len(values) + 1, U64)
+    sums[0] = 0
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(U64) * U64(0xA0761D6478BD642F))
+
+
+def names(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """A hash of each stretch offs[i]:offs[i + 1]."""
+    parts = [Rolling(raw[offs[a] : offs[b]]).stretches(offs[a:b] - offs[a], offs[a + 1 : b + 1] - offs[a]) for a, b in pieces(offs)]
+    return np.concatenate(parts) if parts else np.empty(0, U64)
+
+
+def distinct(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each different stretch offs[i]:offs[i + 1] occurs first, in that order, and which of them each is, by their bytes."""
+    if len(offs) < 2:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    of = string_array(raw, offs).dictionary_encode().indices.to_numpy().astype(np.int64)
+    first = np.empty(of.max() + 1, np.int64)
+    first[of[::-1]] = np.arange(len(of))[::-1]
+    return first, of
+
+
+def alike(raw: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether size[i] values from a[i] on equal those from b[i] on."""
+    out = np.ones(len(size), bool)
+    offs = np.append(0, np.cumsum(size))
+    for lo, hi in pieces(offs):
+        part = offs[lo : hi + 1]
+        same = raw[_places(a[lo:hi], part)] == raw[_places(b[lo:hi], part)]
+        out[lo:hi] = np.diff(np.append(0, np.cumsum(~same))[part - part[0]]) == 0
+    return out
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,13 +182,13 @@ def spans(raw: np.ndarray, offs: np.ndarray, separators: np.ndarray) -> tuple[np
 class Words:
     """Words of some rows: bytes start:end of raw, hash, and first[r]:first[r + 1] for row r."""
 
-    def __init__(self, raw: np.ndarray, offs: np.ndarray, separators: np.ndarray = SPACE, lower: bool = False):
+    def __init__(self, raw: np.ndarray, offs: np.ndarray, separators: np.ndarray = SPACE, lower: bool = False, points: tuple[int, int] = POINTS[0]):
         starts, ends, hashes, firsts, seen = [], [], [], [np.zeros(1, np.int64)], 0
         for lo, hi in pieces(offs):
             part = raw[offs[lo] : offs[hi]]
             part = LOWER[part] if lower else part
             s, e, f = spans(part, offs[lo : hi + 1] - offs[lo], separators)
-            hashes.append(Rolling(part).stretches(s, e) if len(s) else np.empty(0, U64))
+            hashes.append(Rolling(part, points).stretches(s, e) if len(s) else np.empty(0, U64))
             starts.append(s + offs[lo])
             ends.append(e + offs[lo])
             firsts.append(f[1:] + seen)

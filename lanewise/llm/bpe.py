@@ -1,10 +1,10 @@
 """BPE encoding and decoding over a distinct-word table (operator 3).
 
 Each block of documents splits its texts into the tokenizer's words (byte-level pre-tokenization) and sends each
-different word once to a bucket of the word table, chosen by hash. The bucket encodes each distinct word once and
-answers with its ids, which the block joins back by position. Decoding joins ids to pieces (a table as large as the
+different word once, as its bytes, to a bucket of the word table, chosen by hash. The bucket encodes each distinct word
+once and answers with its ids, which the block joins back by position. Decoding joins ids to pieces (a table as large as the
 vocabulary, broadcast) and concatenates them. Only byte-level BPE tokenizers whose words are encoded on their own
-are supported, which is what such a pre-tokenizer means.
+are supported, which is what such a pre-tokenizer means; others are refused.
 
 Cases: null is an empty text, which has no tokens; special tokens' strings in a text are those tokens; text of any
 length or script is cut at word ends only; repeated rows give a row each; an empty table gives an empty result;
@@ -21,13 +21,15 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import _blocks as B
 from . import _text as T
 
 SPACE, LETTER, NUMBER, OTHER, EDGE = range(5)
+SLICE = 1 << 13  # code points that are probed at a time
+#: What travels: a block's different words, and their ids back.
+WORDS, IDS = B.Form(0, word="[u1]"), B.Form(1, ids="[i4]")
 _VOCABULARIES: dict[str, Vocabulary] = {}
 
 
@@ -36,17 +38,31 @@ def code_point_kinds(tokenizer) -> np.ndarray:
 
     From 0x40000 on there are only unassigned code points, tags and private ones, none of them letters.
     """
-    chars = [c for c in range(0x40000) if not 0xD800 <= c < 0xE000]
     out = np.full(0x110000, SPACE, np.uint8)
     out[0x40000:] = OTHER
-    for kind, probe in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")):
-        text = probe + "".join(chr(c) + probe for c in chars)
-        begins = np.zeros(len(text) + 1, bool)
-        begins[[a for _, (a, _) in tokenizer.pre_tokenizer.pre_tokenize_str(text)]] = True
-        out[np.array(chars)[~begins[1:-1:2]]] = kind
+    for lo in range(0, 0x40000, SLICE):
+        chars = [c for c in range(lo, lo + SLICE) if not 0xD800 <= c < 0xE000]
+        for kind, probe in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")) if chars else ():
+            text = probe + "".join(chr(c) + probe for c in chars)
+            begins = np.zeros(len(text) + 1, bool)
+            begins[[a for _, (a, _) in tokenizer.pre_tokenizer.pre_tokenize_str(text)]] = True
+            out[np.array(chars)[~begins[1:-1:2]]] = kind
     return out
 
 
+def checked(definition: dict) -> None:
+    """ValueError for a tokenizer whose words this module doesn't cut, or whose ids and pieces it doesn't join, right."""
+    model, before = definition["model"], definition.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    if not plain or definition.get("normalizer") is not None or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or (definition.get("decoder") or {}).get("type") != "ByteLevel":
+        raise ValueError("only byte-level BPE is supported: no normaliser, a ByteLevel pre-tokenizer without added space, a ByteLevel decoder")
+    added = [t["content"] for t in definition.get("added_tokens", [])]
+    if any(t.get(k) for t in definition.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word")):
+        raise ValueError("added tokens that take spaces, or single words alone, aren't supported")
+    if any(a != b and (a in b or any(a.endswith(b[:k]) for k in range(1, len(b)))) for a in added for b in added):
+        raise ValueError("added tokens that overlap aren't supported")
+
+
 def word_starts(points: np.ndarray, offs: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     """Where words of the byte-level pattern begin in code points; no word crosses an offset."""
     n = len(points)
@@ -86,6 +102,7 @@ class Vocabulary:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         whole = json.loads(definition)
+        checked(whole)
         self.special = [t["content"] for t in whole.get("added_tokens", [])]
         vocab = whole["model"]["vocab"] | {t["content"]: t["id"] for t in whole.get("added_tokens", [])}
         # a byte-level piece writes each byte as one printable character: itself, or the next free one from 256 on
@@ -119,7 +136,7 @@ class _Split:
     def __init__(self, table: pa.Table, special: list[str], kinds: np.ndarray):
         self.ids, text = B.unpack(table)
         self.raw, self.offs = T.strings(text)
-        starts, hashes, count = [], [], [0]
+        starts = []
         for lo, hi in T.pieces(self.offs):
             base = self.offs[lo]
             raw, offs = self.raw[base : self.offs[hi]], self.offs[lo : hi + 1] - base
@@ -139,14 +156,9 @@ class _Split:
             start = word_starts(points, np.searchsorted(first, edges), kinds) if len(points) else np.empty(0, bool)
             for a, b in inside:
                 start[np.searchsorted(first, a) + 1 : np.searchsorted(first, b)] = False
-            begin = first[start]
-            end = np.append(begin[1:], len(raw)) if len(begin) else begin
-            hashes.append(T.Rolling(raw).stretches(begin, end))
-            starts.append(begin + base)
-            count.append(len(begin))
+            starts.append(first[start] + base)
         self.start = np.concatenate([*starts, self.offs[-1:]])
-        whole = np.concatenate(hashes) if hashes else np.empty(0, T.U64)
-        self.hash, self.head, self.of = np.unique(whole, return_index=True, return_inverse=True)
+        self.head, self.of = T.distinct(self.raw, self.start)
         self.first = np.searchsorted(self.start[:-1], self.offs)
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
@@ -163,46 +175,37 @@ def encoded(docs: DataFrame, tokenizer: str, tokens: bool = False) -> DataFrame:
     known = vocabulary(definition.value)
     special, kinds = known.special, docs.sparkSession.sparkContext.broadcast(code_point_kinds(known.tokenizer))
 
-    def bucketed(split: _Split) -> tuple[np.ndarray, np.ndarray]:
-        bucket = (split.hash % T.U64(n)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        return np.searchsorted(bucket[order], np.arange(n + 1)), order
-
-    def send(block: int, table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
-        split = _Split(table, special, kinds.value)
-        cut, order = bucketed(split)
+    def bucketed(split: _Split) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The words, and their buckets and order by bucket."""
         raw, offs = split.words()
-        words = T.string_array(*T.gathered(raw, offs[order], np.diff(offs)[order]))
-        for b in range(n):
-            if cut[b] < cut[b + 1]:
-                part = pa.concat_arrays([words.slice(cut[b], cut[b + 1] - cut[b])])
-                yield b, block, B.dumps(pa.table({"word": part, "bucket": pa.array(np.full(len(part), b, np.int32))}))
+        bucket = (T.names(raw, offs) % T.U64(n)).astype(np.int64)
+        return raw, offs, bucket, np.argsort(bucket, kind="stable")
+
+    def send(table: pa.Table) -> Iterator[tuple[int, bytes]]:
+        raw, offs, bucket, order = bucketed(_Split(table, special, kinds.value))
+        yield from B.mail(WORDS, bucket[order], {"word": T.gathered(raw, offs[order], np.diff(offs)[order])})
 
-    def solve(got: list[tuple[int, pa.Table]]) -> Iterator[tuple[int, bytes]]:
+    def solve(got: list[tuple[int, pa.Buffer]]) -> Iterator[tuple[int, bytes]]:
         vocab = vocabulary(definition.value)
-        words = pa.chunked_array([c for _, t in got for c in t.column("word").chunks]).combine_chunks()
-        table = pc.dictionary_encode(words)
-        ids = vocab.encode([x.decode() for x in table.dictionary.to_pylist()])
-        offs = np.append(0, np.cumsum([len(x) for x in ids]))
-        flat = np.fromiter((i for x in ids for i in x), np.int32, offs[-1])
-        which = table.indices.to_numpy()
-        at = 0
-        for block, t in got:
-            own = which[at : at + t.num_rows]
-            at += t.num_rows
-            part, cut = T.gathered(flat, offs[own], np.diff(offs)[own])
-            yield block, B.dumps(pa.table({"bucket": t.column("bucket"), "n": pa.array(np.diff(cut).astype(np.int32)), "ids": pa.LargeListArray.from_arrays(pa.array(cut), pa.array(part))}).combine_chunks())
-
-    def apply(table: pa.Table, answers: list[pa.Table]) -> pa.Table:
+        (words,) = B.letters(got, WORDS)
+        got.clear()
+        raw, offs = words["word"]
+        head, of = T.distinct(raw, offs)
+        data = raw.tobytes()
+        ids = vocab.encode([data[a:b].decode() for a, b in zip(offs[head].tolist(), offs[head + 1].tolist())])
+        cut = np.append(0, np.cumsum([len(x) for x in ids]))
+        flat = np.fromiter((i for x in ids for i in x), np.int32, cut[-1])
+        for block, own in words.by_sender(np.arange(len(words))):
+            yield block, IDS.pack(int(words.at[own[0]]), 0, len(own), {"ids": T.gathered(flat, cut[of[own]], np.diff(cut)[of[own]])})
+
+    def apply(table: pa.Table, answers: list[tuple[int, pa.Buffer]]) -> pa.Table:
         vocab = vocabulary(definition.value)
         split = _Split(table, special, kinds.value)
-        _, order = bucketed(split)
-        answers = sorted(answers, key=lambda t: t.column("bucket")[0].as_py())
-        flat = np.concatenate([t.column("ids").combine_chunks().flatten().to_numpy() for t in answers]) if answers else np.empty(0, np.int32)
-        size = np.concatenate([t.column("n").to_numpy() for t in answers]).astype(np.int64) if answers else np.empty(0, np.int64)
-        begin = np.append(0, np.cumsum(size))[:-1]
+        *_, order = bucketed(split)
+        (found,) = B.letters(answers, IDS)
+        flat, begin = found["ids"]
         many, at = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        many[order], at[order] = size, begin
+        many[order[found.at]], at[order[found.at]] = np.diff(begin), begin[:-1]
         ids, cut = T.gathered(flat, at, many)
         count = np.append(0, np.cumsum(many[split.of]))[split.first]
         shas, plain_shas, found, plain = [], [], [], []

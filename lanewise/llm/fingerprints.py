@@ -67,7 +67,7 @@ def _parsed(names: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     # a row's last name never begins a phrase, so that what follows in the batch makes no difference
     begin[1:-1] |= (label[1:-1] > label[:-2]) & (label[1:-1] > label[2:]) & ~first[2:-1]
     begin = np.flatnonzero(begin)
-    whole = T.Rolling(names).stretches(begin, np.append(begin[1:], len(names)))
+    whole = T.phrases(names, begin, np.append(begin[1:], len(names)))
     return whole, np.searchsorted(begin, offs)
 
 

@@ -11,11 +11,12 @@ rows' Jaccard similarity is at least `percent` / 100. All steps are exact:
    the sparse product, column tile by column tile, accumulates all overlaps, and pairs below the bound of their sizes
    are discarded. What links is merged into components, so large groups of near copies cost no pairs of theirs.
 4. The rest. Classes of different components that share one of their rarest shingles (as many as any link needs one
-   of, less those in no other document), and whose sizes and positions allow a link, are verified pair by pair.
+   of, less those in no other document), and whose sizes and positions allow a link, are verified pair by pair. The
+   components that share a shingle meet first, so that classes of one component are never paired.
 
-Shingles are 64-bit hashes. Cases: a text of one to four words has its whole sequence as its only shingle; null and
+Shingles are 64-bit hashes of their words' 62-bit ones; sets are told apart by 128 bits. Cases: a text of one to four words has its whole sequence as its only shingle; null and
 empty texts and those of white space alone have none, link with nothing and form components of their own; repeated
-rows link with each other if they have words; a null doc_id counts as larger than others and is never a component_id
+rows link with each other if they have words; a text of any length is one row of the matrix, held by one task; a null doc_id counts as larger than others and is never a component_id
 where another is; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -35,6 +36,8 @@ from ._graph import checkpointed, components
 SHINGLE, PERCENT = 5, 75
 ROWS, ROUNDS, TILE = 512, 3, 4096
 LEVELS = 8  # of document frequency, for each power of two
+#: What travels: a block's different shortened hashes, as differences byte by byte, and how many rows have each; levels back.
+COLUMNS, FREQUENCIES = B.Form(0, **{f"p{k}": "u1" for k in range(8)}, n="u1"), B.Form(1, level="u1")
 
 
 class _Sets:
@@ -43,7 +46,7 @@ class _Sets:
     def __init__(self, table: pa.Table, k: int):
         self.ids, text = B.unpack(table)
         raw, offs = T.strings(text)
-        self.name = row_names(raw, offs)
+        self.name = T.names(raw, offs)
         w = T.Words(raw, offs, lower=True)
         counts = w.counts
         at = np.flatnonzero(w.whole(k))
@@ -66,20 +69,16 @@ class _Sets:
         return np.unique((self.hash >> T.U64(64 - bits)).astype(np.int64), return_inverse=True, return_counts=True)
 
 
-def row_names(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """A hash of each text."""
-    parts = [T.Rolling(raw[offs[a] : offs[b]]).stretches(offs[a:b] - offs[a], offs[a + 1 : b + 1] - offs[a]) for a, b in T.pieces(offs)]
-    return np.concatenate(parts) if parts else np.empty(0, T.U64)
+def _planes(gaps: np.ndarray) -> dict[str, np.ndarray]:
+    wide = np.ascontiguousarray(gaps).astype("<i8").view(np.uint8).reshape(-1, 8)
+    return {f"p{k}": np.ascontiguousarray(wide[:, k]) for k in range(8)}
 
 
-def _planes(values: np.ndarray, first: int) -> dict[str, pa.Array]:
-    gaps = np.ascontiguousarray(np.diff(values, prepend=first)).astype("<i8").view(np.uint8).reshape(-1, 8)
-    return {f"p{k}": pa.array(np.ascontiguousarray(gaps[:, k])) for k in range(8)}
-
-
-def _values(table: pa.Table, first: int) -> np.ndarray:
-    gaps = np.stack([table.column(f"p{k}").to_numpy() for k in range(8)], 1)
-    return np.cumsum(np.ascontiguousarray(gaps).view("<i8").ravel()) + first
+def _values(got: B.Letters) -> np.ndarray:
+    """The columns' hashes: the first of each message as such, the others as differences."""
+    gaps = np.ascontiguousarray(np.stack([got[f"p{k}"] for k in range(8)], 1)).view("<i8").ravel()
+    sums = np.append(0, np.cumsum(gaps))
+    return sums[1:] - np.repeat(sums[np.cumsum(got.counts) - got.counts], got.counts)
 
 
 def sized(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -89,35 +88,34 @@ def sized(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFram
     bits = min(62, max(40, (n * B.BLOCK_BYTES // 6).bit_length() + 10))
     cuts = np.array([(i << bits) // n for i in range(n + 1)], np.int64)
 
-    def send(block: int, table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
+    def send(table: pa.Table) -> Iterator[tuple[int, bytes]]:
         values, _, count = _Sets(table, k).columns(bits)
         at = np.searchsorted(values, cuts)
-        for b in range(n):
-            if at[b] < at[b + 1]:
-                part = slice(at[b], at[b + 1])
-                yield b, block, B.dumps(pa.table(_planes(values[part], cuts[b]) | {"n": pa.array(np.minimum(count[part], 255).astype(np.uint8)), "of": pa.array(np.full(at[b + 1] - at[b], b, np.int32))}))
-
-    def solve(got: list[tuple[int, pa.Table]]) -> Iterator[tuple[int, bytes]]:
-        for b in sorted({t.column("of")[0].as_py() for _, t in got}):
-            own = [(block, t) for block, t in got if t.column("of")[0].as_py() == b]
-            values = np.concatenate([_values(t, cuts[b]) for _, t in own])
-            count = np.concatenate([t.column("n").to_numpy() for _, t in own]).astype(np.int64)
-            order = np.argsort(values, kind="stable")
-            head = np.flatnonzero(np.append(True, values[order][1:] != values[order][:-1]))
-            total = np.add.reduceat(count[order], head)
-            level = np.minimum(255, np.ceil(LEVELS * np.log2(total))).astype(np.uint8)
-            back = np.empty(len(values), np.uint8)
-            back[order] = np.repeat(level, np.diff(np.append(head, len(values))))
-            at = 0
-            for block, t in own:
-                yield block, B.dumps(pa.table({"of": pa.array(np.full(t.num_rows, b, np.int32)), "level": pa.array(back[at : at + t.num_rows])}))
-                at += t.num_rows
-
-    def apply(table: pa.Table, answers: list[pa.Table]) -> pa.Table:
+        gaps = np.diff(values, prepend=0)
+        opens = at[:-1][at[:-1] < at[1:]]
+        gaps[opens] = values[opens]
+        yield from B.mail(COLUMNS, np.repeat(np.arange(n), np.diff(at)), _planes(gaps) | {"n": np.minimum(count, 255)})
+
+    def solve(got: list[tuple[int, pa.Buffer]]) -> Iterator[tuple[int, bytes]]:
+        (own,) = B.letters(got, COLUMNS)
+        got.clear()
+        values, count = _values(own), own["n"].astype(np.int64)
+        order = np.argsort(values, kind="stable")
+        head = np.flatnonzero(np.append(True, values[order][1:] != values[order][:-1]))
+        total = np.add.reduceat(count[order], head)
+        level = np.minimum(255, np.ceil(LEVELS * np.log2(total))).astype(np.uint8)
+        back = np.empty(len(values), np.uint8)
+        back[order] = np.repeat(level, np.diff(np.append(head, len(values))))
+        for block, rows in own.by_sender(np.arange(len(own))):
+            yield block, FREQUENCIES.pack(int(own.at[rows[0]]), 0, len(rows), {"level": back[rows]})
+
+    def apply(table: pa.Table, answers: list[tuple[int, pa.Buffer]]) -> pa.Table:
         sets = _Sets(table, k)
         _, place, _ = sets.columns(bits)
-        answers = sorted(answers, key=lambda t: t.column("of")[0].as_py())
-        level = np.concatenate([t.column("level").to_numpy() for t in answers])[place] if answers else np.empty(0, np.uint8)
+        (found,) = B.letters(answers, FREQUENCIES)
+        level = np.empty(len(found), np.uint8)
+        level[found.at] = found["level"]
+        level = level[place]
         shared = np.bincount(sets.row[level > 0], minlength=len(sets.n))
         may = (sets.n > 0) & (100 * shared >= percent * sets.n)
         keep = np.flatnonzero((level > 0) & may[sets.row]) if len(level) else np.empty(0, np.int64)
@@ -205,7 +203,8 @@ def met(classes: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.list_(pa.int64()))], ["cid", "keys"])
 
     hashed = checkpointed(classes.select("cid", "tokens").mapInArrow(keys, "cid long, keys array<long>").select("cid", F.posexplode("keys").alias("round", "key")))
-    many = hashed.groupBy("round", "key").agg(F.count("*").alias("many")).where("many > 1")
+    # written, so that the join has exchanges of its own, whose large partitions Spark splits
+    many = checkpointed(hashed.groupBy("round", "key").agg(F.count("*").alias("many")).where("many > 1"))
     salt = F.pmod(F.xxhash64("cid", "round"), F.ceil(F.col("many") / ROWS))
     dealt = hashed.join(many, ["round", "key"]).select("cid", F.xxhash64("round", "key", salt).alias("dealt"))
 
@@ -237,12 +236,14 @@ def rest(classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
 
     full = classes.join(labels, classes.cid == labels.node, "left").select("cid", "n", "tokens", F.coalesce("root", "cid").alias("label"))
     prefix = full.mapInArrow(prefixes, "token long, cid long, label long, n long, left long")
-    mixed = prefix.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    open_ = prefix.join(mixed, "token")
-    a = open_.select("token", *[F.col(c).alias(f"{c}_a") for c in ("cid", "label", "n", "left")])
-    b = open_.select("token", *[F.col(c).alias(f"{c}_b") for c in ("cid", "label", "n", "left")])
-    fits = (F.col("label_a") < F.col("label_b")) & (percent * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")) & ((100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b")))
-    pairs = a.join(b, "token").where(fits).select("cid_a", "cid_b").distinct()
+    # a token's classes of one label aren't paired with each other, however many they are: labels meet first
+    named = prefix.select("token", "label").distinct()
+    named = checkpointed(named.join(named.groupBy("token").count().where("count > 1").select("token"), "token"))
+    both = named.withColumnRenamed("label", "label_a").join(named.withColumnRenamed("label", "label_b"), "token").where("label_a < label_b")
+    open_ = checkpointed(prefix.join(named, ["token", "label"]))
+    a, b = (open_.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "label", "n", "left")]) for x in "ab")
+    fits = (percent * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")) & ((100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b")))
+    pairs = both.join(a, ["token", "label_a"]).join(b, ["token", "label_b"]).where(fits).select("cid_a", "cid_b").distinct()
     side = lambda x: classes.select(F.col("cid").alias(f"cid_{x}"), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +287,7 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     def apply(table: pa.Table, decisions: pa.Table) -> pa.Table:
         ids, text = B.unpack(table)
-        key = list(zip(B.ids(ids).tolist(), row_names(*T.strings(text)).view(np.int64).tolist()))
+        key = list(zip(B.ids(ids).tolist(), T.names(*T.strings(text)).view(np.int64).tolist()))
         left = {(d, r): k for d, r, k in zip(*(decisions.column(c).to_pylist() for c in ("d", "row", "keep")))}
         keep = np.ones(len(key), bool)
         for i, k in enumerate(key):

@@ -2,16 +2,17 @@
 
 Equal stretches of `length` bytes have equal minimisers (the least hash among their `gram`-byte grams), so a shard of
 the corpus's suffixes is what one minimiser bucket holds: each run of consecutive stretches with the same minimiser,
-as one string. In a bucket, strings that only copy each other are repeated as a whole. All others that share a
-minimiser are joined, their suffix array is built by induced sorting, and the permuted common prefixes of neighbours
-tell which stretches also start elsewhere. Equal strings of a block of documents travel once.
+as one string. In a bucket, strings that only copy each other (byte by byte) are repeated as a whole. All others that
+share a minimiser are joined, their suffix array is built by induced sorting, and the permuted common prefixes of
+neighbours tell which stretches also start elsewhere. Equal strings of a block of documents travel once.
 
 Minimisers with more different strings than one suffix array may hold (the edges of a passage that very many documents
 share), or with very many copies, are counted out first. Their stretches are dealt one by one, by 128-bit hashes of the
 whole stretch, and counted; equal stretches of a block travel once. So no minimiser's bytes outgrow a task.
 
 Cases: null is an empty text; a text shorter than a stretch loses nothing; repeated rows and rows of one doc_id are
-documents of their own; a null doc_id is kept; an empty table gives an empty result; further columns are ignored.
+documents of their own; a text of any length is one document, all of whose stretches count, but is held by one task;
+a null doc_id is kept; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ LENGTH, GRAM = 200, 32
 LONGEST, SHARD_BYTES = 4096, 2 << 20
 #: Most bytes of one minimiser's strings in a bucket, copies included, in suffix arrays' bytes.
 COPIES = 16
+#: What travels: strings and heavy minimisers' stretches to buckets; ranges and places of what is repeated back.
+STRINGS, STRETCHES = B.Form(0, low="u8", flags="u1", bytes="[u1]"), B.Form(1, a="u8", b="u8", many="u1")
+RANGES, PLACES = B.Form(2, at="u4", ranges="[i4]"), B.Form(3, at="u4")
 
 
 class _Runs:
@@ -40,9 +44,9 @@ class _Runs:
         self.ids, text = B.unpack(table)
         self.raw, self.offs = T.strings(text)
         parts = [_part(self.raw, self.offs, lo, hi, length, gram) for lo, hi in T.pieces(self.offs)]
-        self.start, self.size, low, self.inner, whole = (np.concatenate(x) for x in zip(*parts)) if parts else [np.empty(0, k) for k in (np.int64, np.int64, T.U64, bool, T.U64)]
-        order, head, self.of = B.classes(low, whole)
-        self.first, self.many = order[head], np.diff(np.append(head, len(order))) > 1
+        self.start, self.size, low, self.inner = (np.concatenate(x) for x in zip(*parts)) if parts else [np.empty(0, k) for k in (np.int64, np.int64, T.U64, bool)]
+        self.first, self.of = T.distinct(*T.gathered(self.raw, self.start, self.size + length - 1))
+        self.many = np.bincount(self.of, minlength=len(self.first)) > 1
         self.low = low[self.first]
         self.heavy = B.among(self.low, heavy)
 
@@ -78,15 +82,14 @@ class _Stretches:
 def _keys(raw: np.ndarray, start: np.ndarray, size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each stretch of some strings: from each start, as many as its size."""
     at = np.arange(size.sum()) + np.repeat(start - np.append(0, np.cumsum(size)[:-1]), size)
-    one, two = (T.Rolling(raw, base).stretches(at, at + length) for base in (T.BASE, T.WORD_BASE))
+    one, two = (T.Rolling(raw, points).stretches(at, at + length) for points in T.POINTS)
     return one, two
 
 
 def _part(raw: np.ndarray, offs: np.ndarray, lo: int, hi: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
     base = offs[lo]
     raw, offs = raw[base : offs[hi]], offs[lo : hi + 1] - base
-    roll = T.Rolling(raw)
-    hashes = T.mix(roll.windows(gram))
+    hashes = T.byte_grams(raw, gram)
     lows = T.sliding_min(hashes, length - gram + 1) if len(raw) >= length else np.empty(0, T.U64)
     room = np.maximum(np.diff(offs) - length + 1, 0)
     valid = np.arange(room.sum()) + np.repeat(offs[:-1] - np.append(0, np.cumsum(room)[:-1]), room)
@@ -105,7 +108,7 @@ def _part(raw: np.ndarray, offs: np.ndarray, lo: int, hi: int, length: int, gram
         spots = np.sort(name * len(raw) + spot)
         own = np.searchsorted(keys, low) * len(raw)
         inner = np.searchsorted(spots, own + start + size - 1 + length - gram, "right") - np.searchsorted(spots, own + start) > 1
-    return start + base, size, low, inner, roll.stretches(start, start + size + length - 1)
+    return start + base, size, low, inner
 
 
 def removed_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -115,8 +118,9 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     def weigh(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         raw, offs = T.strings(text)
         for lo, hi in T.pieces(offs):
-            _, size, low, _, whole = _part(raw, offs, lo, hi, length, gram)
-            yield low, whole, size + length - 1
+            start, size, low, _ = _part(raw, offs, lo, hi, length, gram)
+            own = start - offs[lo]
+            yield low, T.Rolling(raw[offs[lo] : offs[hi]]).stretches(own, own + size + length - 1), size + length - 1
 
     sent_heavy = docs.sparkSession.sparkContext.broadcast(B.heavy(docs, weigh, COPIES * limit, limit))
 
@@ -129,48 +133,44 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
         bucket = (T.mix(each.a ^ each.b) % T.U64(n)).astype(np.int64)
         return bucket, np.argsort(bucket, kind="stable")
 
-    def send(block: int, table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
+    def send(table: pa.Table) -> Iterator[tuple[int, bytes]]:
         runs = _Runs(table, length, gram, sent_heavy.value)
         if runs.heavy.any():
             each = _Stretches(runs, length)
             bucket, order = place_stretches(each)
-            yield from B.mail(bucket[order], block, {"a": pa.array(each.a[order]), "b": pa.array(each.b[order]), "many": pa.array(each.many[order])})
+            yield from B.mail(STRETCHES, bucket[order], {"a": each.a[order], "b": each.b[order], "many": each.many[order]})
             del each
         bucket, order = place(runs)
         own = runs.first[order]
-        raw, offs = T.gathered(runs.raw, runs.start[own], runs.size[own] + length - 1)
-        flags = runs.many[order] + 2 * runs.inner[own].astype(np.uint8)
-        yield from B.mail(bucket[order], block, {"low": pa.array(runs.low[order]), "flags": pa.array(flags.astype(np.uint8)), "bytes": T.string_array(raw, offs)})
-
-    def solve(got: list[tuple[int, pa.Table]]) -> Iterator[tuple[int, bytes]]:
-        for some, solver in (([x for x in got if "many" in x[1].column_names], solve_stretches), ([x for x in got if "bytes" in x[1].column_names], solve_strings)):
-            if some:
-                yield from solver(some)
-
-    def solve_stretches(got: list[tuple[int, pa.Table]]) -> Iterator[tuple[int, bytes]]:
-        whole = pa.concat_tables([t for _, t in got])
-        source = np.repeat(np.arange(len(got)), [t.num_rows for _, t in got])
-        a, b, many, at = (whole.column(c).to_numpy() for c in ("a", "b", "many", "at"))
-        order, head, of = B.classes(a, b)
+        strings = T.gathered(runs.raw, runs.start[own], runs.size[own] + length - 1)
+        yield from B.mail(STRINGS, bucket[order], {"low": runs.low[order], "flags": runs.many[order] + 2 * runs.inner[own].astype(np.uint8), "bytes": strings})
+
+    def solve(got: list[tuple[int, pa.Buffer]]) -> Iterator[tuple[int, bytes]]:
+        strings, stretches = B.letters(got, STRINGS, STRETCHES)
+        got.clear()
+        yield from solve_stretches(stretches)
+        yield from solve_strings(strings)
+
+    def solve_stretches(got: B.Letters) -> Iterator[tuple[int, bytes]]:
+        if not len(got):
+            return
+        order, head, of = B.classes(got["a"], got["b"])
+        many = got["many"] > 0
         copies = np.add.reduceat(1 + many[order], head) > 1
-        rows = np.flatnonzero(copies[of] & ~many)
-        for k, (block, _) in enumerate(got):
-            own = rows[source[rows] == k]
-            if len(own):
-                yield block, B.dumps(pa.table({"at": pa.array(at[own])}))
-
-    def solve_strings(got: list[tuple[int, pa.Table]]) -> Iterator[tuple[int, bytes]]:
-        whole = pa.concat_tables([t for _, t in got])
-        source = np.repeat(np.arange(len(got)), [t.num_rows for _, t in got])
-        low, flags, at = (whole.column(c).to_numpy() for c in ("low", "flags", "at"))
-        raw, offs = T.strings(whole.column("bytes"))
+        for block, own in got.by_sender(np.flatnonzero(copies[of] & ~many)):
+            yield block, PLACES.pack(0, 0, len(own), {"at": got.at[own]})
+
+    def solve_strings(got: B.Letters) -> Iterator[tuple[int, bytes]]:
+        if not len(got):
+            return
+        low, flags, (raw, offs) = got["low"], got["flags"], got["bytes"]
         size = np.diff(offs) - length + 1
-        name = np.concatenate([T.Rolling(raw[offs[a] : offs[b]]).stretches(offs[a:b] - offs[a], offs[a + 1 : b + 1] - offs[a]) for a, b in T.pieces(offs)])
+        _, name = T.distinct(raw, offs)
         order = np.lexsort((name, low))
         new_low = np.append(True, low[order][1:] != low[order][:-1])
         new = new_low | np.append(True, name[order][1:] != name[order][:-1])
         head, of = np.flatnonzero(new), np.cumsum(new) - 1
-        copies = np.add.reduceat(1 + (flags[order] & 1), head) > 1
+        copies = np.add.reduceat(1 + (flags[order] & 1).astype(np.int64), head) > 1
         inner = np.maximum.reduceat(flags[order], head) > 1
         group = np.cumsum(new_low[head]) - 1
         alike = np.bincount(group)[group] > 1
@@ -197,39 +197,33 @@ def removed_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
         rows = np.sort(order[hit[of]])
         to = np.empty(len(order), np.int64)
         to[order] = of
-        for k, (block, _) in enumerate(got):
-            own = rows[source[rows] == k]
-            if len(own):
-                found = [ranges[int(u)].ravel() for u in to[own]]
-                cut = np.append(0, np.cumsum([len(x) for x in found]))
-                yield block, B.dumps(pa.table({"at": pa.array(at[own]), "ranges": pa.LargeListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(found).astype(np.int32)))}))
-
-    def apply(table: pa.Table, answers: list[pa.Table]) -> pa.Table:
+        for block, own in got.by_sender(rows):
+            found = [ranges[int(u)].ravel() for u in to[own]]
+            cut = np.append(0, np.cumsum([len(x) for x in found]))
+            yield block, RANGES.pack(0, 0, len(own), {"at": got.at[own], "ranges": (np.concatenate(found), cut)})
+
+    def apply(table: pa.Table, answers: list[tuple[int, pa.Buffer]]) -> pa.Table:
         runs = _Runs(table, length, gram, sent_heavy.value)
         _, order = place(runs)
         ranges: list[np.ndarray] = []
         count = np.zeros(len(runs.first), np.int64)
         place_of = []
+        found, places = B.letters(answers, RANGES, PLACES)
         if runs.heavy.any():
             each = _Stretches(runs, length)
             _, to_stretch = place_stretches(each)
             hit = each.many.copy()
-            for answer in answers:
-                if "ranges" not in answer.column_names:
-                    hit[to_stretch[answer.column("at").to_numpy()]] = True
+            hit[to_stretch[places["at"]]] = True
             string, pairs = each.ranges(hit)
             count += np.bincount(string, minlength=len(count))
             place_of.append(np.unique(string))
             ranges.append(pairs)
             del each
-        for answer in answers:
-            if "ranges" not in answer.column_names:
-                continue
-            to = order[answer.column("at").to_numpy()]
-            column = answer.column("ranges").combine_chunks()
-            count[to] = np.diff(column.offsets.to_numpy()) // 2
+        if len(found):
+            to, (pairs, cut) = order[found["at"]], found["ranges"]
+            count[to] = np.diff(cut) // 2
             place_of.append(to)
-            ranges.append(column.flatten().to_numpy().reshape(-1, 2))
+            ranges.append(pairs.reshape(-1, 2))
         edge = np.zeros(len(runs.raw) + 1, np.int64)
         if ranges:
             to, pairs = np.concatenate(place_of), np.concatenate(ranges)

@@ -4,7 +4,8 @@ A window is `window` consecutive words. Its minimiser is the least hash among it
 windows with the same minimiser form a super-k-mer, which travels once, as one packed string, to the bucket of
 that minimiser. Equal windows have equal minimisers, so a bucket sees all occurrences of its windows; it sorts them
 and finds for each the least doc_id in which it starts. Equal super-k-mers of a block travel once, with their least
-doc_id, so thousands of copies cost a bucket one string a block.
+doc_id, so thousands of copies cost a bucket one string a block. Strings are told apart by their bytes, and windows
+with equal hashes are compared byte by byte.
 
 Minimisers with more bytes than HEAVY in all documents (a frequent gram, the edges of a passage that very many share)
 are counted out first. Their windows are dealt one by one, by 128-bit hashes of the whole window with the least doc_id
@@ -31,8 +32,13 @@ WINDOW, GRAM, LONGEST = 13, 3, 64
 HEAVY = 2 << 20
 
 
+#: What travels: super-k-mers and heavy minimisers' windows to buckets; what these know of them back.
+STRINGS, WINDOWS = B.Form(0, doc="i8", words="[u1]"), B.Form(1, a="u8", b="u8", doc="i8")
+LEASTS, LEAST = B.Form(2, at="u4", least="[i8]"), B.Form(3, at="u4", least="i8")
+
+
 class _Runs:
-    """The super-k-mers of a block's documents."""
+    """The super-k-mers of a block's documents; of tells which of the different ones (by their bytes) each is."""
 
     def __init__(self, table: pa.Table, window: int, gram: int, heavy: np.ndarray):
         self.ids, text = B.unpack(table)
@@ -42,18 +48,19 @@ class _Runs:
         self.key = B.ids(self.ids)
         self.word, self.size, low = _parted(w, window, gram)
         self.doc = self.key[np.searchsorted(w.first, self.word, "right") - 1]
-        whole = T.Rolling(w.hash, T.WORD_BASE).stretches(self.word, self.word + self.size + window - 1) if len(low) else low
-        bucket = T.mix(low + T.U64(1))
-        order = np.lexsort((whole, bucket))
-        same = (whole[order][1:] == whole[order][:-1]) & (bucket[order][1:] == bucket[order][:-1])
-        self.head = np.flatnonzero(np.append(True, ~same)) if len(order) else order
-        self.of = np.empty(len(order), np.int64)
-        self.of[order] = np.cumsum(np.append(True, ~same)) - 1 if len(order) else order
-        self.first = order[self.head]
-        self.least = np.minimum.reduceat(self.doc[order], self.head) if len(order) else self.doc
-        self.bucket = bucket[self.first]
+        self.spaced, self.begin = T.spaced(self.raw, w)
+        self.stop = self.word + self.size + window - 1
+        self.first, self.of = T.distinct(*self.strings(slice(None)))
+        self.least = np.full(len(self.first), B.NULL_ID)
+        np.minimum.at(self.least, self.of, self.doc)
+        self.bucket = T.mix(low[self.first] + T.U64(1))
         self.heavy = B.among(self.bucket, heavy)
 
+    def strings(self, which: np.ndarray | slice) -> tuple[np.ndarray, np.ndarray]:
+        """Some super-k-mers' words with one space between, and their offsets."""
+        start, stop = self.begin[self.word[which]], self.begin[self.stop[which]]
+        return T.gathered(self.spaced, start, stop - 1 - start)
+
 
 class _Windows:
     """The different windows of the heavy minimisers' super-k-mers in a block, each with its least doc_id."""
@@ -62,15 +69,48 @@ class _Windows:
         self.string = np.flatnonzero(runs.heavy)
         own = runs.first[self.string]
         self.size = runs.size[own]
-        hashes, offs = T.gathered(runs.words.hash, runs.word[own], self.size + window - 1)
-        at = np.arange(self.size.sum()) + np.repeat(offs[:-1] - np.append(0, np.cumsum(self.size)[:-1]), self.size)
-        a, b = T.grams(hashes, window)[at], T.grams(T.mix(hashes), window)[at]
+        raw, offs = runs.strings(own)
+        one, two = (T.Words(raw, offs, points=points) for points in T.POINTS)
+        at = np.flatnonzero(one.whole(window))
+        a, b = one.grams(window)[at], two.grams(window)[at]
         order, head, self.of = B.classes(a, b)
         self.a, self.b = a[order[head]], b[order[head]]
         doc = np.repeat(runs.least[self.string], self.size)
         self.least = np.minimum.reduceat(doc[order], head) if len(head) else doc
 
 
+def _equal(raw: np.ndarray, words: T.Words, a: np.ndarray, b: np.ndarray, window: int) -> np.ndarray:
+    """Whether the windows from words a and b on are the same bytes. Pairs that go on one another are compared together."""
+    start, end = words.start, words.end
+
+    def same(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
+        size = end[a1 + window - 1] - start[a0]
+        out = size == end[b1 + window - 1] - start[b0]
+        out[out] = T.alike(raw, start[a0[out]], start[b0[out]], size[out])
+        return out
+
+    if not len(a):
+        return np.empty(0, bool)
+    order = np.lexsort((a, b - a))
+    x, y = a[order], b[order]
+    head = np.flatnonzero(np.append(True, (np.diff(x) != 1) | (np.diff(y) != 1)))
+    tail = np.append(head[1:], len(x)) - 1
+    ok = np.repeat(same(x[head], x[tail], y[head], y[tail]), tail + 1 - head)
+    odd = np.flatnonzero(~ok)  # one of a run's windows differs, or more: each on its own
+    ok[odd] = same(x[odd], x[odd], y[odd], y[odd])
+    out = np.empty(len(a), bool)
+    out[order] = ok
+    return out
+
+
+def _by_bytes(raw: np.ndarray, words: T.Words, valid: np.ndarray, hashes: np.ndarray, order: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """order, sorted by hash and bytes, and the places in it whose window is the next one's as well."""
+    size = words.end[valid + window - 1] - words.start[valid]
+    _, name = T.distinct(*T.gathered(raw, words.start[valid], size))
+    order = np.lexsort((name, hashes))
+    return order, np.flatnonzero((name[order][1:] == name[order][:-1]))
+
+
 def _parted(w: T.Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word, number of windows and least hash of each super-k-mer."""
     valid = np.flatnonzero(w.whole(window))
@@ -114,85 +154,69 @@ def removed_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts
         bucket = (T.mix(each.a ^ each.b) % T.U64(n)).astype(np.int64)
         return bucket, np.argsort(bucket, kind="stable")
 
-    def send(block: int, table: pa.Table) -> Iterator[tuple[int, int, bytes]]:
+    def send(table: pa.Table) -> Iterator[tuple[int, bytes]]:
         runs = _Runs(table, window, gram, sent_heavy.value)
         if runs.heavy.any():
             each = _Windows(runs, window)
             bucket, order = place_windows(each)
-            yield from B.mail(bucket[order], block, {"a": pa.array(each.a[order]), "b": pa.array(each.b[order]), "doc": pa.array(each.least[order])})
+            yield from B.mail(WINDOWS, bucket[order], {"a": each.a[order], "b": each.b[order], "doc": each.least[order]})
             del each
         bucket, order = place(runs)
-        packed, at = T.spaced(runs.raw, runs.words)
-        word = runs.word[runs.first][order]
-        stop = word + runs.size[runs.first][order] + window - 1
-        raw, offs = T.gathered(packed, at[word], at[stop] - 1 - at[word]) if len(word) else (packed, at[:1])
-        yield from B.mail(bucket[order], block, {"doc": pa.array(runs.least[order]), "words": T.string_array(raw, offs)})
-
-    def solve(got: list[tuple[int, pa.Table]]) -> Iterator[tuple[int, bytes]]:
-        for some, solver in (([x for x in got if "a" in x[1].column_names], solve_windows), ([x for x in got if "words" in x[1].column_names], solve_strings)):
-            if some:
-                yield from solver(some)
-
-    def solve_windows(got: list[tuple[int, pa.Table]]) -> Iterator[tuple[int, bytes]]:
-        whole = pa.concat_tables([t for _, t in got])
-        source = np.repeat(np.arange(len(got)), [t.num_rows for _, t in got])
-        a, b, doc, at = (whole.column(c).to_numpy() for c in ("a", "b", "doc", "at"))
-        order, head, of = B.classes(a, b)
-        least = np.minimum.reduceat(doc[order], head)[of]
-        rows = np.flatnonzero(least < doc)
-        for k, (block, _) in enumerate(got):
-            own = rows[source[rows] == k]
-            if len(own):
-                yield block, B.dumps(pa.table({"at": pa.array(at[own]), "doc": pa.array(least[own])}))
-
-    def solve_strings(got: list[tuple[int, pa.Table]]) -> Iterator[tuple[int, bytes]]:
-        whole = pa.concat_tables([t for _, t in got])
-        source = np.repeat(np.arange(len(got)), [t.num_rows for _, t in got])
-        doc, at = whole.column("doc").to_numpy(), whole.column("at").to_numpy()
-        words = T.Words(*T.strings(whole.column("words")))
+        yield from B.mail(STRINGS, bucket[order], {"doc": runs.least[order], "words": runs.strings(runs.first[order])})
+
+    def solve(got: list[tuple[int, pa.Buffer]]) -> Iterator[tuple[int, bytes]]:
+        strings, windows = B.letters(got, STRINGS, WINDOWS)
+        got.clear()
+        yield from solve_windows(windows)
+        yield from solve_strings(strings)
+
+    def solve_windows(got: B.Letters) -> Iterator[tuple[int, bytes]]:
+        if not len(got):
+            return
+        order, head, of = B.classes(got["a"], got["b"])
+        least = np.minimum.reduceat(got["doc"][order], head)[of]
+        for block, own in got.by_sender(np.flatnonzero(least < got["doc"])):
+            yield block, LEAST.pack(0, 0, len(own), {"at": got.at[own], "least": least[own]})
+
+    def solve_strings(got: B.Letters) -> Iterator[tuple[int, bytes]]:
+        if not len(got):
+            return
+        raw, doc = got["words"][0], got["doc"]
+        words = T.Words(*got["words"])
         valid = np.flatnonzero(words.whole(window))
         string = np.searchsorted(words.first, valid, "right") - 1
         hashes = words.grams(window)[valid]
-        order = np.argsort(hashes)
+        order = np.argsort(hashes, kind="stable")
         same = np.flatnonzero(hashes[order][1:] == hashes[order][:-1])
-        a, b, equal = valid[order[same]], valid[order[same + 1]], np.ones(len(same), bool)
-        for j in range(window):
-            equal &= words.hash[a + j] == words.hash[b + j]
+        equal = _equal(raw, words, valid[order[same]], valid[order[same + 1]], window)
+        if not equal.all():  # equal hashes of different windows: these are sorted by their bytes
+            order, same = _by_bytes(raw, words, valid, hashes, order, window)
+            equal = np.ones(len(same), bool)
         new = np.ones(len(order), bool)
         new[same[equal] + 1] = False
         head = np.flatnonzero(new)
         least = np.empty(len(order), np.int64)
         least[order] = np.repeat(np.minimum.reduceat(doc[string][order], head), np.diff(np.append(head, len(order))))
-        hit = np.unique(string[least < doc[string]])
-        first = np.searchsorted(string, np.arange(whole.num_rows + 1))
-        for k, (block, _) in enumerate(got):
-            own = hit[source[hit] == k]
-            if len(own):
-                low, offs = T.gathered(least, first[own], first[own + 1] - first[own])
-                yield block, B.dumps(pa.table({"at": pa.array(at[own]), "least": pa.LargeListArray.from_arrays(pa.array(offs), pa.array(low))}))
-
-    def apply(table: pa.Table, answers: list[pa.Table]) -> pa.Table:
+        first = np.searchsorted(string, np.arange(len(got) + 1))
+        for block, own in got.by_sender(np.unique(string[least < doc[string]])):
+            yield block, LEASTS.pack(0, 0, len(own), {"at": got.at[own], "least": T.gathered(least, first[own], first[own + 1] - first[own])})
+
+    def apply(table: pa.Table, answers: list[tuple[int, pa.Buffer]]) -> pa.Table:
         runs = _Runs(table, window, gram, sent_heavy.value)
         _, order = place(runs)
         size = runs.size[runs.first]
         offs = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=offs[1:])
         least = np.repeat(runs.least, size)
+        strings, windows = B.letters(answers, LEASTS, LEAST)
         if runs.heavy.any():
             each = _Windows(runs, window)
             _, to_window = place_windows(each)
-            for answer in answers:
-                if "doc" in answer.column_names:
-                    each.least[to_window[answer.column("at").to_numpy()]] = answer.column("doc").to_numpy()
+            each.least[to_window[windows["at"]]] = windows["least"]
             least[np.repeat(runs.heavy, size)] = each.least[each.of]
             del each
-        for answer in answers:
-            if "doc" in answer.column_names:
-                continue
-            to = order[answer.column("at").to_numpy()]
-            column = answer.column("least").combine_chunks()
-            low = column.flatten().to_numpy()
-            least[np.arange(len(low)) + np.repeat(offs[to] - np.append(0, np.cumsum(size[to])[:-1]), size[to])] = low
+        to, (low, cut) = order[strings["at"]], strings["least"]
+        least[np.arange(len(low)) + np.repeat(offs[to] - cut[:-1], size[to])] = low
         low, at = T.gathered(least, offs[runs.of], runs.size)
         word = np.arange(len(low)) + np.repeat(runs.word - at[:-1], runs.size)
         gone = word[low < np.repeat(runs.doc, runs.size)]
@@ -209,8 +233,7 @@ def removed_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts
 
 def _kept(runs: _Runs, keep: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
     """How many words each row keeps, and these joined by spaces."""
-    packed, at = T.spaced(runs.raw, runs.words)
-    kept, offs = T.gathered(packed, at[:-1][keep], np.diff(at)[keep])
+    kept, offs = T.gathered(runs.spaced, runs.begin[:-1][keep], np.diff(runs.begin)[keep])
     count = np.append(0, np.cumsum(keep))[runs.words.first]
     data, where = kept.tobytes(), offs[count]
     return np.diff(count), [data[a : max(a, b - 1)] for a, b in zip(where, where[1:])]

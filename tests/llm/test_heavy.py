@@ -6,7 +6,6 @@ import random
 
 import brute
 import corpus
-import numpy as np
 
 from lanewise.llm import _blocks as B
 from lanewise.llm import queries as Q
@@ -48,7 +47,9 @@ def test_suffix_arrays_are_bounded(spark, tmp_path, monkeypatch):
     limit = LIMIT
 
     def check(got):
-        different = {(low, x) for _, t in got if "bytes" in t.column_names for low, x in zip(t.column("low").to_pylist(), t.column("bytes").to_pylist())}
+        (found, _) = B.letters(got, suffixes.STRINGS, suffixes.STRETCHES)
+        raw, offs = found["bytes"]
+        different = {(low, raw[a:b].tobytes()) for low, a, b in zip(found["low"].tolist(), offs, offs[1:])}
         size = {}
         for low, x in different:
             size[low] = size.get(low, 0) + len(x)
@@ -74,14 +75,12 @@ def test_super_k_mers_are_bounded(spark, tmp_path, monkeypatch):
 
     def check(got):
         size = {}
-        for _, t in got:
-            if "words" in t.column_names and t.num_rows:
-                raw, offs = T.strings(t.column("words"))
-                w = T.Words(raw, offs)
-                grams = w.grams(3)
-                for k in range(t.num_rows):
-                    low = int(grams[w.first[k] : w.first[k + 1] - 2].min())
-                    size[low] = size.get(low, 0) + int(offs[k + 1] - offs[k])
+        raw, offs = B.letters(got, superkmers.STRINGS, superkmers.WINDOWS)[0]["words"]
+        w = T.Words(raw, offs)
+        grams = w.grams(3)
+        for k in range(len(offs) - 1):
+            low = int(grams[w.first[k] : w.first[k + 1] - 2].min())
+            size[low] = size.get(low, 0) + int(offs[k + 1] - offs[k])
         if max(size.values(), default=0) > limit:
             raise AssertionError(f"{max(size.values())} bytes of one minimiser")
 
