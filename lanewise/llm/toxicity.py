@@ -4,17 +4,21 @@ The kernel compares two words by their common subsequences of three letters, eac
 left out in between (at most GAP at a time), so an insult with gaps or inserted letters stays close to itself. Words
 are the letters of white-space tokens, of the parts of tokens with signs inside, and of runs of single letters.
 
-Sentences of documents labelled 0 are negative; of those labelled 1, sentences with a word that is evidence (by its
-share of toxic documents) are positive. In ROUNDS rounds the negative sentences that score worst are added. Words that
-decide on sentences are mapped to their kernels with LANDMARKS words, whitened (Nyström), and a linear machine is
-trained on them with squared hinge loss in numpy. A document's score follows by logistic regression from its worst
-word and from how much there is of words above DOUBT, in all and for its length. As the kernel is an inner product of subsequence counts, the trained machine is one table of weights for
-hashed subsequences, which scoring looks up. Learning reads at most about `sample` labelled
-documents, chosen by hash, and one of each group of near copies among them.
+The machine is trained on sentences of labelled documents, in ROUNDS rounds. In the first, a sentence has its document's
+label, and its kernel with a landmark is the sum of its words' kernels. In the others a sentence is as toxic as its
+worst word, which stands for it (multiple-instance learning): of documents labelled 1, sentences that the machine takes
+for toxic are positive, of those labelled 0 the worst sentences are negative; the words that decide positive sentences are
+also learned with a letter put in. Words are mapped to their kernels with LANDMARKS words, whitened (Nyström), and a
+linear machine is trained on them with squared hinge loss in numpy. A document's score follows by logistic regression
+from its worst word and from how much there is of words above DOUBT, in all and for its length. As the kernel is an
+inner product of subsequence counts, the trained machine is one table of weights for hashed subsequences, which scoring
+looks up. Learning reads about `sample` labelled documents, chosen by hash for each label, OCCURRENCES words of each at most, and one
+of each group of near copies among them.
 
 Cases: null, empty and letterless texts have no words and so a low score; without labels of both kinds every score
 is the share of label 1 (0 without labels); repeated rows give a row each; a doc_id labelled more than once counts
-with its largest label; a null doc_id is not held out; empty tables give empty results; other columns are ignored.
+with its largest label; a null doc_id is not held out; of very long texts all words are scored; documents and words with
+equal values keep their order; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,15 +36,17 @@ from . import _text as T
 from ._learn import held_out, labelled
 
 FOLDS, FOLD, THRESHOLD = 3, 1, 0.7
-SAMPLE = 4_000
+#: Labelled documents that are learned from, about, and different words of sentences of one document at most.
+SAMPLE, OCCURRENCES = 4_000, 5_000
 GAP, DECAY, BITS = 2, 0.6, 18
 LANDMARKS, ROUNDS, SEED = 384, 4, 11
 #: Copies of each telling word with an inserted letter that a round learns as well, and their weight together.
-VARIANTS, ALTERED = 3, 0.1
-NEGATIVES = 3  # worst sentences of each document labelled 0 that a round learns from
-STEPS, RIDGE, BALANCE = 20, 1e-3, 0.4
-#: Share of toxic documents from which a word is evidence, and the weight of its prior in documents.
-EVIDENT, PRIOR = 0.5, 5.0
+VARIANTS, ALTERED = 8, 0.15
+#: Sentences of documents labelled 0 in the first round, and of one such document in each further one.
+NEGATIVES, WORST = 6_000, 3
+STEPS, RIDGE, BALANCE = 20, 1e-3, 0.35
+#: Weight, in documents, of the prior of a word's share of toxic documents, by which landmarks are chosen.
+PRIOR = 5.0
 #: Values up to this count for nothing in a document's sum.
 DOUBT = 0.4
 #: Rows of a matrix, and letters of units, that are worked on at a time.
@@ -218,100 +224,143 @@ def _inserted(letters: np.ndarray, start: np.ndarray, units: np.ndarray, rng: np
     return np.concatenate([letters, *extra]).astype(np.uint8), np.append(start, start[-1] + np.cumsum([len(x) for x in extra], dtype=np.int64))
 
 
-def _unlike(unit: np.ndarray, doc: np.ndarray, sentence: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """The first document of each group of near copies with one label: those whose least sentence hash is equal."""
-    order = np.lexsort((unit, sentence))
-    head = np.flatnonzero(np.append(True, np.diff(sentence[order]) != 0))
-    hashes = T.mix(np.add.reduceat(T.mix(unit[order].astype(np.uint64) + T.U64(1)), head))
-    least = np.full(len(toxic), np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, doc[order][head], hashes)
+def _unlike(unit: np.ndarray, doc: np.ndarray, head: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """The first document of each group of near copies with one label: those whose two least sentence hashes are equal,
+    so that one line in common makes no copies. Occurrences are in order of sentences, which begin at head."""
+    hashes = T.mix(np.add.reduceat(T.mix(unit.astype(np.uint64) + T.U64(1)), head))
+    own = doc[head]
+    order = np.lexsort((hashes, own))
+    begin = np.flatnonzero(np.append(True, np.diff(own[order]) != 0))
+    last = np.append(begin[1:], len(order)) - 1
+    key = np.stack([hashes[order[begin]], hashes[order[np.minimum(begin + 1, last)]], toxic[own[order[begin]]].astype(np.uint64)], 1)
     keep = np.zeros(len(toxic), bool)
-    keep[np.unique((least & ~T.U64(1)) | toxic.astype(np.uint64), return_index=True)[1]] = True
+    keep[own[order[begin]][np.unique(key, axis=0, return_index=True)[1]]] = True
     return keep
 
 
-def train(unit: np.ndarray, doc: np.ndarray, sentence: np.ndarray, letters: np.ndarray, start: np.ndarray, toxic: np.ndarray) -> Machine:
-    """unit, doc and sentence of each word's occurrence; toxic: each document's label."""
-    pa.default_memory_pool().release_unused()
+def _ranks(score: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Each sentence's place among those of its document, the highest score first; doc is in order."""
+    by = np.lexsort((-score, doc))
+    out = np.empty(len(by), np.int64)
+    out[by] = np.arange(len(by)) - np.searchsorted(doc, doc[by])
+    return out
+
+
+def _features(letters: np.ndarray, start: np.ndarray, landmarks: np.ndarray, unit: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each sentence its kernels with the landmarks (the sums of its units' kernels), whitened, and what whitens them."""
+    used, back = np.unique(unit, return_inverse=True)
+    marks, cut = T.gathered(letters, start[landmarks], np.diff(start)[landmarks])
+    square = _kernels(marks, cut, np.arange(len(landmarks))).astype(np.float64)
+    root, axes = np.linalg.eigh((square + square.T) / 2)
+    whiten = (axes * (1 / np.sqrt(np.maximum(root, 1e-3)))).astype(np.float32)
+    out = np.zeros((rows, len(landmarks)), np.float32)
+    order = np.lexsort((row, back // ROWS))
+    back, row = back[order], row[order]
+    for lo in range(0, len(used), ROWS):
+        own = np.concatenate([used[lo : lo + ROWS], landmarks])
+        part, cut = T.gathered(letters, start[own], np.diff(start)[own])
+        kernels = _kernels(part, cut, len(own) - len(landmarks) + np.arange(len(landmarks)))
+        a, b = np.searchsorted(back // ROWS, [lo // ROWS, lo // ROWS + 1])
+        for at in range(a, b, ROWS):
+            rows_, units = row[at : min(at + ROWS, b)], back[at : min(at + ROWS, b)] - lo
+            head = np.flatnonzero(np.append(True, rows_[1:] != rows_[:-1]))
+            out[rows_[head]] += np.add.reduceat(kernels[units], head)
+    for lo in range(0, rows, ROWS):
+        out[lo : lo + ROWS] = out[lo : lo + ROWS] @ whiten
+    return out, whiten
+
+
+def _machine(x: np.ndarray, sign: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The linear machine of least squared hinge loss, its bias last."""
+    w = np.zeros(x.shape[1] + 1)
+    margin = lambda w: sign * (x @ w[:-1].astype(np.float32) + w[-1])
+    loss = lambda w: (weight * np.maximum(1 - margin(w), 0) ** 2).sum() + RIDGE * (w @ w)
+    for _ in range(STEPS):  # Newton's method, with shorter steps where they gain more
+        mass = np.where(margin(w) < 1, weight, 0).astype(np.float32)
+        curve, slope = RIDGE * np.eye(len(w)), np.append((mass * sign) @ x, (mass * sign).sum())
+        for lo in range(0, len(x), ROWS):
+            own = lo + np.flatnonzero(mass[lo : lo + ROWS])
+            curve[:-1, :-1] += (x[own] * mass[own, None]).T @ x[own]
+        curve[-1, :-1] = curve[:-1, -1] = mass @ x
+        curve[-1, -1] += mass.sum()
+        to = np.linalg.solve(curve, slope)
+        best = min((w + k * (to - w) for k in (1, 0.5, 0.25, 0.1, 0.03)), key=loss)
+        if loss(best) >= loss(w) - 1e-9:
+            break
+        w = best
+    return w
+
+
+def train(unit: np.ndarray, doc: np.ndarray, sentence: np.ndarray, letters: np.ndarray, start: np.ndarray, toxic: np.ndarray, offset: float = 0.0) -> Machine:
+    """unit, doc and sentence of each word's occurrence; toxic: each document's label; offset: what the log-odds of all
+    labelled documents have more than those of these."""
     n, many = len(start) - 1, len(toxic)
     if not n or not toxic.any() or toxic.all():
         share = toxic.mean() if many else 0.0
         return Machine(np.zeros(1 << BITS), -1.0, np.array([np.log((share + 1e-9) / (1 - share + 1e-9)), 0, 0, 0]))
     rng = np.random.default_rng(SEED)
-    keep = _unlike(unit, doc, sentence, toxic)
-    toxic, doc = toxic[keep], np.where(keep, np.cumsum(keep) - 1, -1)[doc]
-    unit, sentence, doc = unit[doc >= 0], sentence[doc >= 0], doc[doc >= 0].astype(np.int32)
-    many = len(toxic)
+    order = np.lexsort((unit, sentence))
+    unit, doc, sentence = unit[order], doc[order], sentence[order]
+    keep = _unlike(unit, doc, np.flatnonzero(np.append(True, sentence[1:] != sentence[:-1])), toxic)[doc]
+    unit, doc, sentence = unit[keep], doc[keep], sentence[keep]
+    own, doc = np.unique(doc, return_inverse=True)
+    toxic, many = toxic[own], len(own)
+    head = np.flatnonzero(np.append(True, sentence[1:] != sentence[:-1]))
+    size, of = np.diff(np.append(head, len(unit))), doc[head]
+    bad = toxic[of]
+    # landmarks: words that toxic documents have more often than others, common ones, and some of the rest
     both = np.unique(doc.astype(np.int64) * n + unit)
-    bad, fine = (np.bincount((both % n)[toxic[both // n] == x], minlength=n) for x in (True, False))
-    del both
-    # a word's toxic share, drawn towards that of all documents: rare and common words are no evidence
+    seen = [np.bincount((both % n)[toxic[both // n] == x], minlength=n) for x in (True, False)]
     usual = toxic.mean()
-    share = (bad + PRIOR * usual) / (bad + fine + PRIOR)
-    evident = share > EVIDENT
-    value = np.where(evident, share, -1.0)
+    excess = seen[0] * ((seen[0] + PRIOR * usual) / (seen[0] + seen[1] + PRIOR) - usual)
     third = LANDMARKS // 3
-    telling = np.argsort(-(value * bad), kind="stable")[:third]
-    common = np.setdiff1d(np.argsort(-fine, kind="stable")[:third], telling)
-    others = np.setdiff1d(np.flatnonzero((np.diff(start) > 1) & ~evident), np.concatenate([telling, common]))
+    telling = np.argsort(-excess, kind="stable")[:third]
+    common = np.setdiff1d(np.argsort(-seen[1], kind="stable")[:third], telling)
+    others = np.setdiff1d(np.flatnonzero(np.diff(start) > 1), np.concatenate([telling, common]))
     drawn = rng.choice(others, min(len(others), third), replace=False)
-    altered = np.flatnonzero(evident & (np.diff(start) > LEAST))
-    letters, start = _inserted(letters, start, altered, rng)
-    altered = np.arange(n, len(start) - 1)
-    order = np.lexsort((unit, sentence))
-    unit, doc, sentence = unit[order], doc[order], sentence[order]
-    head = np.flatnonzero(np.append(True, sentence[1:] != sentence[:-1]))
-    of_sentence = doc[head]
-    machine, negative = None, np.zeros(len(unit), bool)
+    clean = np.flatnonzero(~bad)
+    negative = np.zeros(len(unit), bool)
+    machine, value = None, None
     for _ in range(ROUNDS):
-        worst = np.maximum.reduceat(value[unit], head)
-        of = np.repeat(np.arange(len(head), dtype=np.int32), np.diff(np.append(head, len(unit))))
-        by = np.lexsort((-worst, of_sentence))
-        rank = np.empty(len(by), np.int64)
-        rank[by] = np.arange(len(by)) - np.searchsorted(of_sentence[by], of_sentence[by])
-        # positive are sentences' words that are evidence, negative the worst words of the worst sentences
-        decides = value[unit] == worst[of]
-        bad_row = toxic[doc]
-        positive = bad_row & evident[unit]
-        # earlier rounds' negatives stay, or the machine would forget ordinary words
-        negative |= ~bad_row & decides & (rank < NEGATIVES)[of]
-        landmarks = np.unique(np.concatenate([telling, common, drawn]))
-        words = np.unique(unit[positive | negative])
-        count = [np.bincount(unit[x], minlength=n)[words] for x in (positive, negative)]
-        words, sign = np.concatenate([words, words]), np.repeat([1.0, -1.0], len(words))
-        weight = np.concatenate([BALANCE * count[0] / max(count[0].sum(), 1), (1 - BALANCE) * count[1] / max(count[1].sum(), 1)])
-        words, sign, weight = (np.append(x[weight > 0], y) for x, y in ((words, altered), (sign, np.ones(len(altered))), (weight, np.full(len(altered), ALTERED / max(len(altered), 1)))))
-        used, back = np.unique(np.concatenate([words, landmarks]), return_inverse=True)
-        part, cut = T.gathered(letters, start[used], np.diff(start)[used])
-        x = _kernels(part, cut, back[len(words) :])
-        square = x[back[len(words) :]].astype(np.float64)
-        root, axes = np.linalg.eigh((square + square.T) / 2)
-        whiten = (axes * (1 / np.sqrt(np.maximum(root, 1e-3)))).astype(np.float32)
-        for lo in range(0, len(x), ROWS):
-            x[lo : lo + ROWS] = x[lo : lo + ROWS] @ whiten
-        at, w = back[: len(words)], np.zeros(len(landmarks) + 1)
-        margin = lambda w: sign * (x @ w[:-1].astype(np.float32) + w[-1])[at]
-        loss = lambda w: (weight * np.maximum(1 - margin(w), 0) ** 2).sum() + RIDGE * (w @ w)
-        for _ in range(STEPS):  # Newton's method on the squared hinge loss, with shorter steps where they gain more
-            inside = margin(w) < 1
-            mass, pull = (np.bincount(at[inside], c[inside], len(x)).astype(np.float32) for c in (weight, weight * sign))
-            curve, slope = RIDGE * np.eye(len(w)), np.append(pull @ x, pull.sum())
-            for lo in range(0, len(x), ROWS):
-                own = lo + np.flatnonzero(mass[lo : lo + ROWS])
-                curve[:-1, :-1] += (x[own] * mass[own, None]).T @ x[own]
-            curve[-1, :-1] = curve[:-1, -1] = mass @ x
-            curve[-1, -1] += mass.sum()
-            to = np.linalg.solve(curve, slope)
-            best = min((w + k * (to - w) for k in (1, 0.5, 0.25, 0.1, 0.03)), key=loss)
-            if loss(best) >= loss(w) - 1e-9:
+        more, cut = letters, start
+        if machine is None:
+            # all sentences of documents labelled 1, and some of the others, each with all its words
+            chosen = np.append(np.flatnonzero(bad), rng.choice(clean, min(len(clean), NEGATIVES), replace=False))
+            chosen.sort()
+            inside = np.repeat(np.isin(np.arange(len(head)), chosen), size)
+            units, row = unit[inside], np.repeat(np.arange(len(chosen)), size[chosen])
+            sign = np.where(bad[chosen], 1.0, -1.0)
+            # documents labelled 1 weigh alike, however many sentences they have
+            weight = np.where(bad[chosen], BALANCE / toxic.sum() / np.bincount(of, minlength=many)[of[chosen]], (1 - BALANCE) / max((~bad[chosen]).sum(), 1))
+        else:
+            # a sentence is as toxic as its worst word, which stands for it: of documents labelled 1, sentences that the
+            # machine takes for toxic, of others the worst ones
+            score = np.maximum.reduceat(value[unit], head)
+            decides = value[unit] == np.repeat(score, size)
+            rank = _ranks(score, of)
+            positive = decides & np.repeat(bad & (score > 0), size)
+            if not positive.any():
                 break
-            w = best
-        del x, square
+            # earlier rounds' negatives stay, or the machine would forget ordinary words
+            negative |= decides & np.repeat(~bad & (rank < WORST), size)
+            words = [np.unique(unit[positive | negative]), np.unique(unit[positive][np.diff(start)[unit[positive]] > LEAST])]
+            more, cut = _inserted(letters, start, words[1], rng)
+            altered = np.arange(n, len(cut) - 1)
+            count = [np.bincount(unit[x], minlength=n)[words[0]] for x in (positive, negative)]
+            units = np.concatenate([words[0], words[0], altered])
+            sign = np.repeat([1.0, -1.0, 1.0], [len(words[0]), len(words[0]), len(altered)])
+            weight = np.concatenate([BALANCE * count[0] / max(count[0].sum(), 1), (1 - BALANCE) * count[1] / max(count[1].sum(), 1), np.full(len(altered), ALTERED / max(len(altered), 1))])
+            units, sign, weight = units[weight > 0], sign[weight > 0], weight[weight > 0]
+            row = np.arange(len(units))
+        landmarks = np.unique(np.concatenate([telling, common, drawn]))
+        x, whiten = _features(more, cut, landmarks, units, row, len(sign))
+        w = _machine(x, sign, weight)
+        del x
         machine = Machine(_weights(letters, start, landmarks, whiten @ w[:-1]), float(w[-1]), np.zeros(4))
-        value = machine.values(letters, start)[:n]
-        # the next round's drawn landmarks are ordinary words that this machine takes for toxic, the more frequent first
-        wrong = np.flatnonzero((value > -0.5) & ~evident & (fine > 0))
-        drawn = wrong[np.argsort(-(value[wrong] + 1) * np.sqrt(fine[wrong]), kind="stable")][:third] if len(wrong) >= third // 2 else drawn
+        value = machine.values(letters, start)
+        # the next round's drawn landmarks are words of clean documents that this machine takes for toxic
+        wrong = np.flatnonzero((value > -0.5) & (seen[1] > 0))
+        drawn = wrong[np.argsort(-(value[wrong] + 1) * np.sqrt(seen[1][wrong]), kind="stable")][:third] if len(wrong) >= third // 2 else drawn
     found = evidence(value[unit], doc, many)
     odds = np.zeros(found.shape[1])
     cost = lambda c: np.logaddexp(0, found @ c * np.where(toxic, -1, 1)).sum() + 0.05 * (c @ c)
@@ -323,7 +372,7 @@ def train(unit: np.ndarray, doc: np.ndarray, sentence: np.ndarray, letters: np.n
         if cost(best) >= cost(odds) - 1e-6:
             break
         odds = best
-    return Machine(machine.weights, machine.bias, odds)
+    return Machine(machine.weights, machine.bias, odds + np.array([offset, 0, 0, 0]))
 
 
 def _lower(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -331,25 +380,45 @@ def _lower(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learned(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> Machine:
-    chosen = labelled(docs, labels, "toxic", FOLDS, FOLD, n)
+    """The machine, trained by one task on the bounded sample; only the machine comes to the driver."""
+    chosen, offset = labelled(docs, labels, "toxic", FOLDS, FOLD, n)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = _lower(batch.column("text"))
             for lo, hi in T.pieces(offs):
                 units = Units(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], sentences=True)
-                key = np.unique(np.stack([units.row, units.sentence, units.unit], 1), axis=0)
+                key = _bounded(np.unique(np.stack([units.row, units.sentence, units.unit], 1), axis=0), OCCURRENCES)
                 cut = pa.array(np.searchsorted(key[:, 0], np.arange(hi - lo + 1)).astype(np.int32))
                 words = T.string_array(units.letters, units.start).cast(pa.binary()).take(pa.array(key[:, 2]))
                 lists = (pa.ListArray.from_arrays(cut, x) for x in (pa.array(key[:, 1].astype(np.int32)), words))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("label").slice(lo, hi - lo), *lists], ["doc_id", "label", "sentences", "words"])
 
-    rows = chosen.select("doc_id", "label", "text").mapInArrow(gather, "doc_id long, label int, sentences array<int>, words array<binary>").toArrow()
-    if not rows.num_rows:
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches, pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("sentences", pa.list_(pa.int32())), ("words", pa.list_(pa.binary()))]))
+        if rows.num_rows:
+            made = list(_occurrences(rows.sort_by("doc_id").combine_chunks()))
+            del rows
+            found = train(*(made.pop(0) for _ in range(6)), offset)  # nothing else holds what train() reworks
+            yield pa.RecordBatch.from_arrays([pa.array([found.weights.astype("<f8").tobytes()], pa.binary()), pa.array([found.bias]), pa.array([found.odds.tolist()])], ["weights", "bias", "odds"])
+
+    parts = chosen.select("doc_id", "label", "text").mapInArrow(gather, "doc_id long, label int, sentences array<int>, words array<binary>")
+    found = next(iter(parts.repartition(1).mapInArrow(fit, "weights binary, bias double, odds array<double>").collect()), None)
+    if found is None:
         return train(*(np.empty(0, np.int64) for _ in range(3)), np.empty(0, np.uint8), np.zeros(1, np.int64), np.empty(0, bool))
-    made = list(_occurrences(rows.sort_by("doc_id").combine_chunks()))
-    del rows
-    return train(*(made.pop(0) for _ in range(6)))  # nothing else holds what train() reworks
+    return Machine(np.frombuffer(found.weights, "<f8"), found.bias, np.array(found.odds))
+
+
+def _bounded(key: np.ndarray, most: int) -> np.ndarray:
+    """Rows of (document, sentence, word), in order: of documents with more than most, only those of sentences that
+    have the least hashes of their numbers."""
+    many = np.bincount(key[:, 0]) if len(key) else np.empty(0, np.int64)
+    keep = np.ones(len(key), bool)
+    for d in np.flatnonzero(many > most):
+        a, b = np.searchsorted(key[:, 0], [d, d + 1])
+        order = np.argsort(T.mix(key[a:b, 1].astype(T.U64)), kind="stable")
+        keep[a + order[most:]] = False
+    return key[keep]
 
 
 def _occurrences(rows: pa.Table) -> tuple[np.ndarray, ...]:
