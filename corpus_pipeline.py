@@ -3,6 +3,11 @@
 Toxic documents go, near-duplicate groups keep their first document, passages that an earlier document has are cut,
 documents contaminated by the benchmark go, and what is left is encoded. All stages but the last return the columns
 of documents.
+
+Cases: a null text is civil, has no near copy and loses nothing, is clean and has no tokens; it passes all stages.
+Of repeated rows one stays if they have words, and all if not; a null doc_id counts as larger than every other. Texts of
+any length are judged whole. Equal doc_ids with different texts are different documents. Stages take empty tables and keep
+further columns, whatever their names, up to the last, which has columns of its own.
 """
 
 from __future__ import annotations
@@ -35,8 +40,8 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each document's ids and decoded text."""
-    return bpe.encoded(docs, TOKENIZER)
+    """Each document's token ids, their count, and digests of the ids and of the decoded text."""
+    return bpe.encoded(docs, TOKENIZER, tokens=True).drop("decoded")
 
 
 STAGES = [
