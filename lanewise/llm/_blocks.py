@@ -114,19 +114,22 @@ def packed(docs: DataFrame, n: int, whole: bool = False) -> DataFrame:
     return docs.select(block, F.col("doc_id").cast("long"), F.col("text").cast("string"), *(docs[c].alias(k) for k, c in rest.items())).mapInArrow(pack, BLOCKS).repartition(n, "block")
 
 
+def _whole(table: pa.Table) -> pa.Table:
+    """A block's documents from its payloads, ordered by their contents: payloads come in another order each time."""
+    return pa.concat_tables([loads(x.as_buffer()) for x in table.column("payload")]).combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+
 def unpack(table: pa.Table) -> tuple[pa.ChunkedArray, pa.ChunkedArray]:
     """doc_id and text of a block, from its payloads."""
-    parts = [loads(x.as_buffer()) for x in table.column("payload")]
-    if not parts:
+    if not table.num_rows:
         return pa.chunked_array([], pa.int64()), pa.chunked_array([], pa.string())
-    whole = pa.concat_tables(parts).combine_chunks()
+    whole = _whole(table)
     return whole.column("doc_id"), whole.column("text")
 
 
 def restored(table: pa.Table, columns: list[str], text: pa.Array | None = None, keep: np.ndarray | None = None) -> pa.Table:
     """All columns of a whole block's documents, as packed; with text, that instead and n_chars counted anew."""
-    parts = [loads(x.as_buffer()) for x in table.column("payload")]
-    whole = pa.concat_tables(parts).combine_chunks()
+    whole = _whole(table)
     out = {c: whole.column(c if c in ("doc_id", "text") else f"c{k}") for k, c in enumerate(columns)}
     if text is not None:
         out["text"] = text

@@ -111,3 +111,19 @@ def test_a_tokenizer_of_another_kind_is_refused(tmp_path, spark):
     for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{"content": "ab", "id": 1}, {"content": "bc", "id": 2}]}, {"added_tokens": [{"content": "ab", "id": 1, "lstrip": True}]}):
         with pytest.raises(ValueError):
             module.checked(whole | change)
+
+
+def test_a_block_is_the_same_in_any_order_of_its_payloads():
+    import pyarrow as pa
+
+    docs = [(3, "c"), (None, "b"), (1, "z"), (1, "a"), (2, None), (None, None)]
+    payloads = [B.dumps(pa.table({"doc_id": pa.array([i], pa.int64()), "text": pa.array([t], pa.string()), "c2": pa.array([f"{i} {t}"])})) for i, t in docs]
+    rng = np.random.default_rng(2)
+    seen = set()
+    for _ in range(20):
+        table = pa.table({"payload": pa.array([payloads[k] for k in rng.permutation(len(docs))], pa.binary())})
+        ids, text = B.unpack(table)
+        found = tuple(zip(ids.to_pylist(), text.to_pylist()))
+        assert tuple(B.restored(table, ["doc_id", "text", "more"]).column("more").to_pylist()) == tuple(f"{i} {t}" for i, t in found)
+        seen.add(found)
+    assert len(seen) == 1 and sorted(seen.pop(), key=str) == sorted(docs, key=str)
