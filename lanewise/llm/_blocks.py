@@ -65,7 +65,7 @@ def heavy(docs: DataFrame, weigh: Callable[[pa.Array], Iterator[tuple[np.ndarray
                 total = np.bincount(of, size, len(pair)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(size[first].astype(np.int64)), pa.array(total)], ["pair", "size", "total"])
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "pair long, size long, total long")
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(T.lean(run), "pair long, size long, total long")
     over = F.sum("total") > most
     if different:
         found = found.groupBy("pair").agg(F.first("size").alias("size"), F.sum("total").alias("total"))
@@ -111,7 +111,7 @@ def packed(docs: DataFrame, n: int, whole: bool = False) -> DataFrame:
                 row = pa.RecordBatch.from_arrays([c.slice(lo, hi - lo) for c in batch.columns[1:]], names)
                 yield pa.RecordBatch.from_arrays([pa.array([own[lo]], pa.int32()), pa.array([dumps(row)], pa.binary())], ["block", "payload"])
 
-    return docs.select(block, F.col("doc_id").cast("long"), F.col("text").cast("string"), *(docs[c].alias(k) for k, c in rest.items())).mapInArrow(pack, BLOCKS).repartition(n, "block")
+    return docs.select(block, F.col("doc_id").cast("long"), F.col("text").cast("string"), *(docs[c].alias(k) for k, c in rest.items())).mapInArrow(T.lean(pack), BLOCKS).repartition(n, "block")
 
 
 def _whole(table: pa.Table) -> pa.Table:
@@ -245,7 +245,9 @@ def sent(blocks: DataFrame, n: int, send: Callable[[pa.Table], Iterator[tuple[in
 
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        return rows([(b, block, x) for b, x in send(table)])
+        out = rows([(b, block, x) for b, x in send(table)])
+        T.release()
+        return out
 
     return blocks.groupBy("block").applyInArrow(run, MAIL).repartition(n, "bucket")
 
@@ -255,7 +257,9 @@ def answered(messages: DataFrame, n: int, solve: Callable[[list[tuple[int, pa.Bu
 
     def run(table: pa.Table) -> pa.Table:
         got = [(b, p.as_buffer()) for b, p in zip(table.column("block").to_pylist(), table.column("payload"))]
-        return rows([(0, *x) for x in solve(got)])
+        out = rows([(0, *x) for x in solve(got)])
+        T.release()
+        return out
 
     return messages.groupBy("bucket").applyInArrow(run, MAIL).select("block", "payload").repartition(n, "block")
 
@@ -264,6 +268,8 @@ def settled(blocks: DataFrame, answers: DataFrame, apply: Callable[[pa.Table, li
     """What each block makes of its documents and the answers."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return apply(left, [(0, p.as_buffer()) for p in right.column("payload")])
+        out = apply(left, [(0, p.as_buffer()) for p in right.column("payload")])
+        T.release()
+        return out
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)

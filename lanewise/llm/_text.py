@@ -32,6 +32,21 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+def release() -> None:
+    """Gives back what Arrow keeps of freed memory, at the end of a task's work; idle workers would keep it."""
+    pa.default_memory_pool().release_unused()
+
+
+def lean(f):
+    """A function of batches that releases memory at its end."""
+
+    def run(batches):
+        yield from f(batches)
+        release()
+
+    return run
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective avalanche of 64-bit values."""
     h = h ^ (h >> U64(30))
@@ -216,6 +231,15 @@ class Words:
         return np.arange(len(self)) + k <= np.repeat(self.first[1:], self.counts)
 
 
+def gram_of(rows: np.ndarray) -> np.ndarray:
+    """What grams() gives for the hashes in each row."""
+    acc = rows[:, 0].copy()
+    for j in range(1, rows.shape[1]):
+        acc *= WORD_BASE
+        acc += rows[:, j]
+    return mix(acc)
+
+
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     n = len(hashes)
     out = np.zeros(n, U64)

@@ -3,13 +3,14 @@
 A window of an item occurs in a document only if all its shingles do, so one necessary shingle finds it: the rarest,
 counted over all documents. Documents are probed with those prefix shingles alone; a match gives the window's place
 (positional bound), must leave room for the whole window in the document (length bound), and is then verified word
-by word. The benchmark is read in blocks of at most `block_bytes` of text; each block, and nothing that grows with
+by word, by hashes and then by bytes. The benchmark is read in blocks of at most `block_bytes` of text; each block, and nothing that grows with
 it or with the documents, is broadcast, and a larger benchmark takes more passes.
 
 Cases: words are those of lower-cased text, digits, a-z and everything beyond ASCII; null or empty texts have no
 words and hit nothing; an item of fewer words than a window is one window, one without words has none; items with a
-null item_id are left out; an item_id in several rows counts once; repeated documents give a row each; empty tables
-and further columns are fine.
+null item_id are left out; an item_id in several rows counts once; repeated documents give a row each; of a text of any
+length all words are probed; of equally rare shingles the first is the prefix; empty tables and further columns, whatever
+their names, are fine.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from . import _text as T
 
 WINDOW, SHINGLE = 13, 3
-#: Bytes of benchmark text that are broadcast at a time.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text of which the windows are broadcast at a time: some 40 times as much.
+BLOCK_BYTES = 2 << 20
 BATCH = 4 << 20
 
 
@@ -59,35 +60,64 @@ class Windows:
 
     hashes: np.ndarray  # a row of word hashes for each window, zeros after its length
     length: np.ndarray
-    items: list[list[str]]  # the items that have it
-    shingles: np.ndarray  # hashes, in the window's order; as many as length - size + 1
     size: np.ndarray  # words in a shingle of this window
+    word_size: np.ndarray  # bytes of each of its words, a row for each window
+    bytes: tuple[np.ndarray, np.ndarray]  # of its words, one after another, and the windows' offsets
+    names: list[str]  # of items, in order
+    items: tuple[np.ndarray, np.ndarray]  # places of the names of each window's items, and the windows' offsets
+
+    def shingles(self, shingle: int) -> np.ndarray:
+        """Hashes, in the window's order; as many as length - size + 1 mean something."""
+        out = np.zeros(self.hashes.shape, T.U64)
+        for k in range(1, shingle + 1):
+            own = self.size == k
+            for j in range(self.hashes.shape[1] - k + 1):
+                out[own, j] = T.gram_of(self.hashes[own, j : j + k])
+        return out
+
+    def items_of(self, window: int) -> list[str]:
+        flat, offs = self.items
+        return [self.names[i] for i in flat[offs[window] : offs[window + 1]]]
 
 
 def windows_of(items: pa.Table, window: int, shingle: int) -> Windows:
-    words = words_of(*T.strings(items.column("text")))
-    names = items.column("item_id").to_pylist()
-    found: dict[bytes, tuple[np.ndarray, set[str]]] = {}
-    for r, name in enumerate(names):
-        own = words.hash[words.first[r] : words.first[r + 1]]
-        length = min(window, len(own))
-        for i in range(len(own) - length + 1 if length else 0):
-            part = own[i : i + length]
-            found.setdefault(part.tobytes(), (part, set()))[1].add(name)
-    n = len(found)
-    hashes, length, grams = np.zeros((n, window), T.U64), np.zeros(n, np.int64), np.zeros((n, window), T.U64)
-    for k, (part, _) in enumerate(found.values()):
-        hashes[k, : len(part)], length[k] = part, len(part)
-        size = min(shingle, len(part))
-        grams[k, : len(part) - size + 1] = T.grams(part, size)[: len(part) - size + 1]
-    return Windows(hashes, length, [sorted(x) for _, x in found.values()], grams, np.minimum(length, shingle))
-
-
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, T.Words]]:
+    raw, offs = T.strings(items.column("text"))
+    raw = T.LOWER[raw]
+    words = words_of(raw, offs)
+    names, name = np.unique(np.array(items.column("item_id").to_pylist(), object).astype(str), return_inverse=True)
+    long = np.flatnonzero(words.whole(window))
+    short = np.flatnonzero((words.counts > 0) & (words.counts < window))
+    start = np.concatenate([long, words.first[short]])
+    row = np.concatenate([np.searchsorted(words.first, long, "right") - 1, short])
+    length = np.minimum(window, words.counts[row])
+    at = np.minimum(start[:, None] + np.arange(window), max(len(words) - 1, 0))
+    inside = np.arange(window) < length[:, None]
+    word_size = np.where(inside, (words.end - words.start)[at], 0) if len(start) else np.zeros((0, window), np.int64)
+    # windows are told apart by their words, which are joined by spaces
+    spaced, begin = T.spaced(raw, words)
+    _, of = T.distinct(*T.gathered(spaced, begin[start], begin[start + length] - begin[start])) if len(start) else (None, np.empty(0, np.int64))
+    _, first = np.unique(of, return_index=True)
+    flat = (at[first])[inside[first]]
+    data, _ = T.gathered(raw, words.start[flat], (words.end - words.start)[flat]) if len(flat) else (raw[:0], None)
+    pairs = np.unique(np.stack([of, name[row]], 1), axis=0) if len(start) else np.zeros((0, 2), np.int64)
+    return Windows(
+        np.where(inside, words.hash[at], 0)[first].astype(T.U64) if len(start) else np.zeros((0, window), T.U64),
+        length[first],
+        np.minimum(length[first], shingle),
+        word_size[first],
+        (data, np.append(0, np.cumsum(word_size[first].sum(1)))),
+        names.tolist(),
+        (pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))),
+    )
+
+
+def _batches(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tuple[pa.RecordBatch, np.ndarray, T.Words]]:
+    """Rows of batches, and the lower-cased bytes and words of their texts."""
     for batch in batches:
-        raw, offs = T.strings(batch.column(1))
+        raw, offs = T.strings(batch.column(text))
         for lo, hi in T.pieces(offs, BATCH):
-            yield batch.column(0).slice(lo, hi - lo), words_of(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+            part = T.LOWER[raw[offs[lo] : offs[hi]]]
+            yield batch.slice(lo, hi - lo), part, words_of(part, offs[lo : hi + 1] - offs[lo])
 
 
 def shingle_counts(docs: DataFrame, lookups: dict[int, Lookup]) -> dict[int, np.ndarray]:
@@ -95,7 +125,7 @@ def shingle_counts(docs: DataFrame, lookups: dict[int, Lookup]) -> dict[int, np.
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {k: np.zeros(len(x.keys), np.int64) for k, x in lookups.items()}
-        for _, words in _batches(batches):
+        for _, _, words in _batches(batches):
             for k, lookup in lookups.items():
                 at, key = lookup.find(words.grams(k))
                 sums[k] += np.bincount(key[words.whole(k)[at]], minlength=len(sums[k]))
@@ -104,7 +134,7 @@ def shingle_counts(docs: DataFrame, lookups: dict[int, Lookup]) -> dict[int, np.
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array(key), pa.array(x[key])], ["size", "key", "n"])
 
     counts = {k: np.zeros(len(x.keys), np.int64) for k, x in lookups.items()}
-    for r in docs.mapInArrow(count, "size int, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n")).collect():
+    for r in docs.mapInArrow(T.lean(count), "size int, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n")).collect():
         counts[r.size][r.key] = r.n
     return counts
 
@@ -117,7 +147,7 @@ class Probe:
     place: np.ndarray  # of the prefix shingle in each window
     by_size: dict[int, tuple[Lookup, np.ndarray, np.ndarray]]
 
-    def find(self, words: T.Words) -> tuple[np.ndarray, dict[int, set[str]]]:
+    def find(self, raw: np.ndarray, words: T.Words) -> tuple[np.ndarray, dict[int, set[str]]]:
         """Which words any window covers, and the items that have windows in each row."""
         hashes, length = self.windows.hashes, self.windows.length
         edge = np.zeros(len(words) + 1, np.int64)
@@ -134,29 +164,53 @@ class Probe:
             for j in range(hashes.shape[1]):
                 ok = (j >= length[win]) | (words.hash[np.minimum(start + j, len(words) - 1)] == hashes[win, j])
                 win, start, row = win[ok], start[ok], row[ok]
+            ok = self._same(raw, words, start, win)
+            win, start, row = win[ok], start[ok], row[ok]
             np.add.at(edge, start, 1)
             np.add.at(edge, start + length[win], -1)
             for r, w in zip(row.tolist(), win.tolist()):
-                items.setdefault(r, set()).update(self.windows.items[w])
+                items.setdefault(r, set()).update(self.windows.items_of(w))
         return np.cumsum(edge)[: len(words)] > 0, items
 
+    def _same(self, raw: np.ndarray, words: T.Words, start: np.ndarray, win: np.ndarray) -> np.ndarray:
+        """Whether the words from each start on are those of the window, byte by byte."""
+        out = np.ones(len(win), bool)
+        data, offs = self.windows.bytes
+        for lo in range(0, len(win), 1 << 14):
+            w, first = win[lo : lo + (1 << 14)], start[lo : lo + (1 << 14)]
+            length = self.windows.length[w]
+            match = np.repeat(np.arange(len(w)), length)
+            place = np.arange(len(match)) - np.repeat(np.append(0, np.cumsum(length)[:-1]), length)
+            word = first[match] + place
+            size = words.end[word] - words.start[word]
+            ok = np.bincount(match[size != self.windows.word_size[w[match], place]], minlength=len(w)) == 0
+            word, total = word[ok[match]], self.windows.word_size[w[ok]].sum(1)
+            own, cut = T.gathered(raw, words.start[word], words.end[word] - words.start[word])
+            theirs, _ = T.gathered(data, offs[w[ok]], total)
+            differs = np.append(0, np.cumsum(own != theirs))
+            at = np.append(0, np.cumsum(total))
+            ok[ok] = differs[at[1:]] == differs[at[:-1]]
+            out[lo : lo + (1 << 14)] = ok
+        return out
+
 
 def probe_of(docs: DataFrame, items: pa.Table, window: int, shingle: int) -> Probe:
     """A benchmark block's probe; each window's prefix is its shingle that is rarest in all documents."""
     wins = windows_of(items, window, shingle)
     n = len(wins.length)
     sizes = [int(k) for k in np.unique(wins.size)]
+    shingles = wins.shingles(shingle)
     in_use = np.arange(window)[None, :] < (wins.length - wins.size + 1)[:, None]
-    lookups = {k: Lookup(wins.shingles[in_use & (wins.size == k)[:, None]]) for k in sizes}
+    lookups = {k: Lookup(shingles[in_use & (wins.size == k)[:, None]]) for k in sizes}
     counts = shingle_counts(docs, lookups) if n else {}
     # the rarest shingle of each window, the first among equals
     place, prefix = np.zeros(n, np.int64), np.zeros(n, T.U64)
     by_size = {}
     for k in sizes:
         own = np.flatnonzero(wins.size == k)
-        count = counts[k][np.minimum(np.searchsorted(lookups[k].keys, wins.shingles[own]), len(lookups[k].keys) - 1)]
+        count = counts[k][np.minimum(np.searchsorted(lookups[k].keys, shingles[own]), len(lookups[k].keys) - 1)]
         place[own] = np.argmin(np.where(in_use[own], count, np.iinfo(np.int64).max), axis=1)
-        prefix[own] = wins.shingles[own, place[own]]
+        prefix[own] = shingles[own, place[own]]
         own = own[np.argsort(prefix[own], kind="stable")]
         lookup = Lookup(prefix[own])
         by_size[k] = (lookup, np.append(np.searchsorted(prefix[own], lookup.keys), len(own)), own)
@@ -168,13 +222,14 @@ def hits(docs: DataFrame, items: pa.Table, window: int, shingle: int, key: str =
     sent = docs.sparkSession.sparkContext.broadcast(probe_of(docs, items, window, shingle))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, words in _batches(batches):
-            hit, own = sent.value.find(words)
+        for batch, raw, words in _batches(batches):
+            ids = batch.column(0)
+            hit, own = sent.value.find(raw, words)
             rows = range(len(ids))
             bits = [np.packbits(hit[words.first[r] : words.first[r + 1]]).tobytes() if r in own else b"" for r in rows]
             yield pa.RecordBatch.from_arrays([ids, pa.array(words.counts), pa.array(bits, pa.binary()), pa.array([sorted(own.get(r, ())) for r in rows], pa.list_(pa.string()))], ["doc_id", "n_words", "hit", "items"])
 
-    return docs.mapInArrow(probe, f"doc_id {key}, n_words long, hit binary, items array<string>")
+    return docs.mapInArrow(T.lean(probe), f"doc_id {key}, n_words long, hit binary, items array<string>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -186,7 +241,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     else:
         block, n = F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * n)), 2 * n
         found = _merged(docs, [items.where(block == k) for k in range(n)], window, shingle)
-    return found.mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return found.mapInArrow(T.lean(_digest), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def _items(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
@@ -203,22 +258,17 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle:
     if n > 1:
         name = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         bad = contamination(own.select(name.alias("doc_id"), "text"), benchmark, window, shingle, block_bytes).where("contaminated")
-        bad = bad.select(F.col("doc_id").alias("contaminated_row")).distinct()
-        return docs.join(bad, name == F.col("contaminated_row"), "left_anti")
+        bad = bad.select("doc_id").distinct()
+        return docs.alias("own").join(bad.alias("bad"), F.xxhash64(F.col("own.doc_id").cast("long"), F.col("own.text").cast("string")) == F.col("bad.doc_id"), "left_anti")
     sent = docs.sparkSession.sparkContext.broadcast(probe_of(own, items.toArrow(), window, shingle))
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offs = T.strings(batch.column(at))
-            fine = []
-            for lo, hi in T.pieces(offs, BATCH):
-                words = words_of(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                hit = np.diff(np.append(0, np.cumsum(sent.value.find(words)[0]))[words.first])
-                fine.append(~contaminated(hit, words.counts))
-            yield batch.filter(pa.array(np.concatenate(fine))) if fine else batch
-
-    return docs.mapInArrow(keep, docs.schema)
+        for batch, raw, words in _batches(batches, at):
+            hit = np.diff(np.append(0, np.cumsum(sent.value.find(raw, words)[0]))[words.first])
+            yield batch.filter(pa.array(~contaminated(hit, words.counts)))
+
+    return docs.mapInArrow(T.lean(keep), docs.schema)
 
 
 def contaminated(hit: np.ndarray, words: np.ndarray) -> np.ndarray:

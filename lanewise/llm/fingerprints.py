@@ -124,7 +124,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32))], ["doc_id", "text", "part"])
 
     d, h = F.coalesce("doc_id", F.lit(int(np.iinfo(np.int64).min))).alias("d"), F.xxhash64("text").alias("h")
-    rows = docs.mapInArrow(ranges, "doc_id long, text string, part int").select("part", "doc_id", "text", d, h)
+    rows = docs.mapInArrow(T.lean(ranges), "doc_id long, text string, part int").select("part", "doc_id", "text", d, h)
     heads = rows.groupBy("part").agg(F.max(F.struct("d", "h")).alias("head")).select("part", "head.*").collect()
     if not heads:
         return docs.sparkSession.createDataFrame([], SCHEMA)
@@ -135,7 +135,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     ghosts = rows.join(F.broadcast(found), ["part", "d", "h"]).dropDuplicates(["part"]).select(F.col("ends").alias("part"), "doc_id", "text", "d", "h", F.lit(True).alias("ghost"))
     dealt = rows.withColumn("ghost", F.lit(False)).unionByName(ghosts).repartition(n, "part")
     in_order = dealt.sortWithinPartitions("part", "ghost", F.desc("d"), F.desc("h")).select("part", "ghost", "doc_id", "text")
-    return in_order.mapInArrow(_compared, SCHEMA)
+    return in_order.mapInArrow(T.lean(_compared), SCHEMA)
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -202,7 +202,7 @@ def met(classes: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame:
             low = [[int(T.mix(x ^ T.U64(0x9E37 + r)).min() >> T.U64(1)) for r in range(rounds)] for x in tokens]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.list_(pa.int64()))], ["cid", "keys"])
 
-    hashed = checkpointed(classes.select("cid", "tokens").mapInArrow(keys, "cid long, keys array<long>").select("cid", F.posexplode("keys").alias("round", "key")))
+    hashed = checkpointed(classes.select("cid", "tokens").mapInArrow(T.lean(keys), "cid long, keys array<long>").select("cid", F.posexplode("keys").alias("round", "key")))
     # written, so that the join has exchanges of its own, whose large partitions Spark splits
     many = checkpointed(hashed.groupBy("round", "key").agg(F.count("*").alias("many")).where("many > 1"))
     salt = F.pmod(F.xxhash64("cid", "round"), F.ceil(F.col("many") / ROWS))
@@ -216,7 +216,7 @@ def met(classes: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(cid[[a for a, _ in found]]), pa.array(cid[[b for _, b in found]])], ["u", "v"])
 
     rows = dealt.join(classes, "cid").select("dealt", "cid", "n", "tokens")
-    return rows.repartition("dealt").sortWithinPartitions("dealt").mapInArrow(product, "u long, v long")
+    return rows.repartition("dealt").sortWithinPartitions("dealt").mapInArrow(T.lean(product), "u long, v long")
 
 
 def rest(classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -235,12 +235,16 @@ def rest(classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), batch.column(0).take(pa.array(row)), batch.column(3).take(pa.array(row)), pa.array(n[row]), pa.array(own[row] - at)], ["token", "cid", "label", "n", "left"])
 
     full = classes.join(labels, classes.cid == labels.node, "left").select("cid", "n", "tokens", F.coalesce("root", "cid").alias("label"))
-    prefix = full.mapInArrow(prefixes, "token long, cid long, label long, n long, left long")
-    # a token's classes of one label aren't paired with each other, however many they are: labels meet first
-    named = prefix.select("token", "label").distinct()
+    prefix = full.mapInArrow(T.lean(prefixes), "token long, cid long, label long, n long, left long")
+    # a token's classes of one label aren't paired with each other, however many they are: labels meet first, where the
+    # sizes and positions of theirs allow a link at all
+    named = prefix.groupBy("token", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("left").alias("left"))
     named = checkpointed(named.join(named.groupBy("token").count().where("count > 1").select("token"), "token"))
-    both = named.withColumnRenamed("label", "label_a").join(named.withColumnRenamed("label", "label_b"), "token").where("label_a < label_b")
-    open_ = checkpointed(prefix.join(named, ["token", "label"]))
+    of = lambda x: named.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("label", "least", "most", "left")])
+    sizes = (percent * F.col("least_a") <= 100 * F.col("most_b")) & (percent * F.col("least_b") <= 100 * F.col("most_a"))
+    places = (100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("least_a") + F.col("least_b"))
+    both = of("a").join(of("b"), "token").where((F.col("label_a") < F.col("label_b")) & sizes & places).select("token", "label_a", "label_b")
+    open_ = checkpointed(prefix.join(named.select("token", "label"), ["token", "label"]))
     a, b = (open_.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "label", "n", "left")]) for x in "ab")
     fits = (percent * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")) & ((100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b")))
     pairs = both.join(a, ["token", "label_a"]).join(b, ["token", "label_b"]).where(fits).select("cid_a", "cid_b").distinct()
@@ -252,7 +256,7 @@ def rest(classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
             ok = pa.array(linked(overlap, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), percent))
             yield pa.RecordBatch.from_arrays([batch.column("cid_a").filter(ok), batch.column("cid_b").filter(ok)], ["u", "v"])
 
-    return pairs.join(side("a"), "cid_a").join(side("b"), "cid_b").mapInArrow(verify, "u long, v long")
+    return pairs.join(side("a"), "cid_a").join(side("b"), "cid_b").mapInArrow(T.lean(verify), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

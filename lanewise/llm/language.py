@@ -139,7 +139,7 @@ def learned(docs: DataFrame, n: int = SAMPLE) -> Filter | None:
                     many, docs_of = many * twice, int((lang[lo:hi] == k).sum()) * twice
                     yield pa.RecordBatch.from_arrays([pa.array([names.dictionary[int(k)].as_py()] * (len(found) + 1), pa.string()), pa.array(np.append(found.astype(np.int64), -1)), pa.array(np.append(many, docs_of).astype(np.int64))], ["lang", "gram", "n"])
 
-    counts = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n >= 2 or gram = -1").toArrow()
+    counts = chosen.mapInArrow(T.lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n >= 2 or gram = -1").toArrow()
     lang, gram, n_docs = counts.column("lang").to_pylist(), counts.column("gram").to_numpy(), counts.column("n").to_numpy()
     languages = sorted(set(lang))
     place = {x: i for i, x in enumerate(languages)}
@@ -176,4 +176,4 @@ def identified(docs: DataFrame, n: int = SAMPLE) -> DataFrame:
             names = [x if ok else "und" for x, ok in zip(found, letter)] if found else ["und"] * len(text)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(np.where(letter, score, 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", held_out(FOLDS, FOLD).alias("held_out"), "text").mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", held_out(FOLDS, FOLD).alias("held_out"), "text").mapInArrow(T.lean(predict), "doc_id long, held_out boolean, lang_pred string, score double")

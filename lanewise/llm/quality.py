@@ -110,8 +110,8 @@ def learned(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> tuple[np.nda
             table = train(docs_, (rows.column("label").to_numpy() > 0).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array([table.astype("<f8").tobytes()], pa.binary())], ["weights"])
 
-    parts = chosen.select("doc_id", "label", "text").mapInArrow(gather, "doc_id long, label int, found array<int>, count array<int>")
-    found = next(iter(parts.repartition(1).mapInArrow(fit, "weights binary").collect()), None)
+    parts = chosen.select("doc_id", "label", "text").mapInArrow(T.lean(gather), "doc_id long, label int, found array<int>, count array<int>")
+    found = next(iter(parts.repartition(1).mapInArrow(T.lean(fit), "weights binary").collect()), None)
     return (np.zeros(FEATURES), 0.0) if found is None else (np.frombuffer(found.weights, "<f8"), offset)
 
 
@@ -131,4 +131,4 @@ def scored(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> DataFrame:
             p = 1 / (1 + np.exp(-np.concatenate(odds))) if odds else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return texts.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return texts.mapInArrow(T.lean(score), "doc_id long, held_out boolean, score double, predicted int")

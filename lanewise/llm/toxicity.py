@@ -402,8 +402,8 @@ def learned(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> Machine:
             found = train(*(made.pop(0) for _ in range(6)), offset)  # nothing else holds what train() reworks
             yield pa.RecordBatch.from_arrays([pa.array([found.weights.astype("<f8").tobytes()], pa.binary()), pa.array([found.bias]), pa.array([found.odds.tolist()])], ["weights", "bias", "odds"])
 
-    parts = chosen.select("doc_id", "label", "text").mapInArrow(gather, "doc_id long, label int, sentences array<int>, words array<binary>")
-    found = next(iter(parts.repartition(1).mapInArrow(fit, "weights binary, bias double, odds array<double>").collect()), None)
+    parts = chosen.select("doc_id", "label", "text").mapInArrow(T.lean(gather), "doc_id long, label int, sentences array<int>, words array<binary>")
+    found = next(iter(parts.repartition(1).mapInArrow(T.lean(fit), "weights binary, bias double, odds array<double>").collect()), None)
     if found is None:
         return train(*(np.empty(0, np.int64) for _ in range(3)), np.empty(0, np.uint8), np.zeros(1, np.int64), np.empty(0, bool))
     return Machine(np.frombuffer(found.weights, "<f8"), found.bias, np.array(found.odds))
@@ -442,7 +442,7 @@ def scored(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> DataFrame:
             p = _scores(sent.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return texts.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return texts.mapInArrow(T.lean(score), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> DataFrame:
@@ -454,7 +454,7 @@ def accepted(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(_scores(sent.value, batch.column(at)) < THRESHOLD))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(T.lean(keep), docs.schema)
 
 
 def _scores(machine: Machine, text: pa.Array) -> np.ndarray:

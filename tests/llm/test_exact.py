@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import brute
 import corpus
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from lanewise.llm import _text as T
+from lanewise.llm import decontam, fingerprints, sharding
 from lanewise.llm import queries as Q
 
 DOCS = corpus.texts()
@@ -117,3 +124,66 @@ def test_repeated_rows_and_null_ids(spark, tmp_path, name):
     docs = [(1, "a b c d e f g " * 40), (1, "a b c d e f g " * 40), (None, "a b c d e f g " * 40), (None, None), (2, "x")]
     got = Q.QUERIES[name](spark, corpus.write(tmp_path, docs, benchmark=[(1, "a b c d e f g a b c d e f g")])).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in docs)
+
+
+@pytest.mark.parametrize("block_bytes", [400, 1 << 20])
+def test_a_benchmark_of_any_size(spark, folder, block_bytes):
+    docs, items = Q.table(spark, folder, "documents").withColumn("contaminated_row", F.lit(1)).withColumn("bad", F.lit(2)), Q.table(spark, folder, "benchmark")
+    want = sorted(brute.op2(DOCS, ITEMS))
+    assert rows(decontam.contamination(docs, items, block_bytes=block_bytes), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
+    clean = decontam.clean(docs, items, block_bytes=block_bytes)
+    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == sorted(x[0] for x in want if not x[-1])
+
+
+def test_jump_is_the_plain_one():
+    def plain(key: int, buckets: int) -> int:
+        b, j = -1, 0
+        while j < buckets:
+            b = j
+            key = (key * 2862933555777941757 + 1) % 2**64
+            j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+        return b
+
+    keys = np.random.default_rng(4).integers(0, 2**64, 3000, dtype=np.uint64)
+    for n in (1, 2, 24, 25, 1000):
+        assert sharding.jump(keys, n).tolist() == [plain(int(k), n) for k in keys]
+    before, after = sharding.jump(keys, 24), sharding.jump(keys, 25)
+    assert ((after == before) | (after == 24)).all() and 0.025 < (after == 24).mean() < 0.055
+
+
+def test_phrases_are_found_wherever_they_stand():
+    rng = random.Random(3)
+    whole = corpus.prose(rng, 900)
+    texts = [whole] + [corpus.prose(rng, k) + " " + whole for k in (1, 2, 7, 40)]
+    own = [fingerprints.sketches(*T.strings(pa.array([t]))) for t in texts]
+    for k, other in enumerate(own[1:]):
+        assert fingerprints.likeness(own[0], other)[0] > (0.85 if k < 3 else 0.7)
+    # names are those of the text alone, whatever else is in the batch
+    both = fingerprints.sketches(*T.strings(pa.array(texts)))
+    assert all((both[k] == x[0]).all() for k, x in enumerate(own))
+    assert fingerprints.likeness(own[0], fingerprints.sketches(*T.strings(pa.array([corpus.prose(rng, 900, 5000)]))))[0] < 0.3
+
+
+def test_parsing_is_the_plain_one():
+    """A plain parser of one level: runs, coin tosses, phrases at local maxima."""
+
+    def parsed(names: list[int]) -> list[tuple]:
+        runs = [(x, len(list(g))) for x, g in itertools.groupby(names)]
+        named = [int(T.mix(np.array([(x + 0x2545F4914F6CDD1D * n) % 2**64], np.uint64))[0]) for x, n in runs]
+        label = named
+        for _ in range(fingerprints.TOSSES):
+            new = []
+            for i, x in enumerate(label):
+                before = label[i - 1] if i else x ^ (2**64 - 1)
+                bit = next((b for b in range(64) if (x ^ before) >> b & 1), 64)
+                new.append(2 * bit + (x >> min(bit, 63) & 1))
+            label = new
+        cuts = [0] + [i for i in range(1, len(label) - 1) if label[i] > label[i - 1] and label[i] > label[i + 1]]
+        return [tuple(named[a:b]) for a, b in zip(cuts, cuts[1:] + [len(named)])]
+
+    rng = random.Random(9)
+    for _ in range(5):
+        raw = np.array([rng.randrange(4) for _ in range(300)], np.uint64)
+        want = parsed([int(x) for x in raw])
+        got, _ = fingerprints._parsed(raw, np.array([0, len(raw)]))
+        assert len(got) == len(want) and len({*zip(got.tolist(), want)}) == len(set(want)) == len(set(got.tolist()))
