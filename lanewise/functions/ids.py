@@ -27,6 +27,20 @@ def _lower_escapes(encoded: Column) -> Column:
     return encoded
 
 
+def entity_tag(content: Column) -> Column:
+    """The quoted digest that tells versions of a file apart."""
+    return F.concat(F.lit('"'), F.md5(content), F.lit('"'))
+
+
+def lock_name(key: Column) -> Column:
+    return F.sha1(key)
+
+
+def time_text(when: Column) -> Column:
+    """A time as the commands show it."""
+    return F.date_format(when, "yyyy-MM-dd HH:mm:ss")
+
+
 def canonical(record: dict) -> str:
     return json.dumps(record, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 

@@ -48,16 +48,17 @@ def walk(starts: list[int], stops: list[int], wide: list[bool]) -> Iterator[tupl
 
 
 def chains(objects: DataFrame, until: int | None = None) -> DataFrame:
-    """agent, epoch, lo, hi, n: each lane's chain, n counting from 0.
+    """agent, epoch, lo, hi, n, level: each lane's chain, n counting from 0. Of objects with one range the compacted one
+    counts.
 
     Runs of neighbouring single objects are folded to one row before a lane's stretches meet in a task, which so holds
     as many rows as the lane has gaps and compacted objects; the chosen stretches are joined back to the objects.
     """
     rows = objects if until is None else objects.where(F.col("hi") <= until)
-    widest = rows.groupBy(*LANE, "lo").agg(F.max("hi").alias("hi"))
+    widest = rows.groupBy(*LANE, "lo").agg(F.max(F.struct("hi", "level")).alias("widest")).select(*LANE, "lo", "widest.*")
     order = Window.partitionBy(*LANE).orderBy("lo")
     runs = widest.where("hi = lo").withColumn("run", F.col("lo") - F.row_number().over(order)).groupBy(*LANE, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run")
-    stretches = runs.withColumn("wide", F.lit(False)).unionByName(widest.where("hi > lo").withColumn("wide", F.lit(True)))
+    stretches = runs.withColumn("wide", F.lit(False)).unionByName(widest.where("hi > lo").drop("level").withColumn("wide", F.lit(True)))
 
     def run(key: tuple, lane: pd.DataFrame) -> pd.DataFrame:
         lane = lane.sort_values("lo")
@@ -66,7 +67,7 @@ def chains(objects: DataFrame, until: int | None = None) -> DataFrame:
 
     found = stretches.groupBy(*LANE).applyInPandas(run, "agent string, epoch int, start long, stop long, wide boolean, before long")
     joined = widest.join(found, LANE).where("lo = start OR (NOT wide AND lo > start AND hi <= stop)")
-    return joined.select(*LANE, "lo", "hi", (F.col("before") + F.col("lo") - F.col("start")).alias("n"))
+    return joined.select(*LANE, "lo", "hi", (F.col("before") + F.col("lo") - F.col("start")).alias("n"), "level")
 
 
 def islands(objects: DataFrame) -> DataFrame:
@@ -91,6 +92,6 @@ def gc_candidates(objects: DataFrame, keep: int = 1) -> DataFrame:
     rows = objects.join(valid, "agent")
     old = rows.where(F.col("epoch") <= F.col("newest") - keep)
     kept = rows.where((F.col("epoch") > F.col("newest") - keep) & (F.col("level") == 0))
-    wide = objects.where("level = 1 AND hi > lo").select("agent", "epoch", F.col("lo").alias("from"), F.col("hi").alias("to"))
+    wide = objects.where("level = 1").select("agent", "epoch", F.col("lo").alias("from"), F.col("hi").alias("to"))
     under = kept.join(wide, LANE).where("lo >= from AND hi <= to").select(*kept.columns)
     return old.unionByName(under).select(*LANE, "lo", "hi", "level").distinct()

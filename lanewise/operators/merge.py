@@ -59,6 +59,14 @@ def repeats(log: DataFrame) -> DataFrame:
     return puts.join(first, ["agent", "fid"]).where(F.struct("ts", "event_id") > F.col("first")).drop("first")
 
 
+def next_revisions(gone: DataFrame) -> DataFrame:
+    """fid, revision: the least revision of each content that none of its tombstones (fid, revision) has. Numbered in
+    order, revisions from 0 on equal their places up to the first that is missing."""
+    order = Window.partitionBy("fid").orderBy("revision")
+    placed = gone.distinct().withColumn("place", F.row_number().over(order) - 1)
+    return placed.groupBy("fid").agg(F.count_if(F.col("revision") == F.col("place")).cast("int").alias("revision"))
+
+
 def revisions(log: DataFrame) -> DataFrame:
     """Each put's revision: how many times its content had been forgotten and was put again, this time included.
 

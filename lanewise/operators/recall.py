@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions import vectors
+from lanewise.sources.files import checkpointed
 
 DIGITS = 6
 #: Query vectors that are broadcast at a time.
@@ -27,23 +28,38 @@ def recall(rows: DataFrame, query: list[float], k: int, where: Column | str | No
 def recall_many(rows: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """query_id, vec_id, score, rank of each query's k rows, for queries (query_id, embedding) of any number.
 
-    Blocks of query vectors are broadcast; each task keeps k rows a query, so what is shuffled depends on the numbers
-    of tasks and queries and not on the rows.
+    Blocks of query vectors are broadcast, one at a time; each task keeps k rows a query, so what is shuffled depends on the
+    numbers of tasks and queries and not on the rows.
     """
-    found = None
     blocks = max(1, -(-queries.count() // block))
+    found = None
     for b in range(blocks):
         part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
         table = part.select("query_id", "embedding").toArrow()
         ids = table.column("query_id").to_numpy()
-        matrix = np.array(table.column("embedding").to_pylist(), np.float64).reshape(len(ids), -1)
-        sent = rows.sparkSession.sparkContext.broadcast((ids, matrix))
+        vectors_ = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        sent = rows.sparkSession.sparkContext.broadcast((ids, vectors_.reshape(len(ids), -1) if len(ids) else np.empty((0, 0))))
         best = rows.select("vec_id", "embedding").mapInArrow(_best(sent, k), "query_id long, vec_id long, score double")
+        if blocks > 1:  # one block after the other, so that the driver and the workers never hold more than one
+            best = checkpointed(best)
+            sent.destroy()
         found = best if found is None else found.unionAll(best)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _kept(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the k greatest scores and their ids, in order; of equal scores the smaller ids."""
+    if k < score.shape[1] and k > 0:
+        # those above the k-th score, and of those equal to it the smallest ids: all others are out
+        edge = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+        width = max(int((score >= edge).sum(1).max()), k)
+        part = np.argpartition(-score, min(width, score.shape[1]) - 1, axis=1)[:, :width]
+        score, ids = np.take_along_axis(score, part, 1), np.take_along_axis(ids, part, 1)
+    order = np.lexsort((ids, -score))[:, : max(k, 0)]
+    return np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+
+
 def _best(sent, k: int):
     """Each task's k best rows of each query, held over all of its batches."""
 
@@ -57,9 +73,7 @@ def _best(sent, k: int):
             rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
             for b, (score, found) in enumerate(best):
                 new = np.round(matrix[256 * b : 256 * b + 256] @ rows.T, DIGITS)
-                score, found = np.hstack([score, new]), np.hstack([found, np.broadcast_to(own, new.shape)])
-                order = np.lexsort((found, -score))[:, :k]
-                best[b] = np.take_along_axis(score, order, 1), np.take_along_axis(found, order, 1)
+                best[b] = _kept(np.hstack([score, new]), np.hstack([found, np.broadcast_to(own, new.shape)]), k)
         for b, (score, found) in enumerate(best):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[256 * b : 256 * b + 256], score.shape[1])), pa.array(found.ravel()), pa.array(score.ravel())], ["query_id", "vec_id", "score"])
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions import ids, keys
+from lanewise.functions.metadata import equal_to
 from lanewise.operators import chain, history, merge
 from lanewise.sources import carriers as C
+from lanewise.sources.files import shared_folder
 from lanewise.streaming import refresh
 
 ME, BACK, UNTIL, KEEP, LIMIT = "agent_0", 50, 5, 2, 20
@@ -107,7 +108,33 @@ def state_at_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 def restore_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain a lane is restored from: of its newest epoch with one."""
     own = C.lane_objects(spark, sf_dir).where(F.col("agent") == ME)
-    return chain.chains(own.join(chain.newest_epochs(own), chain.LANE, "left_semi"))
+    return chain.chains(own.join(chain.newest_epochs(own), chain.LANE, "left_semi")).drop("level")
+
+
+def chain_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many objects of each level the chains have, if every fifth epoch's first object is compacted alone."""
+    objects = C.lane_objects(spark, sf_dir)
+    alone = objects.where("level = 0 AND lo = 0 AND epoch % 5 = 0").withColumn("level", F.lit(1))
+    return chain.chains(objects.unionByName(alone)).groupBy("agent", "epoch", "level").agg(F.count("*").alias("objects"))
+
+
+def where_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose metadata has the number 2, not the text, and no other value."""
+    number = F.col("doc_id") % 3
+    kinds = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(number.alias("n")))).otherwise(F.to_json(F.struct(number.cast("string").alias("n"))))
+    return docs(spark, sf_dir).select("doc_id", kinds.alias("metadata")).where(equal_to("metadata", {"n": 2, "absent": None})).select("doc_id", "metadata")
+
+
+def revision_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The revision under which forgotten content would come back: the least that no tombstone has."""
+    gone = log(spark, sf_dir).where("op = 'forget'").select("fid", (F.col("event_id") % 4).cast("int").alias("revision"))
+    return merge.next_revisions(gone)
+
+
+def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and times as text: what file names, entity tags and the commands' output are made of."""
+    rows = C.table(spark, sf_dir, "events").select("event_id", F.concat_ws("|", F.col("event_id").cast("string"), F.col("event_type")).alias("t"), "ts")
+    return rows.select("event_id", ids.entity_tag(F.col("t")).alias("tag"), ids.lock_name(F.col("t")).alias("lock"), ids.time_text(F.col("ts")).alias("time"))
 
 
 def refresh_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,8 +176,7 @@ def live_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_live_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The live view from the log read as a stream, its state folded batch by batch."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")
-    folder = f"{shared}/{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     events = spark.readStream.schema(C.table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     refresh.refreshed(spark, C.log_of(events), f"{folder}/seen", f"{folder}/state")
     return merge.live(refresh.saved(spark, f"{folder}/state"))
@@ -201,8 +227,23 @@ SELECT agent, fid, ts, event_id, revision FROM numbered WHERE op = 'put'""",
         lambda s, d: chain.single_chains(C.lane_objects(s, d)),
         f"{OBJECTS} SELECT agent, epoch, lo, hi, level FROM (SELECT *, row_number() OVER (PARTITION BY agent, epoch ORDER BY lo) - 1 AS n FROM lane_objects WHERE level = 0) WHERE lo = n",
     ),
-    "chain_l1": (lambda s, d: chain.chains(C.lane_objects(s, d)), _recursive("true")),
-    "chain_until": (lambda s, d: chain.chains(C.lane_objects(s, d), UNTIL), _recursive(f"hi <= {UNTIL}")),
+    "chain_l1": (lambda s, d: chain.chains(C.lane_objects(s, d)).drop("level"), _recursive("true")),
+    "chain_until": (lambda s, d: chain.chains(C.lane_objects(s, d), UNTIL).drop("level"), _recursive(f"hi <= {UNTIL}")),
+    "chain_level": (
+        chain_level,
+        OBJECTS.replace("WITH ", "WITH RECURSIVE ", 1)
+        + """, more AS (SELECT * FROM lane_objects UNION ALL SELECT agent, epoch, lo, hi, 1 FROM lane_objects WHERE level = 0 AND lo = 0 AND epoch % 5 = 0),
+widest AS (SELECT agent, epoch, lo, max((hi, level)) AS w FROM more GROUP BY ALL),
+walked AS (SELECT agent, epoch, w[1] AS hi, w[2] AS level FROM widest WHERE lo = 0 UNION ALL SELECT w.agent, w.epoch, w.w[1], w.w[2] FROM walked c JOIN widest w ON w.agent = c.agent AND w.epoch = c.epoch AND w.lo = c.hi + 1)
+SELECT agent, epoch, CAST(level AS INT) AS level, count(*) AS objects FROM walked GROUP BY ALL""",
+    ),
+    "where_typed": (where_typed, """SELECT doc_id, concat('{"n":', CAST(doc_id % 3 AS VARCHAR), '}') AS metadata FROM documents WHERE doc_id % 3 = 2 AND doc_id % 2 = 0"""),
+    "revision_next": (
+        revision_next,
+        f"""{LOG}, gone AS (SELECT DISTINCT fid, CAST(event_id % 4 AS INT) AS r FROM mem_log WHERE op = 'forget'), tried AS (SELECT f.fid, CAST(n AS INT) AS r FROM (SELECT DISTINCT fid FROM gone) f, range(5) t(n))
+SELECT fid, min(r) AS revision FROM tried WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.fid = tried.fid AND g.r = tried.r) GROUP BY fid""",
+    ),
+    "digests": (digests, """SELECT event_id, concat('"', md5(concat(event_id, '|', event_type)), '"') AS tag, sha1(concat(event_id, '|', event_type)) AS lock, strftime(ts, '%Y-%m-%d %H:%M:%S') AS time FROM events"""),
     "select_epoch": (lambda s, d: chain.newest_epochs(C.lane_objects(s, d)), f"{OBJECTS} SELECT agent, max(epoch) AS epoch FROM lane_objects WHERE lo = 0 GROUP BY agent"),
     "spans_cover": (
         lambda s, d: chain.covered(C.lane_objects(s, d)),

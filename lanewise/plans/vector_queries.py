@@ -11,6 +11,8 @@ from lanewise.operators import merge, recall
 from lanewise.sources import carriers as C
 
 K, QUERY_ID, LABEL, AGENT, EVERY = 10, 0, 3, "agent_1", 100
+#: Rows that a search over codes hands on to exact scoring.
+SHORTLIST = 500
 
 
 def vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +43,14 @@ def recall_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.recall_many(vecs(spark, sf_dir), queries, K)
 
 
+def recall_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The K rows most like one query by a search over codes of four bits: the best SHORTLIST by their codes are scored
+    again with their vectors."""
+    query = query_vector(spark, sf_dir)
+    rows = vecs(spark, sf_dir).select("vec_id", "embedding", vectors.score(np.array(query))(vectors.encode(4)("embedding")).alias("near"))
+    return recall.recall(rows.orderBy(F.desc("near"), "vec_id").limit(SHORTLIST), query, K)
+
+
 def score_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Estimated and exact inner products of all rows with one query, from codes of four bits."""
     query = query_vector(spark, sf_dir)
@@ -76,7 +86,7 @@ def codebook(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vecs(spark, sf_dir).select(vectors.encode(4)("embedding").alias("payload"), F.size("embedding").alias("dim"))
-    return rows.groupBy(vectors.width_of(F.col("payload")).alias("width")).agg(F.count("*").alias("n"), F.sum(F.octet_length("payload") - vectors.HEADER.size).alias("packed"), F.sum(F.col("dim") * 4).alias("plain"))
+    return rows.groupBy(vectors.width_of(F.col("payload")).alias("width")).agg(F.count("*").alias("n"), F.sum(F.octet_length("payload") - vectors.HEADER.itemsize).alias("packed"), F.sum(F.col("dim") * 4).alias("plain"))
 
 
 def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,10 +98,7 @@ def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many character n-grams of 3 to 5 each turn has, and how many different ones."""
     text = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[ \t\n\r\f\x0B]+", " ")), F.lit(" "))
-    rows = C.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("t"))
-    cut = lambda n: F.when(F.length("t") >= n, F.transform(F.sequence(F.lit(1), F.length("t") - n + 1), lambda i: F.substr("t", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumn("g", F.concat(cut(3), cut(4), cut(5)))
-    return rows.select("conv_id", "turn", F.size("g").alias("n_grams"), F.size(F.array_distinct("g")).alias("n_distinct"))
+    return C.table(spark, sf_dir, "conversations").select("conv_id", "turn", embed.gram_counts(text).alias("g")).select("conv_id", "turn", "g.*")
 
 
 def pack_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +143,7 @@ QUERIES = {
         f"""WITH s AS (SELECT q.vec_id AS query_id, r.vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings r WHERE q.vec_id % {EVERY} = 0),
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, score, rank FROM t WHERE rank <= {K}""",
     ),
+    "recall_packed": (recall_packed, _top("true")),
     "score_packed": (score_packed, None),
     "requantize": (requantize, "SELECT vec_id, CASE WHEN vec_id % 3 = 2 THEN 1 ELSE 2 END AS width, CAST(24 + len(embedding) * CASE WHEN vec_id % 3 = 2 THEN 1 ELSE 2 END / 8 AS INT) AS n_bytes FROM embeddings"),
     "encode": (encode, "SELECT vec_id, " + ", ".join(f"{w} AS width_{w}, CAST(24 + ceil(len(embedding) * {w} / 8) AS INT) AS bytes_{w}" for w in (1, 2, 4, 8)) + " FROM embeddings"),

@@ -6,9 +6,11 @@ metadata; `embeddings` carries vectors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanewise.operators import history
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,8 +34,8 @@ def mem_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def numbered(events: DataFrame) -> DataFrame:
     """Each event's place in its lane and epoch (a day)."""
-    order = Window.partitionBy(F.col("user_id") % 8, F.dayofmonth("ts")).orderBy("ts", "event_id")
-    return events.select(agent("user_id").alias("agent"), F.dayofmonth("ts").alias("epoch"), "event_id", "ts", (F.row_number().over(order) - 1).cast("bigint").alias("seq"))
+    rows = events.select(agent("user_id").alias("agent"), F.dayofmonth("ts").alias("epoch"), "event_id", "ts")
+    return history.numbered(rows, ["agent", "epoch"], "ts", "event_id").withColumnRenamed("n", "seq")
 
 
 def lane_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,10 +52,8 @@ def vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def commits(spark: SparkSession, sf_dir: str, size: int = 10) -> DataFrame:
     """agent, epoch, seq, created_at, added, removed: every `size` records of a lane and epoch are one commit."""
-    log = mem_log(spark, sf_dir).withColumn("epoch", F.dayofmonth("ts"))
-    order = Window.partitionBy("agent", "epoch").orderBy("ts", "event_id")
-    seq = F.floor((F.row_number().over(order) - 1) / size).cast("bigint")
-    return log.withColumn("seq", seq).groupBy("agent", "epoch", "seq").agg(F.max("ts").alias("created_at"), F.count_if(F.col("op") == "put").alias("added"), F.count_if(F.col("op") == "forget").alias("removed"))
+    log = history.placed(mem_log(spark, sf_dir), size)
+    return log.groupBy("agent", "epoch", "seq").agg(F.max("ts").alias("created_at"), F.count_if(F.col("op") == "put").alias("added"), F.count_if(F.col("op") == "forget").alias("removed"))
 
 
 #: The same views for DuckDB, as common table expressions.

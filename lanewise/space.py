@@ -1,9 +1,13 @@
 """A shared memory space: writers commit records to lanes of a Parquet log, readers merge and search all lanes.
 
 Layout under the root: log/agent=/epoch=/level=/lo=/hi=/ holds the records of one commit or compacted object as
-Parquet; commits/ has one small JSON marker for each, created after its owner was verified, and only what has a marker
-is visible; owners/, checkpoints/ and attachments/ hold create-once files. A handle takes a new epoch of its lane with
-its first write and begins it with all that its lane holds, so that readers need the newest epoch alone.
+Parquet; commits/ has one small JSON marker for each, and only what has a marker is visible; owners/, checkpoints/ and
+attachments/ hold create-once files. A handle takes a new epoch of its lane with its first write and begins it with all
+that its lane holds, so that readers need the newest epoch alone.
+
+A write is acknowledged only if the lane is still ours after its marker is there: whoever takes the lane over later begins
+with what has markers, so that no acknowledged write is lost. Objects of other lanes that can't be read are left out
+(broken() names them); of the own lane they are errors.
 """
 
 from __future__ import annotations
@@ -16,27 +20,52 @@ from contextlib import contextmanager, suppress
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise.errors import ChainBroken, Fenced
 from lanewise.functions import vectors
 from lanewise.functions.embed import embed
-from lanewise.functions.ids import content_id_of_json
+from lanewise.functions.ids import canonical, content_id_of_json
 from lanewise.functions.keys import check_name
-from lanewise.operators import chain, history
+from lanewise.functions.metadata import equal_to
+from lanewise.operators import chain, history, merge
 from lanewise.operators.lease import Lease, held
-from lanewise.sources.files import Files
+from lanewise.sources.files import Files, checkpointed
 
 RECORD = "fid string, base string, revision int, op string, text string, metadata string, parents array<string>, created_at double, author string, payload binary"
-COMMIT = "agent string, epoch int, level int, lo long, hi long, created_at double, added long, removed long, note string"
+COMMIT = "agent string, epoch int, level int, lo long, hi long, created_at double, added long, removed long, note string, width int"
+OBJECT = ["agent", "epoch", "level", "lo", "hi"]
+COMPACT_EVERY = 32
 FIELDS = ["text", "metadata", "parents", "revision", "base", "payload"]
 
 
+def _best(rows: DataFrame, k: int) -> DataFrame:
+    return rows.where("NOT isnan(score)").orderBy(F.desc("score"), "fid").limit(max(k, 0))
+
+
+def each_or_all(name: str, value, n: int, kind: type, one: Callable = lambda x: True) -> list:
+    """A value for each of n texts: the given one for all, or one of a list that has as many."""
+    if value is None or isinstance(value, kind) and one(value) and kind is not list:
+        return [value] * n
+    if isinstance(value, (str, bytes)) or not isinstance(value, (list, tuple)):
+        raise TypeError(f"{name} must be one {kind.__name__} or a list of them, not {type(value).__name__}")
+    if kind is list and value and one(value):
+        return [list(value)] * n
+    if len(value) != n:
+        raise ValueError(f"{len(value)} {name} for {n} texts")
+    return list(value)
+
+
 class Space:
-    """One agent's handle, or a read-only one without an agent."""
+    """One agent's handle, or a read-only one without an agent.
+
+    flush_every: after how many writes they are committed (one by default; None: with flush() or close()). refresh_every:
+    for how many seconds a listing of commits may be used again (none by default; None: until refresh()).
+    compact_every: after how many commits of an epoch the lane is compacted (None: never).
+    """
 
-    def __init__(self, spark: SparkSession, root: str, agent: str | None = None, dim: int = 256, width: int = 4, embedder: Callable[[Column], Column] | None = None, ttl: float = 60.0):
+    def __init__(self, spark: SparkSession, root: str, agent: str | None = None, dim: int = 256, width: int = 4, embedder: Callable[[Column], Column] | None = None, ttl: float = 60.0, flush_every: int | None = 1, refresh_every: float | None = 0.0, compact_every: int | None = COMPACT_EVERY, clock: Callable[[], float] = time.time):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark, root)
         self.agent = check_name(agent, "agent") if agent is not None else None
         self.files.save("config.json", {"version": 2, "dim": dim, "width": width, "seed": vectors.SEED})
@@ -44,24 +73,45 @@ class Space:
         if config["dim"] != dim:
             raise ValueError(f"the space has {config['dim']} dimensions, not {dim}")
         self.dim, self.width = dim, config["width"]
-        self.embed = embedder or embed(dim)
-        self.lease = Lease(self.files, f"lanes/{agent}", ttl=ttl) if agent is not None else None
-        self.next, self.staged = 0, None
+        self.embed, self.clock = embedder or embed(dim), clock
+        self.lease = Lease(self.files, f"lanes/{agent}", ttl=ttl, clock=clock) if agent is not None else None
+        self.flush_every, self.refresh_every, self.compact_every = flush_every, refresh_every, compact_every
+        self.next, self.staged, self.pending, self.depth = 0, None, 0, 0
+        self._listed: tuple[float, DataFrame] | None = None
 
     # reading
 
+    def refresh(self) -> None:
+        """Look for new commits with the next read."""
+        self._listed = None
+
     def commits(self) -> DataFrame:
-        """Every visible object with its counts and note."""
-        if not self.files.names("commits"):
-            return self.spark.createDataFrame([], COMMIT)
-        return self.spark.read.schema(COMMIT).json(f"{self.root}/commits")
+        """Every visible object with its counts and note. Markers that can't be read are left out."""
+        now = self.clock()
+        if self._listed is None or self.refresh_every is not None and now - self._listed[0] >= self.refresh_every:
+            rows = self.spark.read.schema(COMMIT).json(f"{self.root}/commits") if self.files.any("commits") else self.spark.createDataFrame([], COMMIT)
+            self._listed = now, rows.where("agent is not null AND epoch is not null AND lo is not null AND hi is not null AND level is not null")
+        return self._listed[1]
 
     def _records(self, objects: DataFrame) -> DataFrame:
         """The records of some objects; the listing prunes the log's partitions."""
-        if not self.files.names("log"):
-            return self.spark.createDataFrame([], RECORD + ", agent string, epoch int, lo long, hi long")
-        rows = self.spark.read.schema(RECORD + ", agent string, epoch int, level int, lo long, hi long").option("basePath", f"{self.root}/log").parquet(f"{self.root}/log")
-        return rows.join(objects.select("agent", "epoch", "lo", "hi"), ["agent", "epoch", "lo", "hi"], "left_semi")
+        if not self.files.any("log"):
+            return self.spark.createDataFrame([], RECORD + ", agent string, epoch int, level int, lo long, hi long")
+
+        def read(strict: bool) -> DataFrame:
+            reader = self.spark.read.schema(RECORD + ", agent string, epoch int, level int, lo long, hi long").option("basePath", f"{self.root}/log")
+            return reader.option("ignoreCorruptFiles", str(not strict).lower()).parquet(f"{self.root}/log")
+
+        mine = F.col("agent") == F.lit(self.agent or "")
+        rows = read(False) if self.agent is None else read(True).where(mine).unionByName(read(False).where(~mine))
+        return rows.join(objects.select(*OBJECT), OBJECT, "left_semi")
+
+    def broken(self) -> DataFrame:
+        """Objects of the newest chains of which fewer records can be read than were committed."""
+        objects = self.commits()
+        chosen = chain.chains(objects.join(chain.newest_epochs(objects), chain.LANE, "left_semi")).join(objects, OBJECT).select(*OBJECT, (F.col("added") + F.col("removed")).alias("records"))
+        found = self._records(chosen).groupBy(*OBJECT).agg(F.count("*").alias("found"))
+        return chosen.join(found, OBJECT, "left").where("coalesce(found, 0) < records").select(*OBJECT)
 
     def log(self, at: str | None = None) -> DataFrame:
         """The records that count: of each lane's newest epoch, or up to a position."""
@@ -79,24 +129,36 @@ class Space:
     def live(self, at: str | None = None) -> DataFrame:
         """fid, text, metadata, parents, revision, base, payload, created_at, authors: the earliest put of each id that
         no lane has forgotten, and all who put it."""
+        return self._merged(self.log(at), FIELDS)
+
+    def _merged(self, log: DataFrame, fields: list[str]) -> DataFrame:
         put = F.col("op") == "put"
         order = F.struct("created_at", "author", -vectors.width_of(F.col("payload")))
-        first = F.min_by(F.struct("created_at", *FIELDS), F.when(put, order))
-        states = self.log(at).groupBy("fid").agg(first.alias("first"), F.collect_set(F.when(put, F.col("author"))).alias("authors"), F.max(~put).alias("dead"), F.max(put).alias("known"))
+        first = F.min_by(F.struct("created_at", *fields), F.when(put, order))
+        states = log.groupBy("fid").agg(first.alias("first"), F.collect_set(F.when(put, F.col("author"))).alias("authors"), F.max(~put).alias("dead"), F.max(put).alias("known"))
         return states.where("known AND NOT dead").select("fid", "first.*", F.array_sort("authors").alias("authors"))
 
+    def get(self, fid: str, at: str | None = None) -> Row | None:
+        """The live record of an id, perhaps at a position; None if there is none."""
+        return self._merged(self.log(at).where(F.col("fid") == fid), FIELDS).first()
+
     def recall(self, query: str | Iterable[float], k: int = 5, where: dict | Column | str | None = None, by: str | None = None, at: str | None = None) -> DataFrame:
         """The k live records most like a text or vector: all columns and score. A dict's keys must equal metadata's
-        (a missing key equals None); filters come before scoring."""
-        rows = self.live(at)
+        (a missing key equals None), value and kind; filters come before scoring."""
+        log, score = self.log(at), vectors.score(self._vector(query))
         if isinstance(where, dict):
-            for key, value in where.items():
-                rows = rows.where(F.get_json_object("metadata", f"$['{key}']").eqNullSafe(F.lit(None if value is None else value if isinstance(value, str) else str(value).lower() if isinstance(value, bool) else str(value))))
-        elif where is not None:
-            rows = rows.where(where)
-        if by is not None:
-            rows = rows.where(F.array_contains("authors", by))
-        return rows.withColumn("score", vectors.score(self._vector(query))("payload")).where("NOT isnan(score)").orderBy(F.desc("score"), "fid").limit(max(k, 0))
+            # equal ids have equal metadata: all records of an id pass, or none (tombstones always do)
+            log, where = log.where((F.col("op") != "put") | equal_to("metadata", where)), None
+        if where is not None:
+            rows = self._merged(log, FIELDS).where(where)
+            rows = rows if by is None else rows.where(F.array_contains("authors", by))
+            return _best(rows.withColumn("score", score("payload")), k)
+        # puts are scored where they are read: ids and scores are merged, and the k texts fetched
+        scored = log.withColumn("score", F.when(F.col("op") == "put", score(F.coalesce("payload", F.lit(vectors.encode_rows(np.zeros((1, self.dim)), 1)[0])))))
+        rows = self._merged(scored, ["score"])
+        rows = rows if by is None else rows.where(F.array_contains("authors", by))
+        found = F.broadcast(_best(rows, k).select("fid", "score"))
+        return _best(self._merged(log.join(found.select("fid"), "fid", "left_semi"), FIELDS).join(found, "fid"), k)
 
     def _vector(self, query: str | Iterable[float]) -> np.ndarray:
         if not isinstance(query, str):
@@ -146,9 +208,15 @@ class Space:
         return cut
 
     def stats(self) -> DataFrame:
-        """One row: live records, mine, others', packed bytes and plain ones."""
-        mine = F.array_contains("authors", self.agent or "")
-        return self.live().agg(F.count("*").alias("fragments"), F.count_if(mine).alias("mine"), F.count_if(~mine).alias("from_others"), F.coalesce(F.sum(F.octet_length("payload") - vectors.HEADER.size), F.lit(0)).alias("packed"), (F.count("*") * self.dim * 4).alias("plain"))
+        """One row: live records, mine, others', tombstones, packed bytes, plain ones and their ratio, agents, objects of the
+        newest chains, and writes that wait for a commit."""
+        put, mine = F.col("op") == "put", F.array_contains("authors", self.agent or "")
+        objects = self.commits()
+        objects = chain.chains(objects.join(chain.newest_epochs(objects), chain.LANE, "left_semi"))
+        gone = self.log().where(~put).agg(F.count_distinct("fid")).first()[0]
+        packed = F.coalesce(F.sum(F.octet_length("payload") - vectors.HEADER.itemsize), F.lit(0))
+        live = self.live().agg(F.count("*").alias("fragments"), F.count_if(mine).alias("mine"), F.count_if(~mine).alias("from_others"), packed.alias("packed"), (F.count("*") * self.dim * 4).alias("plain"))
+        return live.withColumns({"tombstones": F.lit(gone), "ratio": F.round(F.try_divide("plain", "packed"), 1), "agents": F.lit(len(self.agents())), "objects": F.lit(objects.count()), "pending": F.lit(self.pending)})
 
     # writing
 
@@ -163,23 +231,44 @@ class Space:
         return rows.withColumn("base", content_id_of_json("text", "metadata", "parents", F.lit(0))).withColumn("payload", vectors.encode(self.width)(vector))
 
     def remember(self, rows: DataFrame | Iterable[str], note: str = "") -> DataFrame:
-        """base, fid of the texts (text, perhaps metadata as JSON, parents, embedding), which are committed at once
-        unless in a batch. Forgotten content comes back as its next revision; what this lane has isn't written again."""
+        """base, fid for each of the texts (text, perhaps metadata as JSON, parents, embedding), repeats included; they are
+        committed at once unless in a batch or flush_every says otherwise. Forgotten content comes back as its next revision; what this
+        lane has isn't written again."""
         rows = self._candidates(rows)
+        ids, new = self._new(rows)
+        self._stage(new, note)
+        return ids.select("base", "fid")
+
+    def remember_many(self, texts: list[str], metadata: dict | list[dict | None] | None = None, embeddings: list | None = None, parents: list[str] | list[list[str]] | None = None, note: str = "") -> list[str]:
+        """The ids of texts in their order, repeats included, after one commit. metadata and parents are one for all or
+        one for each; nothing is written if their numbers don't match."""
+        texts = list(texts)
+        each = each_or_all("metadata", metadata, len(texts), dict)
+        above = each_or_all("parents", parents, len(texts), list, one=lambda x: all(isinstance(p, str) for p in x))
+        if embeddings is not None and len(embeddings) != len(texts):
+            raise ValueError(f"{len(embeddings)} embeddings for {len(texts)} texts")
+        rows = [(i, t, canonical(m or {}), list(p or []), *([[float(x) for x in embeddings[i]]] if embeddings is not None else [])) for i, (t, m, p) in enumerate(zip(texts, each, above))]
+        schema = "ordinal int, text string, metadata string, parents array<string>" + ", embedding array<double>" * (embeddings is not None)
+        ids, new = self._new(self._candidates(self.spark.createDataFrame(rows, schema)))
+        ids = [r.fid for r in ids.orderBy("ordinal").select("fid").collect()]
+        self._stage(new, note)
+        return ids
+
+    def _new(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """All candidates with their fid, and the records to be written of those that this lane doesn't have."""
         log = self.log()
         mine = [log.where(F.col("author") == self.agent)] + ([self.staged] if self.staged is not None else [])
         gone = log.where("op = 'forget'").select("base", "revision")
         if self.staged is not None:
             gone = gone.unionByName(self.staged.where("op = 'forget'").select("base", "revision"))
-        again = gone.groupBy("base").agg((F.max("revision") + 1).alias("next"))
-        rows = rows.dropDuplicates(["base"]).join(again, "base", "left").withColumn("revision", F.coalesce("next", F.lit(0)))
+        # the next revision of forgotten content is the least that no tombstone has
+        again = merge.next_revisions(gone.withColumnRenamed("base", "fid")).select(F.col("fid").alias("base"), F.col("revision").alias("next"))
+        rows = rows.join(again, "base", "left").withColumn("revision", F.coalesce("next", F.lit(0)))
         rows = rows.withColumn("fid", F.when(F.col("revision") == 0, F.col("base")).otherwise(content_id_of_json("text", "metadata", "parents", "revision")))
         known = reduce(DataFrame.unionByName, (x.where("op = 'put'").select("fid") for x in mine)).distinct()
         # written columns are fixed here: a task that is run again must not read a later clock
-        new = rows.join(known, "fid", "left_anti").withColumn("op", F.lit("put")).withColumn("author", F.lit(self.agent)).withColumn("created_at", F.lit(time.time()))
-        ids = rows.select("base", "fid")
-        self._stage(new, note)
-        return ids
+        new = rows.dropDuplicates(["fid"]).join(known, "fid", "left_anti").withColumn("op", F.lit("put")).withColumn("author", F.lit(self.agent)).withColumn("created_at", F.lit(self.clock()))
+        return rows, new
 
     def forget(self, ids: DataFrame | Iterable[str], note: str = "") -> DataFrame:
         """fid of those that were live; their tombstones win over all puts, in any lane."""
@@ -190,56 +279,76 @@ class Space:
             known = known.unionByName(self.staged.where("op = 'put'").select("fid", "base", "revision")).distinct()
         found = known.join(ids.select("fid").distinct(), "fid", "left_semi")
         nothing = {c: F.lit(None).cast(kind) for c, kind in (("text", "string"), ("metadata", "string"), ("parents", "array<string>"), ("payload", "binary"))}
-        self._stage(found.withColumns(nothing).withColumn("op", F.lit("forget")).withColumn("author", F.lit(self.agent)).withColumn("created_at", F.lit(time.time())), note)
+        self._stage(found.withColumns(nothing).withColumn("op", F.lit("forget")).withColumn("author", F.lit(self.agent)).withColumn("created_at", F.lit(self.clock())), note)
         return found.select("fid")
 
     @contextmanager
     def batch(self, note: str = ""):
-        """One commit for all writes within; none at all if an exception ends it."""
-        self.staged = self.spark.createDataFrame([], RECORD)
+        """One commit for all writes within, those of batches inside included; none at all if an exception ends it."""
+        before, count = self.staged, self.pending
+        self.depth += 1
         try:
             yield self
-            staged = self.staged
+        except BaseException:
+            self.staged, self.pending = before, count
+            raise
         finally:
-            self.staged = None
-        self._commit(staged, note)
+            self.depth -= 1
+        if not self.depth:
+            self._flush_due(note)
 
     def _stage(self, records: DataFrame, note: str) -> None:
         if self.agent is None:
             raise PermissionError("a read-only handle doesn't write")
         records = records.select([c.split()[0] for c in RECORD.split(", ")])
-        if self.staged is not None:
-            self.staged = self.staged.unionByName(records)
-        else:
-            self._commit(records, note)
-
-    def _commit(self, records: DataFrame, note: str, level: int = 0) -> None:
-        """Write the records, make sure that the lane is still ours, then make them visible."""
-        if self.lease.epoch is None:
-            self.lease.acquire()
+        self.staged = records if self.staged is None else self.staged.unionByName(records)
+        self.pending += 1
+        if not self.depth:
+            self._flush_due(note)
+
+    def _flush_due(self, note: str) -> None:
+        if self.flush_every is not None and self.pending >= self.flush_every:
+            self.flush(note)
+
+    def flush(self, note: str = "") -> tuple[int, int] | None:
+        """Commit what waits; its epoch and position, or None if there was nothing to write."""
+        if self.staged is None:
+            return None
+        records = self.staged
+        written = self._commit(records, note)
+        self.staged, self.pending = None, 0
+        if written and self.compact_every and self.next % self.compact_every == 0:
+            self.compact()
+        return written
+
+    def _commit(self, records: DataFrame, note: str, level: int = 0) -> tuple[int, int] | None:
+        """Write the records, make them visible, and then make sure that the lane is still ours."""
+        if self.lease.hold():
             self.next = 0
+            self.refresh()
         if self.next == 0 and level == 0:
             records = self._own().unionByName(records)  # a new epoch begins with all that the lane holds
+        if level and self.next == 0:
+            raise Fenced("the lane's epoch ended before it was compacted")
         lo, hi, epoch = (0, self.next - 1, self.lease.epoch) if level else (self.next, self.next, self.lease.epoch)
-        # a writer that was fenced may have left files under the same key: each write has a folder of its own
+        # a writer that was fenced may have left files under the same key: each write replaces them
         folder = f"{self.root}/log/agent={self.agent}/epoch={epoch}/level={level}/lo={lo}/hi={hi}"
         seen = Observation()
-        records.observe(seen, F.count_if(F.col("op") == "put").alias("added"), F.count_if(F.col("op") == "forget").alias("removed")).write.mode("overwrite").parquet(folder)
+        records.observe(seen, F.count_if(F.col("op") == "put").alias("added"), F.count_if(F.col("op") == "forget").alias("removed"), F.max(vectors.width_of(F.col("payload"))).alias("width")).write.mode("overwrite").parquet(folder)
         counts = seen.get
-        if not sum(counts.values()):
-            self.files.delete(folder.removeprefix(f"{self.root}/"))
-            return
-        try:
-            self.lease.verify()
-        except Fenced:
+        if not counts["added"] + counts["removed"]:
             self.files.delete(folder.removeprefix(f"{self.root}/"))
-            raise
-        marker = {"agent": self.agent, "epoch": epoch, "level": level, "lo": lo, "hi": hi, "created_at": time.time(), "note": note} | counts
-        if not self.files.save(f"commits/{self.agent}-{epoch:010d}-{level}-{lo:012d}-{hi:012d}.json", marker):
+            return None
+        marker = {"agent": self.agent, "epoch": epoch, "level": level, "lo": lo, "hi": hi, "created_at": self.clock(), "note": note} | counts | {"width": counts["width"] or self.width}
+        name = f"commits/{self.agent}-{epoch:010d}-{level}-{lo:012d}-{hi:012d}.json"
+        if not self.files.save(name, marker):
             raise Fenced(f"position {lo} of epoch {epoch} is taken")
+        self.refresh()
+        self.lease.verify()  # Fenced: not acknowledged, whether or not the new owner has taken it over
         if not level:
             self.next += 1
         self.lease.maybe_renew()
+        return epoch, hi
 
     def _own(self) -> DataFrame:
         """This lane's puts and tombstones, each id once, tombstones first."""
@@ -252,6 +361,10 @@ class Space:
         """One object for the lane's commits of this epoch, its vectors perhaps narrowed."""
         if self.agent is None:
             raise PermissionError("a read-only handle doesn't write")
+        if self.lease.hold():
+            self.next = 0
+            self.refresh()
+        self.flush()
         if self.next == 0:
             self._commit(self.spark.createDataFrame([], RECORD), "base")
         if self.next == 0:
@@ -265,16 +378,17 @@ class Space:
         """Delete this lane's objects that nothing needs; the lane must be ours and keeps its last valid chain."""
         if self.agent is None:
             raise PermissionError("a read-only handle doesn't write")
-        if self.lease.epoch is None:
-            self.lease.acquire()
+        if self.lease.hold():
+            self.next = 0
         self.lease.verify()
         own = self.commits().where(F.col("agent") == self.agent)
-        gone = chain.gc_candidates(own, keep).toLocalIterator()  # names of objects, one at a time
+        gone = checkpointed(chain.gc_candidates(own, keep))  # before anything is deleted that it is made from
         n = 0
-        for r in list(gone):
+        for r in gone.toLocalIterator():  # names of objects, one at a time
             self.files.delete(f"commits/{r.agent}-{r.epoch:010d}-{r.level}-{r.lo:012d}-{r.hi:012d}.json")
             self.files.delete(f"log/agent={r.agent}/epoch={r.epoch}/level={r.level}/lo={r.lo}/hi={r.hi}")
             n += 1
+        self.refresh()
         return n
 
     def attach(self, name: str, data: bytes) -> str:
@@ -293,6 +407,7 @@ class Space:
         """Hand the lane back; its next session has a new epoch."""
         if self.lease is not None:
             with suppress(Fenced):
+                self.flush()
                 self.lease.release()
 
     def __enter__(self) -> Space:

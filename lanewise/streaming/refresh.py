@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from lanewise.operators import merge
 from lanewise.sources.files import Files
 
+FOLD = 8
 
 def source(spark: SparkSession, folder: str, schema: StructType | str, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
@@ -28,25 +30,39 @@ def followed(log: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int],
 
 
 def refreshed(spark: SparkSession, log: DataFrame, checkpoint: str, folder: str) -> int:
-    """Folds what is new into the state saved under folder (one version a batch) and returns how many rows were new.
+    """Adds what is new to the state saved under folder and returns how many rows were new.
 
-    A batch that is run again after a failure writes the same version from the same predecessor.
+    A batch b writes the state of its own rows, d<b>; each FOLD-th writes that of all rows so far, f<b>, from the last
+    such one and what was added since. So a batch costs as much as it has rows, and the whole state is written anew once in FOLD.
+    A batch that is run again after a failure writes the same from the same: what the last whole state was made from
+    goes with the next one.
     """
-    seen = 0
+    seen, files = 0, Files(spark, folder)
 
     def fold(rows: DataFrame, batch: int) -> None:
         nonlocal seen
-        states = merge.partial(rows)
-        if batch:
-            states = merge.combined(states.unionByName(spark.read.parquet(f"{folder}/v{batch - 1}")))
-        states.write.mode("overwrite").parquet(f"{folder}/v{batch}")
-        seen += rows.count()
+        count = Observation()
+        states, whole = merge.partial(rows.observe(count, F.count(F.lit(1)).alias("n"))), batch % FOLD == FOLD - 1
+        if whole and (parts := _parts(files, batch)):
+            states = merge.combined(states.unionByName(spark.read.parquet(*(f"{folder}/{x}" for x in parts))))
+        states.write.mode("overwrite").parquet(f"{folder}/{'f' if whole else 'd'}{batch}")
+        seen += count.get["n"]
+        if whole:
+            for x in files.names(""):
+                if int(x[1:]) < batch - FOLD:
+                    files.delete(x)
 
     log.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return seen
 
 
+def _parts(files: Files, before: int | None = None) -> list[str]:
+    """The last whole state and what was added since, perhaps before a batch."""
+    names = [x for x in files.names("") if before is None or int(x[1:]) < before]
+    last = max((int(x[1:]) for x in names if x[0] == "f"), default=-1)
+    return [x for x in names if int(x[1:]) > last or x == f"f{last}"]
+
+
 def saved(spark: SparkSession, folder: str) -> DataFrame:
-    """The last version of a refreshed state."""
-    last = max(int(x[1:]) for x in Files(spark, folder).names(""))
-    return spark.read.parquet(f"{folder}/v{last}")
+    """The refreshed state."""
+    return merge.combined(spark.read.parquet(*(f"{folder}/{x}" for x in _parts(Files(spark, folder)))))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lanewise.functions import vectors as V
 from lanewise.functions.embed import embed
-from lanewise.operators import chain, merge
+from lanewise.operators import chain, merge, recall
 from lanewise.operators.history import parse_cut
 from lanewise.sources import carriers
 from lanewise.streaming import refresh
@@ -92,8 +92,7 @@ def test_incremental_merge_equals_whole(spark, tmp_path):
     for part in range(3):
         log.where(F.col("event_id") % 3 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
     assert refresh.refreshed(spark, refresh.source(spark, str(tmp_path / "log"), log.schema, 1), str(tmp_path / "c"), str(tmp_path / "state")) == log.count()
-    last = max((p for p in (tmp_path / "state").iterdir()), key=lambda p: int(p.name[1:]))
-    states = spark.read.parquet(str(last))
+    states = refresh.saved(spark, str(tmp_path / "state"))
     assert sorted(map(tuple, merge.live(states).collect())) == sorted(map(tuple, merge.live_state(log).collect()))
     assert refresh.refreshed(spark, refresh.source(spark, str(tmp_path / "log"), log.schema), str(tmp_path / "c"), str(tmp_path / "state")) == 0
 
@@ -104,3 +103,91 @@ def test_followed_states(spark, tmp_path):
     seen = {}
     refresh.followed(refresh.source(spark, str(tmp_path / "log"), log.schema), str(tmp_path / "c"), lambda rows, _: seen.update({r.fid: tuple(r) for r in merge.live(rows).collect()})).awaitTermination()
     assert seen == {r.fid: tuple(r) for r in merge.live_state(log).collect()}
+
+
+def test_levels():
+    # published by J. Max, 1960
+    for n, want in ((2, [0.798]), (4, [0.4528, 1.510]), (16, [0.1284, 0.3881, 0.6568, 0.9424, 1.256, 1.618, 2.069, 2.733])):
+        assert np.allclose(V.normal_levels(n)[n // 2 :], want, atol=6e-4)
+    for n in (4, 16, 256):
+        levels = V.normal_levels(n)
+        assert (np.diff(levels) > 0).all() and np.allclose(levels, -levels[::-1])
+        # each level is the mean of the cell between the midpoints, by the trapezoidal rule
+        edges = np.concatenate([[-9], (levels[1:] + levels[:-1]) / 2, [9]])
+        for a, b, level in zip(edges, edges[1:], levels):
+            x = np.linspace(a, b, 20_001)
+            p = np.exp(-x * x / 2)
+            p[[0, -1]] /= 2
+            assert abs((p * x).sum() / p.sum() - level) < 1e-6
+
+
+@pytest.mark.parametrize("dim", [1, 5, 8, 33, 64, 100])
+def test_rotations(dim):
+    turn = V.rotation(dim)
+    assert np.allclose(turn @ turn.T, np.eye(dim)) and (dim < 8 or np.abs(turn).max() < 0.95)
+
+
+@pytest.mark.parametrize("width", V.WIDTHS)
+def test_codes_are_the_plain_ones(width):
+    rows = np.random.default_rng(6).standard_normal((5, 33)) * 3
+    query = np.random.default_rng(7).standard_normal(33)
+    levels, turn = V.normal_levels(1 << width) / np.sqrt(33), V.rotation(33)
+    got = V.encode_rows(rows, width)
+    for row, payload in zip(rows, got):
+        norm = float(np.sqrt(sum(x * x for x in row)))
+        turned = [sum(turn[i][j] * row[j] / norm for j in range(33)) for i in range(33)]
+        codes = [int(np.argmin(np.abs(levels - x))) for x in turned]
+        assert len(payload) == V.HEADER.itemsize + -(-33 * width // 8) and payload[4] == width
+        bits = "".join(f"{b:08b}"[::-1] for b in payload[V.HEADER.itemsize :])
+        assert [int(bits[i * width : (i + 1) * width][::-1], 2) for i in range(33)] == codes
+        near = [levels[c] for c in codes]
+        length = float(np.sqrt(sum(x * x for x in near)))
+        cosine = sum(a * b for a, b in zip(turned, near)) / length
+        estimate = sum(a * sum(turn[i][j] * query[j] for j in range(33)) for i, a in enumerate(near)) * norm * cosine / length
+        assert np.allclose(V.parse(payload)[1:4], [norm, cosine, length], rtol=1e-6)
+        assert np.allclose(scores(query, [payload])[0], estimate, rtol=1e-4)
+
+
+def test_golden_payloads():
+    row = np.array([[3.0, -4.0, 0.0, 0.0, 0.0, 0.0, 0.0, 12.0]])
+    assert [V.encode_rows(row, w)[0].hex() for w in V.WIDTHS] == GOLDEN
+
+
+GOLDEN = [
+    "4c5756310100000008000000000050412776623f2a424c3fb9",
+    "4c5756310200000008000000000050412dbd7a3fbeb78e3fc6de",
+    "4c57563104000000080000000000504148347f3f8705833f7ad3cac6",
+    "4c57563108000000080000000000504181ff7f3f2b77803f9f7240d3acc36dc3",
+]
+
+
+def test_embedding_is_the_plain_one():
+    import hashlib
+
+    from lanewise.functions import embed as E
+
+    texts = ["The Cat  sat", "", "naïve 語 text\twith  tabs", "aaaa aaaa", "".join(map(chr, range(0x4E00, 0x4E00 + 5000)))]
+    for text, got in zip(texts, embed(64).func(pd.Series(texts))):
+        padded, v = E.normal(text), np.zeros(64)
+        for n in (3, 4, 5):
+            for i in range(len(padded) - n + 1):
+                h = int.from_bytes(hashlib.blake2b(padded[i : i + n].encode(), digest_size=8).digest(), "little")
+                v[h % 64] += 1 if h >> 63 else -1
+        assert np.allclose(got, v / np.linalg.norm(v) if v.any() else v)
+    counts = E.gram_counts.func(pd.Series(texts))
+    for text, row in zip(texts, counts.itertuples()):
+        grams = [text[i : i + n] for n in (3, 4, 5) for i in range(len(text) - n + 1)]
+        assert (row.n_grams, row.n_distinct) == (len(grams), len(set(grams)))
+
+
+def test_many_queries_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = df.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    want = []
+    for q, v in rows[::20]:
+        best = sorted((-round(float(np.dot(v, w)), 6), i) for i, w in rows)[:7]
+        want += [(q, i, -s, r + 1) for r, (s, i) in enumerate(best)]
+    for block in (4096, 4):
+        assert sorted(map(tuple, recall.recall_many(df, queries, 7, block).select("query_id", "vec_id", "score", "rank").collect())) == sorted(want)

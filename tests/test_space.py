@@ -21,7 +21,7 @@ def ids(df):
 def test_life(spark, tmp_path):
     root = str(tmp_path / "team")
     rows = spark.createDataFrame([(t, json.dumps({"kind": "fact", "n": i})) for i, t in enumerate(FACTS)], "text string, metadata string")
-    ann, ben, reader = Space(spark, root, "ann"), Space(spark, root, "ben"), Space(spark, root)
+    ann, ben, reader = Space(spark, root, "ann", ttl=3600), Space(spark, root, "ben", ttl=3600), Space(spark, root)
     first = ids(ann.remember(rows, "seed"))
     assert len(first) == 4 and ids(reader.live()) == first
     ben.remember(rows.limit(1))
@@ -106,3 +106,160 @@ def test_canonical_ids(spark):
     assert [r[0] for r in rows.select(content_id(F.col("text"), lang=F.lit("en"))).collect()] == want
     deep = [hashlib.sha256(('{"metadata":{"k":[1,{"a":"ü","b":null}]},"parents":["p"],"revision":2,"text":' + json.dumps(t, ensure_ascii=False) + "}").encode()).hexdigest() for t in texts]
     assert [r[0] for r in rows.select(content_id_of_json("text", "m", F.array(F.lit("p")), F.lit(2))).collect()] == deep
+
+
+def texts(space, *where):
+    return sorted(r.text for r in space.live().select("text").collect())
+
+
+def test_no_acknowledged_write_is_lost_on_takeover(spark, tmp_path):
+    root, now = str(tmp_path / "s"), [1000.0]
+    old = Space(spark, root, "ann", ttl=10, clock=lambda: now[0])
+    old.remember(["first"])
+    verify = old.lease.verify
+
+    def taken_over():
+        # another session takes the lane while the write is on its way
+        now[0] += 20
+        with Space(spark, root, "ann", ttl=10, clock=lambda: now[0]) as new:
+            new.remember(["by the new owner"])
+        return verify()
+
+    old.lease.verify = taken_over
+    with pytest.raises(Fenced):
+        old.remember(["not acknowledged"])
+    assert "by the new owner" in texts(Space(spark, root)) and "first" in texts(Space(spark, root))
+
+
+def test_own_time_that_ran_out_is_taken_again(spark, tmp_path):
+    root, now = str(tmp_path / "s"), [1000.0]
+    ann = Space(spark, root, "ann", ttl=10, clock=lambda: now[0])
+    ann.remember(["one"])
+    now[0] += 60
+    assert ann.lease.self_fenced
+    ann.remember(["two"])
+    assert ann.lease.epoch == 1 and texts(Space(spark, root)) == ["one", "two"]
+    now[0] += 60
+    other = Space(spark, root, "ann", ttl=100, clock=lambda: now[0])
+    other.remember(["three"])
+    with pytest.raises(Fenced):
+        ann.remember(["four"])
+
+
+def test_nested_batches_and_policies(spark, tmp_path):
+    root = str(tmp_path / "s")
+    ann = Space(spark, root, "ann", flush_every=3)
+    for t in "abcd":
+        ann.remember([t])
+    assert texts(Space(spark, root)) == ["a", "b", "c"] and ann.pending == 1
+    with ann.batch("outer"):
+        ann.remember(["e"])
+        with ann.batch("inner"):
+            ann.remember(["f"])
+        ann.remember(["g"])
+        with pytest.raises(KeyError), ann.batch():
+            ann.remember(["never"])
+            raise KeyError
+    assert texts(Space(spark, root)) == list("abcdefg") and ann.commits().count() == 2 and ann.pending == 0
+    late = Space(spark, root, "ben", flush_every=None)
+    late.remember(["h"])
+    assert "h" not in texts(Space(spark, root)) and late.flush() == (0, 0) and "h" in texts(Space(spark, root))
+    assert late.flush() is None
+
+
+def test_many_ids_in_order(spark, tmp_path):
+    ann = Space(spark, str(tmp_path / "s"), "ann", dim=4)
+    got = ann.remember_many(["b", "a", "b"], {"k": 1}, [[1, 0, 0, 0], [0, 1, 0, 0], [1, 0, 0, 0]])
+    assert got[0] == got[2] != got[1] and ann.live().count() == 2 and ann.commits().count() == 1
+    each = ann.remember_many(["x", "y"], [{"k": 1}, None], [[1, 0, 0, 0]] * 2, parents=[got[0]])
+    assert ann.get(each[0]).parents == [got[0]] and ann.get("unknown") is None and json.loads(ann.get(each[1]).metadata) == {}
+    for wrong in ({"metadata": [{}]}, {"embeddings": [[1, 2, 3, 4]]}, {"parents": [["p"]]}):
+        with pytest.raises(ValueError):
+            ann.remember_many(["x", "y"], **wrong)
+    with pytest.raises(TypeError):
+        ann.remember_many(["x", "y"], "text")
+    assert ann.commits().count() == 2
+
+
+def test_where_tells_kinds_apart(spark, tmp_path):
+    ann = Space(spark, str(tmp_path / "s"), "ann")
+    values = [2, "2", 2.0, True, None, {"a": [1, "é"]}, [1, 2], "true", 1]
+    ann.remember_many([f"t{i}" for i in range(len(values))], [{"n": v} if v is not None else {} for v in values])
+    found = lambda v: sorted(int(r.text[1:]) for r in ann.recall("t", 99, where={"n": v}).collect())
+    for v in values:
+        assert found(v) == [i for i, x in enumerate(values) if x == v], v
+
+
+def test_compacting_one_object(spark, tmp_path):
+    root = str(tmp_path / "s")
+    ann = Space(spark, root, "ann")
+    ann.remember(["only one"])
+    wide = Space(spark, root).live().first().payload
+    ann.compact(width=1)
+    narrow = Space(spark, root).live().first().payload
+    assert len(narrow) < len(wide) and narrow[4] == 1
+    assert ann.gc() == 1 and ann.commits().count() == 1 and texts(Space(spark, root)) == ["only one"]
+
+
+def test_compaction_by_itself(spark, tmp_path):
+    ann = Space(spark, str(tmp_path / "s"), "ann", compact_every=2)
+    for t in "abc":
+        ann.remember([t])
+    assert [r.level for r in ann.commits().orderBy("created_at").collect()] == [0, 0, 1, 0] and texts(ann) == ["a", "b", "c"]
+    assert ann.stats().first().objects == 2
+
+
+def test_unreadable_objects_of_others(spark, tmp_path):
+    root = tmp_path / "s"
+    ann, ben = Space(spark, str(root), "ann"), Space(spark, str(root), "ben")
+    ben.remember(["good"])
+    ben.remember(["bad"])
+    ann.remember(["mine"])
+    for part in (root / "log" / "agent=ben" / "epoch=0" / "level=0" / "lo=1" / "hi=1").glob("part-*"):
+        part.write_bytes(b"not parquet at all")
+        (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    (root / "commits" / "zoe-0.json").write_text("{broken")
+    for space in (Space(spark, str(root)), ann):
+        assert texts(space) == ["good", "mine"]
+        assert [(r.agent, r.lo) for r in space.broken().collect()] == [("ben", 1)]
+    with pytest.raises(Exception):
+        texts(ben)
+
+
+def test_listings_within_a_budget(spark, tmp_path):
+    root, now = str(tmp_path / "s"), [0.0]
+    ann, reader = Space(spark, root, "ann"), Space(spark, root, refresh_every=5.0, clock=lambda: now[0])
+    ann.remember(["a"])
+    assert texts(reader) == ["a"]
+    ann.remember(["b"])
+    assert texts(reader) == ["a"]
+    now[0] = 6.0
+    assert texts(reader) == ["a", "b"]
+    ann.remember(["c"])
+    reader.refresh()
+    assert texts(reader) == ["a", "b", "c"]
+
+
+def test_forgotten_revisions(spark, tmp_path):
+    ann = Space(spark, str(tmp_path / "s"), "ann")
+    seen = []
+    for _ in range(3):
+        (fid,) = ann.remember_many(["again"])
+        seen.append(fid)
+        ann.forget([fid])
+    assert len(set(seen)) == 3 and ann.get(ann.remember_many(["again"])[0]).revision == 3
+
+
+def test_roots(spark, tmp_path):
+    from lanewise.sources.files import Files, scheme_of
+
+    assert scheme_of("s3a://x") == "s3a" and scheme_of("C:\\data") is None and scheme_of("/a:b") is None and scheme_of("file:/x") == "file"
+    with pytest.raises(TypeError):
+        Files(spark, tmp_path)
+    for wrong in ("s3a://bucket/x", "ftp://x"):
+        with pytest.raises(ValueError):
+            Files(spark, wrong)
+    files = Files(spark, str(tmp_path / "f"))
+    assert files.create("a/b.json", b"1") and not files.create("a/b.json", b"2") and files.read("a/b.json") == b"1" and files.names("a") == ["b.json"]
+    with pytest.raises(ValueError):
+        files.read("../x")
