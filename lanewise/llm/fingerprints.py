@@ -8,10 +8,11 @@ stand. The fingerprint is the bottom-k sketch of the names at LEVELS (phrases of
 two fingerprints estimates the Jaccard similarity of their name sets.
 
 The edited text of a document needs the next one, in descending doc_id: documents are dealt into ranges by the
-quantiles of doc_id and sorted; a copy of the first document of the following range ends each.
+quantiles of doc_id (and by a hash of the text, where one doc_id or none fills several) and sorted; a copy of the first
+document of the following range ends each.
 
 Cases: null is an empty text, whose fingerprint is empty and like itself only; repeated doc_ids are ordered by a
-hash of their texts; documents without doc_id come last; the only document is its own next one; an empty table
+hash of their texts; documents without doc_id come last, ordered likewise; a text of any length is parsed whole, by one task; the only document is its own next one; an empty table
 gives an empty result; further columns are ignored.
 """
 
@@ -111,20 +112,42 @@ def _in_pieces(texts: list[str]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty((0, SKETCH), U64)
 
 
+class _Ranges:
+    """Ranges of (doc_id, hash of the text). A doc_id that fills several quantiles is split at equal steps of the hash,
+    and so are the documents without one, which come first in ascending order."""
+
+    def __init__(self, bounds: np.ndarray, missing: int):
+        # equal steps of a hash are only in order for a doc_id that a float tells apart from others
+        self.at, self.many = np.unique(bounds, return_counts=True)
+        self.many = np.where(np.abs(self.at) < 1 << 53, self.many, 1)
+        self.base, self.missing = np.append(0, np.cumsum(self.many)), missing
+
+    def of(self, doc_id: pa.Array, h: np.ndarray) -> np.ndarray:
+        step = (h.view(np.uint64) ^ np.uint64(1 << 63)).astype(np.float64) / 2.0**64  # 0 to 1, in the order of h
+        own = doc_id.fill_null(0).to_numpy()
+        last = np.searchsorted(self.at, own, "right")
+        part = self.base[last]
+        hit = np.flatnonzero((last > 0) & (self.at[np.maximum(last - 1, 0)] == own)) if len(self.at) else np.empty(0, np.int64)
+        many = self.many[last[hit] - 1] if len(hit) else hit
+        part[hit] += np.minimum((step[hit] * many).astype(np.int64), many - 1) - many + 1
+        none = doc_id.is_null().to_numpy(zero_copy_only=False)
+        return np.where(none, np.minimum((step * self.missing).astype(np.int64), self.missing - 1), part + self.missing).astype(np.int32)
+
+
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = min(RANGES, B.block_count(docs))
     bounds = np.array(docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else [], np.float64)
-    sorted_bounds = np.unique(bounds)
+    total, missing = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first() if n > 1 else (1, 0)
+    deal = _Ranges(bounds, max(1, round(n * missing / max(total, 1))))
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.searchsorted(sorted_bounds, batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(), "right")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32))], ["doc_id", "text", "part"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(deal.of(batch.column(0), batch.column(2).to_numpy()))], ["doc_id", "text", "h", "part"])
 
-    d, h = F.coalesce("doc_id", F.lit(int(np.iinfo(np.int64).min))).alias("d"), F.xxhash64("text").alias("h")
-    rows = docs.mapInArrow(T.lean(ranges), "doc_id long, text string, part int").select("part", "doc_id", "text", d, h)
+    d = F.coalesce("doc_id", F.lit(int(np.iinfo(np.int64).min))).alias("d")
+    rows = docs.withColumn("h", F.xxhash64("text")).mapInArrow(T.lean(ranges), "doc_id long, text string, h long, part int").select("part", "doc_id", "text", d, "h")
     heads = rows.groupBy("part").agg(F.max(F.struct("d", "h")).alias("head")).select("part", "head.*").collect()
     if not heads:
         return docs.sparkSession.createDataFrame([], SCHEMA)

@@ -16,6 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from lanewise.llm import _blocks as B
 from lanewise.llm import _text as T
 from lanewise.llm import decontam, fingerprints, sharding
 from lanewise.llm import queries as Q
@@ -187,3 +188,17 @@ def test_parsing_is_the_plain_one():
         want = parsed([int(x) for x in raw])
         got, _ = fingerprints._parsed(raw, np.array([0, len(raw)]))
         assert len(got) == len(want) and len({*zip(got.tolist(), want)}) == len(set(want)) == len(set(got.tolist()))
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_next_documents_of_hot_ids(spark, tmp_path, monkeypatch, parts):
+    monkeypatch.setattr(B, "block_count", lambda docs: parts)
+    rng = random.Random(6)
+    docs = [(rng.choice([None, None, 7, 7, -3, k]), corpus.prose(rng, rng.randint(0, 9))) for k in range(200)]
+    folder = corpus.write(tmp_path, docs)
+    order = [(r.doc_id, r.text or "") for r in Q.table(spark, folder, "documents").orderBy(F.desc_nulls_last("doc_id"), F.desc(F.xxhash64("text"))).select("doc_id", "text").collect()]
+    want = Counter()
+    for k, (i, text) in enumerate(order):
+        after, half = order[(k + 1) % len(order)][1], len(text) // 2
+        want[i, hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in Q.op6_fingerprints(spark, folder).collect()) == want
