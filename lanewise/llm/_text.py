@@ -8,8 +8,10 @@ Where rows are decided, bytes are compared besides.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import lru_cache
 
 import numpy as np
@@ -33,8 +35,10 @@ LOWER[0x41:0x5B] += 32
 
 
 def release() -> None:
-    """Gives back what Arrow keeps of freed memory, at the end of a task's work; idle workers would keep it."""
+    """Gives back what Arrow and the C library keep of freed memory, at the end of a task's work; idle workers would keep it."""
     pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # only one C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def lean(f):

@@ -13,10 +13,10 @@ further columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -30,7 +30,7 @@ SPACE, LETTER, NUMBER, OTHER, EDGE = range(5)
 SLICE = 1 << 13  # code points that are probed at a time
 #: What travels: a block's different words, and their ids back.
 WORDS, IDS = B.Form(0, word="[u1]"), B.Form(1, ids="[i4]")
-_VOCABULARIES: dict[str, Vocabulary] = {}
+BATCH = 1 << 12  # words that are encoded at a time, as each has an object of its own meanwhile
 
 
 def code_point_kinds(tokenizer) -> np.ndarray:
@@ -92,15 +92,9 @@ def word_starts(points: np.ndarray, offs: np.ndarray, kinds: np.ndarray) -> np.n
 
 
 class Vocabulary:
-    """The tokenizer, and its pieces and ids as bytes, one after another."""
+    """A tokenizer's pieces and ids as bytes, one after another, and its special tokens."""
 
     def __init__(self, definition: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
         whole = json.loads(definition)
         checked(whole)
         self.special = [t["content"] for t in whole.get("added_tokens", [])]
@@ -118,16 +112,21 @@ class Vocabulary:
     def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return np.frombuffer(b"".join(parts), np.uint8), np.append(0, np.cumsum([len(x) for x in parts]))
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-
 
-def vocabulary(definition: str) -> Vocabulary:
+@lru_cache(1)
+def _encoder(definition: str):
     """One for each worker process."""
-    key = hashlib.md5(definition.encode()).hexdigest()
-    if key not in _VOCABULARIES:
-        _VOCABULARIES[key] = Vocabulary(definition)
-    return _VOCABULARIES[key]
+    return tokenizer_of(definition)
+
+
+def tokenizer_of(definition: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_str(definition)
+    found.no_truncation()
+    found.no_padding()
+    return found
 
 
 class _Split:
@@ -171,9 +170,11 @@ def encoded(docs: DataFrame, tokenizer: str, tokens: bool = False) -> DataFrame:
     tokenizer is the path of a byte-level BPE definition on the driver.
     """
     n = B.block_count(docs)
-    definition = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text())
-    known = vocabulary(definition.value)
-    special, kinds = known.special, docs.sparkSession.sparkContext.broadcast(code_point_kinds(known.tokenizer))
+    context, text = docs.sparkSession.sparkContext, Path(tokenizer).read_text()
+    known = Vocabulary(text)
+    # whoever encodes needs the definition alone, and whoever decodes the pieces alone
+    definition, vocabulary, special = context.broadcast(text), context.broadcast(known), known.special
+    kinds = context.broadcast(code_point_kinds(tokenizer_of(text)))
 
     def bucketed(split: _Split) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The words, and their buckets and order by bucket."""
@@ -186,21 +187,20 @@ def encoded(docs: DataFrame, tokenizer: str, tokens: bool = False) -> DataFrame:
         yield from B.mail(WORDS, bucket[order], {"word": T.gathered(raw, offs[order], np.diff(offs)[order])})
 
     def solve(got: list[tuple[int, pa.Buffer]]) -> Iterator[tuple[int, bytes]]:
-        vocab = vocabulary(definition.value)
         (words,) = B.letters(got, WORDS)
         got.clear()
         raw, offs = words["word"]
         head, of = T.distinct(raw, offs)
         data = raw.tobytes()
-        ids = vocab.encode([data[a:b].decode() for a, b in zip(offs[head].tolist(), offs[head + 1].tolist())])
+        distinct = [data[a:b].decode() for a, b in zip(offs[head].tolist(), offs[head + 1].tolist())]
+        ids = [x.ids for lo in range(0, len(distinct), BATCH) for x in _encoder(definition.value).encode_batch(distinct[lo : lo + BATCH], add_special_tokens=False)]
         cut = np.append(0, np.cumsum([len(x) for x in ids]))
         flat = np.fromiter((i for x in ids for i in x), np.int32, cut[-1])
         for block, own in words.by_sender(np.arange(len(words))):
             yield block, IDS.pack(int(words.at[own[0]]), 0, len(own), {"ids": T.gathered(flat, cut[of[own]], np.diff(cut)[of[own]])})
 
     def apply(table: pa.Table, answers: list[tuple[int, pa.Buffer]]) -> pa.Table:
-        vocab = vocabulary(definition.value)
-        split = _Split(table, special, kinds.value)
+        vocab, split = vocabulary.value, _Split(table, special, kinds.value)
         *_, order = bucketed(split)
         (found,) = B.letters(answers, IDS)
         flat, begin = found["ids"]

@@ -50,7 +50,7 @@ PRIOR = 5.0
 #: Values up to this count for nothing in a document's sum.
 DOUBT = 0.4
 #: Rows of a matrix, and letters of units, that are worked on at a time.
-ROWS, UNITS = 1 << 13, 1 << 18
+ROWS, UNITS = 1 << 12, 1 << 18
 #: A spelled-out word has so many single letters, a part of a token so many letters, at least.
 LEAST = 3
 
@@ -386,7 +386,7 @@ def learned(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> Machine:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = _lower(batch.column("text"))
-            for lo, hi in T.pieces(offs):
+            for lo, hi in T.pieces(offs, UNITS):
                 units = Units(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], sentences=True)
                 key = _bounded(np.unique(np.stack([units.row, units.sentence, units.unit], 1), axis=0), OCCURRENCES)
                 cut = pa.array(np.searchsorted(key[:, 0], np.arange(hi - lo + 1)).astype(np.int32))
