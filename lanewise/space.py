@@ -413,5 +413,7 @@ class Space:
     def __enter__(self) -> Space:
         return self
 
-    def __exit__(self, *_: object) -> None:
+    def __exit__(self, kind: type | None, *_: object) -> None:
+        if kind is not None:  # what waits for a commit is dropped with the error
+            self.staged, self.pending = None, 0
         self.close()
