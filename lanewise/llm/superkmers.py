@@ -132,8 +132,7 @@ def removed_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts
     if there is such a column, is counted anew.
     """
     columns = docs.columns
-    n = B.block_count(docs)
-    m = 2 * n  # buckets: a word of a super-k-mer takes more of a task's memory than one of a document
+    n = -(-4 * B.block_count(docs) // 3)  # blocks of 3 MiB: a word takes more of a task's memory here than elsewhere
 
     def weigh(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         raw, offs = T.strings(text)
@@ -147,12 +146,12 @@ def removed_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts
     sent_heavy = docs.sparkSession.sparkContext.broadcast(B.heavy(docs, weigh, HEAVY))
 
     def place(runs: _Runs) -> tuple[np.ndarray, np.ndarray]:
-        bucket = (runs.bucket % T.U64(m)).astype(np.int64)
+        bucket = (runs.bucket % T.U64(n)).astype(np.int64)
         light = np.flatnonzero(~runs.heavy)
         return bucket, light[np.argsort(bucket[light], kind="stable")]
 
     def place_windows(each: _Windows) -> tuple[np.ndarray, np.ndarray]:
-        bucket = (T.mix(each.a ^ each.b) % T.U64(m)).astype(np.int64)
+        bucket = (T.mix(each.a ^ each.b) % T.U64(n)).astype(np.int64)
         return bucket, np.argsort(bucket, kind="stable")
 
     def send(table: pa.Table) -> Iterator[tuple[int, bytes]]:
@@ -225,11 +224,12 @@ def removed_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts
         np.add.at(edge, gone, 1)
         np.add.at(edge, gone + window, -1)
         keep = np.cumsum(edge)[: len(runs.words)] == 0
+        del low, at, word, gone, edge, least
         return B.restored(table, columns, text=_texts(runs, keep)) if texts else _digests(runs, keep)
 
     schema = B.schema_of(docs) if texts else "doc_id long, n_words long, n_removed long, kept_sha256 string"
     blocks = B.packed(docs, n, whole=texts)
-    return B.settled(blocks, B.answered(B.sent(blocks, m, send), n, solve), apply, schema)
+    return B.settled(blocks, B.answered(B.sent(blocks, n, send), n, solve), apply, schema)
 
 
 def _kept(runs: _Runs, keep: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
