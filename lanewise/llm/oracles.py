@@ -51,4 +51,42 @@ least AS (SELECT r.a AS row, min(d.doc_id) AS component_id FROM reach r JOIN d O
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (row) JOIN least USING (row)
 """
 
-ORACLE_SQL = {"op2_decontamination": DECONTAMINATION, "op9_jaccard_join": JACCARD, "op10_superkmer_dedup": SUPERKMERS}
+INFILL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+h AS (SELECT *, CAST(len(units) AS BIGINT) AS n, CAST('0x' || key[1:8] AS BIGINT) AS h1, CAST('0x' || key[9:16] AS BIGINT) AS h2, CAST('0x' || key[17:24] AS BIGINT) AS h3, CAST('0x' || key[25:32] AS BIGINT) AS h4 FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM h),
+s AS (SELECT *, array_to_string(units[1 : a], '') AS p, array_to_string(units[a + 1 : b], '') AS m, array_to_string(units[b + 1 : n], '') AS x,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c),
+o AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || x || '<M>' || m ELSE '<S>' || x || '<P>' || p || '<M>' || m END AS output FROM s)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(output) AS output_sha256, sha256(text) AS restored_sha256 FROM o
+"""
+
+
+def _phrases(k: int) -> str:
+    frame = f"OVER (PARTITION BY piece ORDER BY pos ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING)"
+    return f"SELECT lang, phrase, {k} AS size, count(*) AS n FROM (SELECT lang, string_agg(word, ' ') {frame} AS phrase, count(*) {frame} AS size FROM w) WHERE size = {k} GROUP BY lang, phrase HAVING count(*) >= 100"
+
+
+COLLOCATIONS = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all({LOWER}, '[^.,;:!?\x0A-\x0D]+')) AS text FROM documents),
+q AS (SELECT row_number() OVER () AS piece, lang, regexp_extract_all(text, '[^\x20\x09]+') AS words FROM p),
+w AS (SELECT piece, lang, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM q),
+f AS ({" UNION ALL ".join(_phrases(k) for k in range(1, 6))}),
+total AS (SELECT lang, count(*) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, phrase, size, n AS a, string_split(phrase, ' ') AS words FROM f WHERE size > 1),
+kept AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.lang = c.lang AND o.size > c.size AND 100 * o.a >= 100 * c.a AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' '))),
+cut AS (SELECT lang, phrase, a, k, array_to_string(words[1 : k], ' ') AS first, array_to_string(words[k + 1 : size], ' ') AS rest FROM kept, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE k < size),
+scored AS (SELECT cut.lang, cut.phrase, a, k, x.n AS l, y.n AS r, total.n AS n, CAST(CAST(1000 AS HUGEINT) * a * total.n // (CAST(x.n AS HUGEINT) * y.n) AS BIGINT) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = first JOIN f y ON y.lang = cut.lang AND y.phrase = rest JOIN total ON total.lang = cut.lang),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM worst QUALIFY rank <= 2000
+"""
+
+EXACT = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, row_number() OVER (PARTITION BY text ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(text) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY text)
+"""
+
+ORACLE_SQL = {"op2_decontamination": DECONTAMINATION, "op9_jaccard_join": JACCARD, "op10_superkmer_dedup": SUPERKMERS, "op11_fill_in_middle": INFILL, "op12_collocations": COLLOCATIONS, "op13_exact_dedup": EXACT}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, fingerprints, jaccard, language, quality, sharding, suffixes, superkmers, toxicity
+from . import bpe, collocations, decontam, exact, fingerprints, infill, jaccard, language, quality, sharding, suffixes, superkmers, toxicity
 from .oracles import ORACLE_SQL
 
 #: The tokenizer of the third operator's query.
@@ -60,6 +60,18 @@ def op10_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmers.removed_words(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.removed_copies(table(spark, sf_dir, "documents"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES", "TOKENIZER", "table"]
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_bpe, op4_jump_sharding, op5_language_id, op6_fingerprints, op7_quality, op8_toxicity, op9_jaccard_join, op10_superkmer_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_bpe, op4_jump_sharding, op5_language_id, op6_fingerprints, op7_quality, op8_toxicity, op9_jaccard_join, op10_superkmer_dedup, op11_fill_in_middle, op12_collocations, op13_exact_dedup)}

@@ -95,3 +95,59 @@ def op10(docs: Docs, window: int = 13) -> list:
                 gone |= set(range(k, k + window))
         out.append((i, len(w), len(gone), sha(b" ".join(x for k, x in enumerate(w) if k not in gone))))
     return out
+
+
+def op11(docs: Docs) -> list:
+    out = []
+    for i, text in docs:
+        text = text or ""
+        units = re.findall(r"[A-Za-z]+|[^A-Za-z]", text)
+        key = sha(f"1:{'' if i is None else i}".encode())
+        h = [int(key[8 * j : 8 * j + 8], 16) for j in range(4)]
+        n = len(units)
+        a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+        p, m, s = ("".join(x) for x in (units[:a], units[a:b], units[b:]))
+        form = "plain" if not text or any(x in text for x in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90 else "spm" if h[3] % 100 < 20 else "psm"
+        output = {"plain": text, "psm": f"<P>{p}<S>{s}<M>{m}", "spm": f"<S>{s}<P>{p}<M>{m}"}[form]
+        out.append((i, n, form, None if form == "plain" else len(p), None if form == "plain" else len(m), sha(output.encode()), sha(text.encode())))
+    return out
+
+
+def op12(docs: list[tuple[str | None, str | None]], least: int = 100, longest: int = 5, top: int = 2000) -> list:
+    """docs: language and text."""
+    found: dict[str, dict[tuple, int]] = defaultdict(lambda: defaultdict(int))
+    words: dict[str, int] = defaultdict(int)
+    for lang, text in docs:
+        for piece in re.split(r"[.,;:!?\n-\r]", (text or "").translate(UPPER)):
+            w = re.findall(r"[^ \t]+", piece)
+            words[lang or "und"] += len(w)
+            for k in range(1, longest + 1):
+                for j in range(len(w) - k + 1):
+                    found[lang or "und"][tuple(w[j : j + k])] += 1
+    out = []
+    for lang, f in found.items():
+        own, n = {g: a for g, a in f.items() if a >= least and len(g) > 1}, words[lang]
+        inner: dict[tuple, int] = defaultdict(int)
+        for g, a in own.items():
+            for lo in range(len(g)):
+                for hi in range(lo + 2, len(g) + 1):
+                    if hi - lo < len(g):
+                        inner[g[lo:hi]] = max(inner[g[lo:hi]], a)
+        rows = []
+        for g, a in own.items():
+            if inner[g] < a:
+                score, _, l, r = min((1000 * a * n // (f[g[:k]] * f[g[k:]]), k, f[g[:k]], f[g[k:]]) for k in range(1, len(g)))
+                rows.append((-score, -a, " ".join(g).encode(), l, r))
+        out += [(lang, rank, g.decode(), -a, l, r, n, -score) for rank, (score, a, g, l, r) in enumerate(sorted(rows)[:top], 1)]
+    return out
+
+
+def op13(docs: Docs) -> list:
+    groups: dict[str, list] = defaultdict(list)
+    for i, t in docs:
+        groups[t or ""].append(i)
+    out = []
+    for t, own in groups.items():
+        own = sorted(own, key=lambda i: (i is not None, i or 0), reverse=True)
+        out += [(i, own[0], len(own), k == 0, sha(t.encode())) for k, i in enumerate(own)]
+    return out
