@@ -1,4 +1,5 @@
-"""Exact similarity search: filters before scoring, one top-k, and many queries at once in blocks."""
+"""Exact similarity search: filters before scoring, one top-k, many queries at once in blocks, and search over codes
+with proven bounds, where only rows that may be among the best are scored by their vectors."""
 
 from __future__ import annotations
 
@@ -15,6 +16,8 @@ from lanewise.sources.files import checkpointed
 DIGITS = 6
 #: Query vectors that are broadcast at a time.
 BLOCK = 4096
+#: Rows that a task of a search over codes holds back, to drop them once it has seen better ones.
+HELD = 1 << 16
 
 
 def recall(rows: DataFrame, query: list[float], k: int, where: Column | str | None = None) -> DataFrame:
@@ -78,3 +81,48 @@ def _best(sent, k: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[256 * b : 256 * b + 256], score.shape[1])), pa.array(found.ravel()), pa.array(score.ravel())], ["query_id", "vec_id", "score"])
 
     return run
+
+
+def survivors(codes: DataFrame, query: list[float], k: int) -> DataFrame:
+    """vec_id, lower, upper of all rows (vec_id, payload) that may be among the k most like a query, by the bounds that
+    their codes give; rounding to DIGITS is allowed for.
+
+    A task drops what lies below the k-th greatest lower bound of the rows that it has read; what is left of all tasks is
+    held against the k-th of all. No row is dropped for any other reason, however many are left.
+    """
+    vector, slack = np.asarray(query, np.float64), 10.0**-DIGITS
+    turned = vectors.rotation(len(vector)) @ vector
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, best = np.empty((2, 0)), np.empty(0)
+        ids = np.empty(0, np.int64)
+
+        def good() -> np.ndarray:
+            return held[1] >= best[0] if len(best) == k else np.ones(len(ids), bool)
+
+        def rows(keep: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(held[0][keep]), pa.array(held[1][keep])], ["vec_id", "lower", "upper"])
+
+        for batch in batches:
+            near, most = vectors.estimates(batch.column(1), vector, turned)
+            ids = np.append(ids, batch.column(0).to_numpy())
+            held = np.hstack([held, [near - most - slack, near + most + slack]])
+            best = np.sort(np.append(best, near - most - slack))[-k:]
+            keep = good()
+            ids, held = ids[keep], held[:, keep]
+            if len(ids) > HELD:
+                yield rows(good())
+                ids, held = ids[:0], held[:, :0]
+        yield rows(good())
+
+    if k <= 0:
+        return codes.select("vec_id", F.lit(0.0).alias("lower"), F.lit(0.0).alias("upper")).limit(0)
+    found = checkpointed(codes.where("vec_id IS NOT NULL").select("vec_id", "payload").mapInArrow(run, "vec_id long, lower double, upper double"))
+    kth = found.orderBy(F.desc("lower")).limit(k).agg(F.min("lower").alias("kth"), F.count("*").alias("n")).first()
+    return found.where(F.col("upper") >= kth.kth) if kth.n == k else found
+
+
+def recall_packed(codes: DataFrame, rows: DataFrame, query: list[float], k: int) -> DataFrame:
+    """What recall(rows, query, k) gives, with few of the rows (vec_id, embedding) scored: those that their payloads in
+    codes (vec_id, payload) don't rule out."""
+    return recall(rows.join(survivors(codes, query, k).select("vec_id"), "vec_id", "left_semi"), query, k)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,7 +19,11 @@ DATA = "/root/testdata/sf0.001"
 
 
 def scores(query, payloads):
-    return V.score(query).func(pd.Series(payloads)).to_numpy()
+    return V.estimates(payloads, np.asarray(query, float))[0]
+
+
+def decoded(payloads):
+    return np.stack(V.decoded(payloads))
 
 
 @pytest.mark.parametrize("width, least", [(4, 0.6), (8, 0.8)])
@@ -33,8 +38,7 @@ def test_recall_at_ten(width, least):
 @pytest.mark.parametrize("width, to, least", [(4, 4, 0.9), (8, 4, 0.5), (4, 2, 0.5), (4, 1, 0.5), (2, 1, 0.5)])
 def test_reconstruction(width, to, least):
     rows = np.random.default_rng(1).standard_normal((30, 128))
-    narrow = V.requantize(to).func(pd.Series(V.encode_rows(rows, width)))
-    near = np.stack(V.reconstruct.func(narrow))
+    near = decoded(V.narrowed(V.encode_rows(rows, width), to))
     cosine = (rows * near).sum(1) / np.linalg.norm(rows, axis=1) / np.linalg.norm(near, axis=1)
     assert cosine.mean() > least
 
@@ -45,16 +49,77 @@ def test_packing(width, dim):
     codes = np.random.default_rng(2).integers(0, 1 << width, (7, dim))
     assert (V.unpacked(V.packed(codes, width), width, dim) == codes).all()
     zero = V.encode_rows(np.zeros((1, dim)), width)
-    assert scores(np.ones(dim), zero)[0] == 0 and not np.stack(V.reconstruct.func(pd.Series(zero))).any()
+    assert scores(np.ones(dim), zero)[0] == 0 and not decoded(zero).any()
+
+
+def damaged(payloads, **columns):
+    """The payloads with some of their columns set to a value."""
+    fields = [pa.array([columns[f.name]] * len(payloads), f.type) if f.name in columns else payloads.field(f.name) for f in V.KIND]
+    return pa.StructArray.from_arrays(fields, fields=list(V.KIND))
 
 
-def test_bad_payloads():
-    good = V.encode_rows(np.ones((1, 8)), 4)[0]
-    for bad in (b"", b"XXXX" + good[4:], good[:4] + b"\3" + good[5:]):
-        with pytest.raises(ValueError):
-            V.parse(bad)
+BAD = [{"width": 3}, {"dim": 9}, {"dim": -8}, {"codes": b""}, {"codes": None}, {"width": None}]
+
+
+@pytest.mark.parametrize("bad", BAD)
+def test_bad_payloads(bad):
     with pytest.raises(ValueError):
-        V.parse(good, 9)
+        scores(np.ones(8), damaged(V.encode_rows(np.ones((3, 8)), 4), **bad))
+
+
+def test_which_payloads_are_valid(spark):
+    good = V.encode_rows(np.ones((1, 8)), 4)
+    rows = pa.concat_arrays([good, *(damaged(good, **x) for x in [*BAD, {"norm": float("nan")}, {"length": float("inf")}]), pa.nulls(1, V.KIND)])
+    df = spark.createDataFrame(pa.table({"payload": rows}))
+    assert [r[0] for r in df.select(V.valid(F.col("payload"), 8)).collect()] == [True] + [False] * (len(rows) - 1)
+    assert not df.select(V.valid(F.col("payload"), 9)).first()[0] and df.select(V.valid(F.col("payload"))).first()[0]
+
+
+def test_null_payloads():
+    rows = np.random.default_rng(8).standard_normal((4, 8))
+    some = V.encode_rows(rows, 4).take(pa.array([0, None, 1, None]))
+    near, most = V.estimates(some, np.ones(8))
+    assert near[1] == near[3] == 0 and np.isinf(most[[1, 3]]).all() and (near[[0, 2]] == scores(np.ones(8), V.encode_rows(rows[:2], 4))).all()
+    assert V.narrowed(some, 1).is_valid().to_pylist() == [True, False, True, False] and V.decoded(some)[1] is None
+
+
+@pytest.mark.parametrize("width", V.WIDTHS)
+@pytest.mark.parametrize("dim", [3, 8, 33, 64])
+def test_byte_tables_are_the_plain_score(width, dim):
+    rng = np.random.default_rng(9)
+    codes, query = rng.integers(0, 1 << width, (5000, dim)), rng.standard_normal(dim)
+    plain = (V.codebook(width, dim)[0][codes] * query).sum(1)
+    assert np.allclose(V.table_sums(V.byte_tables(query, width), V.packed(codes, width)), plain, rtol=1e-12, atol=1e-12)
+
+
+@pytest.mark.parametrize("width, to", [(w, w) for w in V.WIDTHS] + [(8, 4), (8, 1), (4, 2), (2, 1)])
+@pytest.mark.parametrize("scale", [1e-20, 1.0, 1e12])
+def test_no_score_is_beyond_its_bounds(width, to, scale):
+    rng = np.random.default_rng(10)
+    rows = rng.standard_normal((500, 33)) * scale
+    rows[:20] = rng.integers(-1, 2, (20, 33))
+    rows[20] = 0
+    payloads = V.narrowed(V.encode_rows(rows, width), to)
+    for query in (rng.standard_normal(33), rows[3], -rows[40], np.eye(33)[5]):
+        near, most = V.estimates(payloads, query)
+        assert (np.abs(rows @ query - near) <= most).all()
+        if width == to == 8:
+            assert (most <= 0.05 * np.linalg.norm(rows, axis=1) * np.linalg.norm(query) + 1e-9).all()
+
+
+@pytest.mark.parametrize("k", [0, 1, 10, 600])
+def test_search_over_codes_is_exact(spark, k, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = rng.standard_normal((500, 16))
+    rows[100:200] = rows[0]  # ties at the edge of the best
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>").repartition(3)
+    codes = df.select("vec_id", V.encode(4)("embedding").alias("payload"))
+    monkeypatch.setattr(recall, "HELD", 50)
+    for query in (rows[0].tolist(), rows[7].tolist()):
+        want = [tuple(r) for r in recall.recall(df, query, k).collect()]
+        assert [tuple(r) for r in recall.recall_packed(codes, df, query, k).collect()] == want
+    if k == 1:
+        assert recall.survivors(codes, rows[7].tolist(), k).count() < 20
 
 
 @pytest.mark.parametrize(
@@ -133,32 +198,27 @@ def test_codes_are_the_plain_ones(width):
     query = np.random.default_rng(7).standard_normal(33)
     levels, turn = V.normal_levels(1 << width) / np.sqrt(33), V.rotation(33)
     got = V.encode_rows(rows, width)
-    for row, payload in zip(rows, got):
+    for at, (row, payload) in enumerate(zip(rows, got.to_pylist())):
         norm = float(np.sqrt(sum(x * x for x in row)))
         turned = [sum(turn[i][j] * row[j] / norm for j in range(33)) for i in range(33)]
         codes = [int(np.argmin(np.abs(levels - x))) for x in turned]
-        assert len(payload) == V.HEADER.itemsize + -(-33 * width // 8) and payload[4] == width
-        bits = "".join(f"{b:08b}"[::-1] for b in payload[V.HEADER.itemsize :])
+        assert len(payload["codes"]) == -(-33 * width // 8) and payload["width"] == width and payload["dim"] == 33
+        bits = "".join(f"{b:08b}"[::-1] for b in payload["codes"])
         assert [int(bits[i * width : (i + 1) * width][::-1], 2) for i in range(33)] == codes
         near = [levels[c] for c in codes]
         length = float(np.sqrt(sum(x * x for x in near)))
         cosine = sum(a * b for a, b in zip(turned, near)) / length
         estimate = sum(a * sum(turn[i][j] * query[j] for j in range(33)) for i, a in enumerate(near)) * norm * cosine / length
-        assert np.allclose(V.parse(payload)[1:4], [norm, cosine, length], rtol=1e-6)
-        assert np.allclose(scores(query, [payload])[0], estimate, rtol=1e-4)
+        assert np.allclose([payload[c] for c in ("norm", "cosine", "length")], [norm, cosine, length], rtol=1e-6)
+        assert np.allclose(payload["spread"], np.sqrt(1 - cosine**2), rtol=1e-5) and np.allclose(scores(query, got)[at], estimate, rtol=1e-5)
 
 
 def test_golden_payloads():
     row = np.array([[3.0, -4.0, 0.0, 0.0, 0.0, 0.0, 0.0, 12.0]])
-    assert [V.encode_rows(row, w)[0].hex() for w in V.WIDTHS] == GOLDEN
+    assert [V.encode_rows(row, w).to_pylist()[0]["codes"].hex() for w in V.WIDTHS] == GOLDEN
 
 
-GOLDEN = [
-    "4c5756310100000008000000000050412776623f2a424c3fb9",
-    "4c5756310200000008000000000050412dbd7a3fbeb78e3fc6de",
-    "4c57563104000000080000000000504148347f3f8705833f7ad3cac6",
-    "4c57563108000000080000000000504181ff7f3f2b77803f9f7240d3acc36dc3",
-]
+GOLDEN = ["b9", "c6de", "7ad3cac6", "9f7240d3acc36dc3"]
 
 
 def test_embedding_is_the_plain_one():
