@@ -10,9 +10,12 @@ rows' Jaccard similarity is at least `percent` / 100. All steps are exact:
 3. Row blocks. Classes meet in groups of equal min-hashes, dealt into blocks of at most ROWS rows; in each block
    the sparse product, column tile by column tile, accumulates all overlaps, and pairs below the bound of their sizes
    are discarded. What links is merged into components, so large groups of near copies cost no pairs of theirs.
-4. The rest. Classes of different components that share one of their rarest shingles (as many as any link needs one
-   of, less those in no other document), and whose sizes and positions allow a link, are verified pair by pair. The
-   components that share a shingle meet first, so that classes of one component are never paired.
+4. The rest. Of the classes that a link is still possible between, any two have one of their rarest shingles in common (as
+   many as any link needs one of, less those in no other document). So the classes of each such shingle that are in
+   different components form further row blocks, with the same product; shingles with the same classes, as those of a
+   passage are, make one block together.
+5. A shingle with more than ROWS classes has several blocks. If components still differ on it after all blocks are
+   merged, its blocks meet two by two. No pair of classes is ever a row.
 
 Shingles are 64-bit hashes of their words' 62-bit ones; sets are told apart by 128 bits. Cases: a text of one to four words has its whole sequence as its only shingle; null and
 empty texts and those of white space alone have none, link with nothing and form components of their own; repeated
@@ -193,6 +196,20 @@ def _tokens(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), "<u8") for x in column]
 
 
+def products(dealt: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) found in row blocks: of the classes (cid) that are dealt the same number, by their sparse product."""
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _grouped(batches):
+            cid, n = table.column("cid").to_numpy(), table.column("n").to_numpy()
+            found = block_links(n, _tokens(table.column("tokens")), percent) if len(cid) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(cid[[a for a, _ in found]]), pa.array(cid[[b for _, b in found]])], ["u", "v"])
+
+    rows = dealt.join(classes, "cid").select("dealt", "cid", "n", "tokens")
+    return rows.repartition("dealt").sortWithinPartitions("dealt").mapInArrow(T.lean(product), "u long, v long")
+
+
 def met(classes: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame:
     """Links (u, v) found in row blocks of classes with equal min-hashes."""
 
@@ -207,22 +224,13 @@ def met(classes: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame:
     many = checkpointed(hashed.groupBy("round", "key").agg(F.count("*").alias("many")).where("many > 1"))
     salt = F.pmod(F.xxhash64("cid", "round"), F.ceil(F.col("many") / ROWS))
     dealt = hashed.join(many, ["round", "key"]).select("cid", F.xxhash64("round", "key", salt).alias("dealt"))
-
-    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _grouped(batches):
-            cid, n = table.column("cid").to_numpy(), table.column("n").to_numpy()
-            found = block_links(n, _tokens(table.column("tokens")), percent) if len(cid) > 1 else []
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(cid[[a for a, _ in found]]), pa.array(cid[[b for _, b in found]])], ["u", "v"])
-
-    rows = dealt.join(classes, "cid").select("dealt", "cid", "n", "tokens")
-    return rows.repartition("dealt").sortWithinPartitions("dealt").mapInArrow(T.lean(product), "u long, v long")
+    return products(dealt, classes, percent)
 
 
-def rest(classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) between classes whose labels differ."""
+def prefixes(classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """token, cid, label, n, left: each class's rarest shingles, with how many it has from there on."""
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column(1).to_numpy()
             tokens = _tokens(batch.column(2))
@@ -235,28 +243,42 @@ def rest(classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), batch.column(0).take(pa.array(row)), batch.column(3).take(pa.array(row)), pa.array(n[row]), pa.array(own[row] - at)], ["token", "cid", "label", "n", "left"])
 
     full = classes.join(labels, classes.cid == labels.node, "left").select("cid", "n", "tokens", F.coalesce("root", "cid").alias("label"))
-    prefix = full.mapInArrow(T.lean(prefixes), "token long, cid long, label long, n long, left long")
-    # a token's classes of one label aren't paired with each other, however many they are: labels meet first, where the
-    # sizes and positions of theirs allow a link at all
-    named = prefix.groupBy("token", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("left").alias("left"))
-    named = checkpointed(named.join(named.groupBy("token").count().where("count > 1").select("token"), "token"))
-    of = lambda x: named.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("label", "least", "most", "left")])
-    sizes = (percent * F.col("least_a") <= 100 * F.col("most_b")) & (percent * F.col("least_b") <= 100 * F.col("most_a"))
-    places = (100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("least_a") + F.col("least_b"))
-    both = of("a").join(of("b"), "token").where((F.col("label_a") < F.col("label_b")) & sizes & places).select("token", "label_a", "label_b")
-    open_ = checkpointed(prefix.join(named.select("token", "label"), ["token", "label"]))
-    a, b = (open_.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "label", "n", "left")]) for x in "ab")
-    fits = (percent * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")) & ((100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b")))
-    pairs = both.join(a, ["token", "label_a"]).join(b, ["token", "label_b"]).where(fits).select("cid_a", "cid_b").distinct()
-    side = lambda x: classes.select(F.col("cid").alias(f"cid_{x}"), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            overlap = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(_tokens(batch.column("tokens_a")), _tokens(batch.column("tokens_b")))], np.int64)
-            ok = pa.array(linked(overlap, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), percent))
-            yield pa.RecordBatch.from_arrays([batch.column("cid_a").filter(ok), batch.column("cid_b").filter(ok)], ["u", "v"])
+    return full.mapInArrow(T.lean(run), "token long, cid long, label long, n long, left long")
 
-    return pairs.join(side("a"), "cid_a").join(side("b"), "cid_b").mapInArrow(T.lean(verify), "u long, v long")
+
+def rest(classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """cid, token, many (classes of the token): what must still meet so that no link between two labels is missed, with
+    one token for all that have the same classes."""
+    prefix = prefixes(classes, labels, percent)
+    sizes = [F.count("*").alias("many"), F.min("label").alias("one"), F.max("label").alias("other"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y")]
+    tokens = prefix.groupBy("token").agg(*sizes, F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("sum"), F.min("left").alias("left"))
+    # of two classes alone, sizes and places tell whether they can link
+    fits = (percent * F.col("most") <= 100 * F.col("least")) & ((100 + percent) * F.col("left") >= percent * F.col("sum"))
+    kept = tokens.where((F.col("one") < F.col("other")) & ((F.col("many") > 2) | fits)).groupBy("many", "x", "y").agg(F.min("token").alias("token"))
+    return checkpointed(prefix.join(checkpointed(kept.select("token", "many")), "token").select("cid", "token", "many"))
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, root) after further links."""
+    more = components(_between(links, labels))
+    own = more.select(F.col("node").alias("was"), F.col("root").alias("now"))
+    changed = labels.join(own, labels.root == own.was, "left").select("node", F.coalesce("now", "root").alias("root"))
+    return checkpointed(changed.union(more.select("node", "root")).groupBy("node").agg(F.min("root").alias("root")))
+
+
+def labelled(classes: DataFrame, percent: int) -> DataFrame:
+    """node, root: the component of each class that has a link, named by its least class."""
+    labels = checkpointed(components(met(classes, percent)))
+    open_ = rest(classes, labels, percent)
+    blocks = F.ceil(F.col("many") / ROWS)
+    own = F.pmod(F.xxhash64("cid", "token"), blocks)
+    labels = _merged(labels, products(open_.select("cid", F.xxhash64("token", own).alias("dealt")), classes, percent))
+    large = open_.where(F.col("many") > ROWS).join(labels, F.col("cid") == F.col("node"), "left").select("cid", "token", "many", F.coalesce("root", "cid").alias("label"))
+    apart = checkpointed(large.groupBy("token").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one < other").select("token"))
+    if apart.isEmpty():
+        return labels
+    pairs = large.join(apart, "token").select("cid", "token", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("with")).where("own <> with")
+    return _merged(labels, products(pairs.select("cid", F.xxhash64("token", F.least("own", "with"), F.greatest("own", "with")).alias("dealt")), classes, percent))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -272,10 +294,8 @@ def _named(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     some = rows.where("set_key is not null")
     classes = some.groupBy("set_key").agg(F.min("d").alias("least"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     classes = checkpointed(classes.withColumn("cid", F.monotonically_increasing_id()))
-    labels = checkpointed(components(met(classes, percent)))
-    more = components(_between(rest(classes, labels, percent), labels))
+    labels = labelled(classes, percent)
     name = classes.select("cid", "set_key", "least").join(labels, F.col("cid") == F.col("node"), "left").withColumn("label", F.coalesce("root", "cid")).drop("node", "root")
-    name = name.join(more, F.col("label") == F.col("node"), "left").withColumn("label", F.coalesce("root", "label"))
     least = name.groupBy("label").agg(F.min("least").alias("component"))
     return some, name.select("set_key", "label").join(least, "label").select("set_key", "label", "component")
 
