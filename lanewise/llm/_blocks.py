@@ -163,7 +163,8 @@ class Form:
         for c, (kind, listed) in self.columns.items():
             if listed:
                 flat, offs = columns[c]
-                parts += [np.diff(offs[lo : hi + 1]).astype("<u4").tobytes(), flat[offs[lo] : offs[hi]].astype(kind, copy=False).tobytes()]
+                # sizes byte by byte, as their upper ones are nearly always the same
+                parts += [np.diff(offs[lo : hi + 1]).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), flat[offs[lo] : offs[hi]].astype(kind, copy=False).tobytes()]
             else:
                 parts.append(columns[c][lo:hi].astype(kind, copy=False).tobytes())
         data = b"".join(parts)
@@ -177,7 +178,7 @@ class Form:
         for c, (kind, listed) in self.columns.items():
             size = n
             if listed:
-                sizes = np.frombuffer(data, "<u4", n, at)
+                sizes = np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").ravel()
                 out[f"#{c}"], size, at = sizes, int(sizes.sum()), at + 4 * n
             out[c] = np.frombuffer(data, kind, size, at)
             at += size * kind.itemsize

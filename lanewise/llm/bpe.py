@@ -28,8 +28,8 @@ from . import _text as T
 
 SPACE, LETTER, NUMBER, OTHER, EDGE = range(5)
 SLICE = 1 << 13  # code points that are probed at a time
-#: What travels: a block's different words, and their ids back.
-WORDS, IDS = B.Form(0, word="[u1]"), B.Form(1, ids="[i4]")
+#: What travels: a block's different words, and their ids back, in two bytes if the vocabulary allows it.
+WORDS, IDS, SMALL_IDS = B.Form(0, word="[u1]"), B.Form(1, ids="[i4]"), B.Form(1, ids="[u2]")
 BATCH = 1 << 12  # words that are encoded at a time, as each has an object of its own meanwhile
 
 
@@ -174,6 +174,7 @@ def encoded(docs: DataFrame, tokenizer: str, tokens: bool = False) -> DataFrame:
     known = Vocabulary(text)
     # whoever encodes needs the definition alone, and whoever decodes the pieces alone
     definition, vocabulary, special = context.broadcast(text), context.broadcast(known), known.special
+    form = SMALL_IDS if len(known.decimals[1]) <= 1 << 16 else IDS
     kinds = context.broadcast(code_point_kinds(tokenizer_of(text)))
 
     def bucketed(split: _Split) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -197,16 +198,16 @@ def encoded(docs: DataFrame, tokenizer: str, tokens: bool = False) -> DataFrame:
         cut = np.append(0, np.cumsum([len(x) for x in ids]))
         flat = np.fromiter((i for x in ids for i in x), np.int32, cut[-1])
         for block, own in words.by_sender(np.arange(len(words))):
-            yield block, IDS.pack(int(words.at[own[0]]), 0, len(own), {"ids": T.gathered(flat, cut[of[own]], np.diff(cut)[of[own]])})
+            yield block, form.pack(int(words.at[own[0]]), 0, len(own), {"ids": T.gathered(flat, cut[of[own]], np.diff(cut)[of[own]])})
 
     def apply(table: pa.Table, answers: list[tuple[int, pa.Buffer]]) -> pa.Table:
         vocab, split = vocabulary.value, _Split(table, special, kinds.value)
         *_, order = bucketed(split)
-        (found,) = B.letters(answers, IDS)
+        (found,) = B.letters(answers, form)
         flat, begin = found["ids"]
         many, at = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
         many[order[found.at]], at[order[found.at]] = np.diff(begin), begin[:-1]
-        ids, cut = T.gathered(flat, at, many)
+        ids, cut = T.gathered(flat.astype(np.int32), at, many)
         count = np.append(0, np.cumsum(many[split.of]))[split.first]
         shas, plain_shas, found, plain = [], [], [], []
         spelled, pieces = _spelled(vocab.decimals, ids, cut), _spelled(vocab.pieces, ids, cut)
