@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from collections.abc import Iterable, Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanewise.sources.files import checkpointed
+
 LANE = ["agent", "epoch"]
+#: Positions of a lane within which single objects are folded to runs; a run ends where these do.
+SLICE = 1 << 16
 
 
 def newest_epochs(objects: DataFrame, below: int | None = None) -> DataFrame:
@@ -24,50 +24,48 @@ def single_chains(objects: DataFrame) -> DataFrame:
     return objects.where("level = 0").withColumn("n", F.row_number().over(order) - 1).where("lo = n").drop("n")
 
 
-def cover(spans: Iterable[tuple[int, int]], until: int | None = None) -> list[tuple[int, int]]:
-    """The widest object from each position on, from 0 to the first gap; none that ends beyond until."""
-    widest: dict[int, int] = {}
-    for lo, hi in spans:
-        if until is None or hi <= until:
-            widest[lo] = max(hi, widest.get(lo, -1))
-    chain, at = [], 0
-    while at in widest:
-        chain.append((at, widest[at]))
-        at = widest[at] + 1
-    return chain
+def _stretches(objects: DataFrame) -> DataFrame:
+    """The widest object from each position on, and the stretch that it is in: a compacted object, which a chain enters
+    at its start only, or a run of single objects, which it may enter anywhere. node and stop are the stretch's first and
+    last position."""
+    widest = objects.groupBy(*LANE, "lo").agg(F.max(F.struct("hi", "level")).alias("widest")).select(*LANE, "lo", "widest.*")
+    rows = widest.withColumn("wide", F.col("hi") > F.col("lo")).withColumn("slice", F.floor(F.col("lo") / SLICE))
+    own = [*LANE, "slice", "wide"]
+    rows = rows.withColumn("island", F.when(F.col("wide"), F.col("lo")).otherwise(F.col("lo") - F.row_number().over(Window.partitionBy(*own).orderBy("lo"))))
+    run = Window.partitionBy(*own, "island")
+    return rows.select(*LANE, "lo", "hi", "level", "wide", F.min("lo").over(run).alias("node"), F.max("hi").over(run).alias("stop"))
 
 
-def walk(starts: list[int], stops: list[int], wide: list[bool]) -> Iterator[tuple[int, int, bool, int]]:
-    """start, stop, kind and number of objects before, of each stretch of a chain: stretches are compacted objects, which are
-    entered at their start only, and runs of single objects, which may be entered anywhere."""
-    at, before = 0, 0
-    while (k := bisect_right(starts, at) - 1) >= 0 and at <= stops[k] and (at == starts[k] or not wide[k]):
-        yield at, stops[k], wide[k], before
-        before += 1 if wide[k] else stops[k] - at + 1
-        at = stops[k] + 1
+def _entered(stop: str, entry: str, wide: str) -> Column:
+    """How many objects of a stretch a chain has that enters it there."""
+    return F.when(F.col(wide), 1).otherwise(F.col(stop) - F.col(entry) + 1)
 
 
 def chains(objects: DataFrame, until: int | None = None) -> DataFrame:
     """agent, epoch, lo, hi, n, level: each lane's chain, n counting from 0. Of objects with one range the compacted one
     counts.
 
-    Runs of neighbouring single objects are folded to one row before a lane's stretches meet in a task, which so holds
-    as many rows as the lane has gaps and compacted objects; the chosen stretches are joined back to the objects.
+    Each stretch points to the one that holds the position after its end. What a chain reaches is found by doubling:
+    in round k everything within 2**k steps of what is reached is added, by equi-joins, so there are as many rounds as the
+    logarithm of the stretches in the longest chain, and no task holds a lane.
     """
-    rows = objects if until is None else objects.where(F.col("hi") <= until)
-    widest = rows.groupBy(*LANE, "lo").agg(F.max(F.struct("hi", "level")).alias("widest")).select(*LANE, "lo", "widest.*")
-    order = Window.partitionBy(*LANE).orderBy("lo")
-    runs = widest.where("hi = lo").withColumn("run", F.col("lo") - F.row_number().over(order)).groupBy(*LANE, "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run")
-    stretches = runs.withColumn("wide", F.lit(False)).unionByName(widest.where("hi > lo").drop("level").withColumn("wide", F.lit(True)))
-
-    def run(key: tuple, lane: pd.DataFrame) -> pd.DataFrame:
-        lane = lane.sort_values("lo")
-        found = pd.DataFrame(walk(lane.lo.tolist(), lane.hi.tolist(), lane.wide.tolist()), columns=["start", "stop", "wide", "before"]).astype({"start": "int64", "stop": "int64", "wide": "bool", "before": "int64"})
-        return found.assign(agent=key[0], epoch=key[1])[["agent", "epoch", "start", "stop", "wide", "before"]]
-
-    found = stretches.groupBy(*LANE).applyInPandas(run, "agent string, epoch int, start long, stop long, wide boolean, before long")
-    joined = widest.join(found, LANE).where("lo = start OR (NOT wide AND lo > start AND hi <= stop)")
-    return joined.select(*LANE, "lo", "hi", (F.col("before") + F.col("lo") - F.col("start")).alias("n"), "level")
+    members = checkpointed(_stretches(objects if until is None else objects.where(F.col("hi") <= until)))
+    reached = members.where("lo = 0").select(*LANE, "node", F.lit(0).cast("long").alias("entry"), F.lit(0).cast("long").alias("before"), "stop", "wide")
+    after = members.select(*LANE, F.col("lo").alias("entry"), F.col("node").alias("to"), F.col("stop").alias("to_stop"), F.col("wide").alias("to_wide"))
+    jumps = members.where("lo = node").select(*LANE, "node", (F.col("stop") + 1).alias("entry")).join(after, [*LANE, "entry"]).withColumn("between", F.lit(0).cast("long"))
+    jumps = jumps.select(*LANE, "node", "to", F.col("entry").alias("at"), "to_stop", "to_wide", "between")
+    while True:
+        steps = reached.join(jumps, [*LANE, "node"])
+        before = F.col("before") + _entered("stop", "entry", "wide") + F.col("between")
+        new = checkpointed(steps.select(*LANE, F.col("to").alias("node"), F.col("at").alias("entry"), before.alias("before"), F.col("to_stop").alias("stop"), F.col("to_wide").alias("wide")))
+        if new.isEmpty():
+            break
+        reached = checkpointed(reached.unionByName(new))
+        then = jumps.select(*LANE, F.col("node").alias("to"), *(F.col(c).alias(f"then_{c}") for c in ("to", "at", "to_stop", "to_wide", "between")))
+        between = F.col("between") + _entered("to_stop", "at", "to_wide") + F.col("then_between")
+        jumps = checkpointed(jumps.join(then, [*LANE, "to"]).select(*LANE, "node", F.col("then_to").alias("to"), F.col("then_at").alias("at"), F.col("then_to_stop").alias("to_stop"), F.col("then_to_wide").alias("to_wide"), between.alias("between")))
+    chosen = members.select(*LANE, "node", "lo", "hi", "level").join(reached.select(*LANE, "node", "entry", "before"), [*LANE, "node"]).where("lo >= entry")
+    return chosen.select(*LANE, "lo", "hi", (F.col("before") + F.col("lo") - F.col("entry")).alias("n"), "level")
 
 
 def islands(objects: DataFrame) -> DataFrame:
@@ -78,11 +76,13 @@ def islands(objects: DataFrame) -> DataFrame:
 
 
 def covered(objects: DataFrame) -> DataFrame:
-    """Compacted objects, and whether the lane's single objects fill their range."""
-    filled = islands(objects).select(*LANE, F.col("lo").alias("from"), F.col("hi").alias("to"))
-    wide = objects.where("level = 1")
-    inside = wide.join(filled, [*(wide[c] == filled[c] for c in LANE), filled["from"] <= wide.lo, filled["to"] >= wide.hi], "left")
-    return inside.select(wide.agent, wide.epoch, wide.lo, wide.hi, filled["from"].isNotNull().alias("covered"))
+    """Compacted objects, and whether the lane's single objects fill their range: as islands don't overlap, only the last
+    one that begins at or before an object's start can, so one pass in order finds it."""
+    filled = islands(objects).select(*LANE, F.col("lo").alias("at"), F.lit(0).alias("kind"), F.col("hi").alias("to"), F.lit(None).cast("long").alias("hi"))
+    wide = objects.where("level = 1").select(*LANE, F.col("lo").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("to"), "hi")
+    order = Window.partitionBy(*LANE).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = filled.unionByName(wide).withColumn("filled", F.last("to", ignorenulls=True).over(order)).where("kind = 1")
+    return rows.select(*LANE, F.col("at").alias("lo"), "hi", F.coalesce(F.col("filled") >= F.col("hi"), F.lit(False)).alias("covered"))
 
 
 def gc_candidates(objects: DataFrame, keep: int = 1) -> DataFrame:
@@ -92,6 +92,9 @@ def gc_candidates(objects: DataFrame, keep: int = 1) -> DataFrame:
     rows = objects.join(valid, "agent")
     old = rows.where(F.col("epoch") <= F.col("newest") - keep)
     kept = rows.where((F.col("epoch") > F.col("newest") - keep) & (F.col("level") == 0))
-    wide = objects.where("level = 1").select("agent", "epoch", F.col("lo").alias("from"), F.col("hi").alias("to"))
-    under = kept.join(wide, LANE).where("lo >= from AND hi <= to").select(*kept.columns)
-    return old.unionByName(under).select(*LANE, "lo", "hi", "level").distinct()
+    # a single object is under a compacted one if one that begins at or before it ends at or after it
+    wide = objects.where("level = 1").join(valid, "agent").select(*LANE, "lo", F.col("hi").alias("reach"), F.lit(None).cast("long").alias("hi"))
+    order = Window.partitionBy(*LANE).orderBy("lo").rangeBetween(Window.unboundedPreceding, 0)
+    rows = kept.select(*LANE, "lo", F.lit(None).cast("long").alias("reach"), "hi").unionByName(wide)
+    under = rows.withColumn("reach", F.max("reach").over(order)).where("hi IS NOT NULL AND reach >= hi").select(*LANE, "lo", "hi", F.lit(0).alias("level"))
+    return old.select(*LANE, "lo", "hi", "level").unionByName(under).distinct()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanewise.sources.files import checkpointed
+
 ORDER = ["created_at", "agent", "epoch", "seq"]
 
 
@@ -21,12 +23,31 @@ def head(commits: DataFrame) -> DataFrame:
 
 
 def back(commits: DataFrame, n: int) -> DataFrame:
-    """The positions n commits before the head; of an empty rest, of the first commit."""
-    total = commits.count()
-    drop = min(n, max(total - 1, 0))
-    # the newest `drop` commits are a bounded top-k, not a global window
-    newest = commits.orderBy(*[F.desc(c) for c in ORDER]).limit(drop).select("agent", "epoch", "seq")
-    return head(commits.join(newest, ["agent", "epoch", "seq"], "left_anti"))
+    """The positions n commits before the head; of an empty rest, of the first commit.
+
+    Commits are counted by second, once; the second that the n-th newest falls in is found through sums over ever finer
+    spans of these counts, and only its own commits are put in order.
+    """
+    second = F.date_trunc("second", _time(commits))
+    counts = checkpointed(commits.groupBy(second.alias("second")).agg(F.count("*").alias("many")))
+    total = counts.agg(F.sum("many")).first()[0] or 0
+    left, span = min(n, max(total - 1, 0)), F.lit(True)
+    if not left:
+        return head(commits)
+    for unit in ("year", "day", "hour", "second"):  # at most some hundreds or thousands of each in one of those before
+        inside = counts.where(span).groupBy(F.date_trunc(unit, "second").alias("at")).agg(F.sum("many").alias("many")).orderBy(F.desc("at"))
+        for at, many in inside.toLocalIterator():
+            if many >= left:
+                break
+            left -= many
+        span = F.date_trunc(unit, "second") == F.lit(at)
+    newest = commits.where(second == F.lit(at)).orderBy(*[F.desc(c) for c in ORDER]).limit(left).select("agent", "epoch", "seq")
+    rest = commits.where(second < F.lit(at)).select(*ORDER).unionByName(commits.where(second == F.lit(at)).join(newest, ["agent", "epoch", "seq"], "left_anti").select(*ORDER))
+    return head(rest)
+
+
+def _time(commits: DataFrame) -> Column:
+    return F.col("created_at") if dict(commits.dtypes)["created_at"].startswith("timestamp") else F.timestamp_micros(F.round(F.col("created_at") * 1_000_000).cast("long"))
 
 
 def cut_text(positions: DataFrame) -> DataFrame:
