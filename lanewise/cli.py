@@ -8,11 +8,11 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanewise.errors import Fenced, Held
+from lanewise.errors import Fenced, Held, LogError
+from lanewise.sources.files import Files
 from lanewise.space import Space
 
 READING = {"recall", "checkpoints", "log", "stats", "owner", "agents", "spaces"}
@@ -37,7 +37,7 @@ def parser() -> argparse.ArgumentParser:
         for names, options in arguments:
             command.add_argument(*names, **options)
 
-    add("init", (("--dim",), {"type": int, "default": 256}))
+    add("init", (("--dim",), {"type": int}))
     add("remember", (("text",), {"nargs": "+"}), (("--meta",), {"action": "append", "default": [], "metavar": "KEY=VALUE"}), (("--note",), {"default": ""}))
     add("recall", (("query",), {}), (("-k",), {"type": int, "default": 5}), (("--where",), {"action": "append", "default": [], "metavar": "KEY=VALUE"}), (("--by",), {}), (("--at",), {}))
     add("forget", (("id",), {}))
@@ -53,11 +53,9 @@ def parser() -> argparse.ArgumentParser:
 
 def run(args: argparse.Namespace, spark: SparkSession, show) -> None:
     if args.command == "spaces":
-        from lanewise.sources.files import Files
-
         return show([{"space": x} for x in Files(spark, args.root).names("")])
     root = f"{args.root.rstrip('/')}/{args.space}"
-    if args.command not in ("init", "remember") and not Path(root).exists() and "://" not in root:
+    if args.command not in ("init", "remember") and Files(spark, root).load("config.json") is None:
         raise ValueError(f"no space at {root}")
     with Space(spark, root, None if args.command in READING else args.agent, **({"dim": args.dim} if args.command == "init" else {})) as space:
         if args.command == "remember":
@@ -105,7 +103,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except Fenced as error:
         print(error, file=sys.stderr)
         return 3
-    except (ValueError, KeyError, PermissionError) as error:
+    except (ValueError, KeyError, PermissionError, LogError) as error:
         print(error, file=sys.stderr)
         return 1
     return 0

@@ -15,3 +15,7 @@ class Fenced(LogError, RuntimeError):
 
 class ChainBroken(LogError, RuntimeError):
     """A position names a lane without a chain up to it."""
+
+
+class Unreadable(LogError, RuntimeError):
+    """An object or payload of the own lane is missing or damaged."""

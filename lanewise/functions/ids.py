@@ -45,12 +45,14 @@ def canonical(record: dict) -> str:
     return json.dumps(record, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
 
+def record_id(text: str | None, metadata: str | None, parents: list[str] | None, revision: int = 0) -> str:
+    """The id of a text with metadata (JSON text) and parents, in a revision."""
+    record = {"text": text, "metadata": json.loads(metadata) if metadata else {}, "parents": list(parents) if parents is not None else []}
+    return hashlib.sha256(canonical(record | ({"revision": int(revision)} if revision else {})).encode()).hexdigest()
+
+
 @F.pandas_udf(StringType())
 def content_id_of_json(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The id of (text, metadata as JSON text, parents, revision) for metadata of any shape."""
-    for text, metadata, parents, revision in parts:
-        out = []
-        for t, m, p, r in zip(text, metadata, parents, revision):
-            record = {"text": t, "metadata": json.loads(m) if m else {}, "parents": list(p) if p is not None else []}
-            out.append(hashlib.sha256(canonical(record | ({"revision": int(r)} if r else {})).encode()).hexdigest())
-        yield pd.Series(out, dtype="object")
+    for columns in parts:
+        yield pd.Series([record_id(*row) for row in zip(*columns)], dtype="object")

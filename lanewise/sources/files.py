@@ -7,6 +7,7 @@ import json
 import re
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,8 @@ class Files:
             hint = "; object stores without a rename that fails if there is such a file can't keep leases" if scheme in ("s3", "s3a", "gs") else ""
             raise ValueError(f"{root!r}: the scheme must be one of {SCHEMES}, or none for a local folder{hint}")
         self.jvm, self.root = spark._jvm, root.rstrip("/")
+        #: How many names have been listed so far.
+        self.listed = 0
         self.conf = spark._jsc.hadoopConfiguration()
         self.fs = self._path("").getFileSystem(self.conf)
         self.local = self.fs.getUri().getScheme() == "file"
@@ -98,9 +101,15 @@ class Files:
     def names(self, folder: str) -> list[str]:
         """Sorted names right under a folder, but hidden ones."""
         path = self._path(folder)
-        found = (x.getPath().getName() for x in self.fs.listStatus(path)) if self.fs.exists(path) else ()
+        found = [x.getPath().getName() for x in self.fs.listStatus(path)] if self.fs.exists(path) else []
+        self.listed += len(found)
         return sorted(x for x in found if not x.startswith("."))
 
+    def missing(self, names: list[str]) -> list[str]:
+        """Those of some names that don't exist, asked for side by side."""
+        with ThreadPoolExecutor(16) as pool:
+            return [name for name, there in zip(names, pool.map(lambda name: self.fs.exists(self._path(name)), names)) if not there]
+
     def any(self, folder: str) -> bool:
         """Whether there is anything under a folder; its names aren't listed."""
         path = self._path(folder)

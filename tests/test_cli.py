@@ -28,3 +28,12 @@ def test_commands(spark, tmp_path, capsys):
     call("remember", "x", "--meta", "nothing", code=1)
     with pytest.raises(SystemExit):
         main([str(tmp_path), "unknown"], spark)
+
+
+def test_stored_dimension_and_mistyped_roots(spark, tmp_path, capsys):
+    root = f"file://{tmp_path}/store"
+    call = lambda *argv: main([root, "--json", *argv], spark)
+    assert call("stats") == 1 and call("agents") == 1 and not (tmp_path / "store").exists()
+    assert call("init", "--dim", "64") == 0 and call("remember", "a text") == 0 and call("stats") == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["plain"] == 4 * 64
+    assert call("init", "--dim", "32") == 1

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+import shutil
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from lanewise.errors import Fenced, Held
+from lanewise import catalog, staging
+from lanewise.errors import Fenced, Held, Unreadable
 from lanewise.functions.ids import canonical
 from lanewise.operators.lease import Lease
 from lanewise.space import Space
@@ -197,7 +201,7 @@ def test_compacting_one_object(spark, tmp_path):
     wide = Space(spark, root).live().first().payload
     ann.compact(width=1)
     narrow = Space(spark, root).live().first().payload
-    assert len(narrow) < len(wide) and narrow[4] == 1
+    assert len(narrow.codes) < len(wide.codes) and narrow.width == 1
     assert ann.gc() == 1 and ann.commits().count() == 1 and texts(Space(spark, root)) == ["only one"]
 
 
@@ -218,7 +222,9 @@ def test_unreadable_objects_of_others(spark, tmp_path):
     for part in (root / "log" / "agent=ben" / "epoch=0" / "level=0" / "lo=1" / "hi=1").glob("part-*"):
         part.write_bytes(b"not parquet at all")
         (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
-    (root / "commits" / "zoe-0.json").write_text("{broken")
+    zoe = root / "commits" / "zoe" / "0000000000" / "0000000000"
+    zoe.mkdir(parents=True)
+    (zoe / "0-000000000000-000000000000.json").write_text("{broken")
     for space in (Space(spark, str(root)), ann):
         assert texts(space) == ["good", "mine"]
         assert [(r.agent, r.lo) for r in space.broken().collect()] == [("ben", 1)]
@@ -263,3 +269,187 @@ def test_roots(spark, tmp_path):
     assert files.create("a/b.json", b"1") and not files.create("a/b.json", b"2") and files.read("a/b.json") == b"1" and files.names("a") == ["b.json"]
     with pytest.raises(ValueError):
         files.read("../x")
+
+
+def plan_of(df) -> int:
+    return len(df._jdf.queryExecution().logical().toString().splitlines())
+
+
+def test_many_staged_writes(spark, tmp_path):
+    """Plans don't grow with what waits, and a write costs no Spark job where nothing is in the log."""
+    ann = Space(spark, str(tmp_path / "s"), "ann", flush_every=None)
+    sizes, began = [], time.monotonic()
+    for i in range(200):
+        ann.remember([f"text {i}", f"text {i // 2}"])
+        sizes.append(plan_of(ann.staged.frame()))
+    assert len(set(sizes)) == 1 and time.monotonic() - began < 120 and ann.pending == 200
+    assert ann.flush("all") == (0, 0) and ann.live().count() == 200 and ann.commits().count() == 1
+    # with a log, and writes of DataFrames: one scan of all parts
+    ann.remember(["text 7", "more"])
+    sizes = []
+    for i in range(6):
+        ids = ann.remember(spark.createDataFrame([(f"frame {i}",), ("text 3",), ("more",), (f"frame {i}",)], "text string"))
+        assert ids.count() == 4 and ids.distinct().count() == 3
+        sizes.append(plan_of(ann._new(ann.staged.written())))
+    assert len(set(sizes)) == 1 and len(ann.staged.rows) == 1
+    assert ann.flush() == (0, 1) and ann.live().count() == 207 and ann.history(1).first().added == 7
+
+
+def test_objects_of_thirty_writes(spark, tmp_path):
+    ann = Space(spark, str(tmp_path / "s"), "ann", flush_every=10)
+    for i in range(30):
+        ann.remember_many([f"t{i}"])
+    assert ann.commits().count() == 3 and ann.live().count() == 30
+
+
+def test_staged_contents_come_and_go(spark, tmp_path):
+    """Puts and tombstones of one content in one batch, in lists and DataFrames."""
+    ann, frame = Space(spark, str(tmp_path / "s"), "ann"), lambda *t: spark.createDataFrame([(x,) for x in t], "text string")
+    with ann.batch():
+        one = ann.remember_many(["x"])[0]
+        assert ids(ann.forget([one, "unknown"])) == [one]
+        two = ann.remember_many(["x", "y"])
+        assert two[0] != one
+        assert ids(ann.remember(frame("x", "z"))) == sorted([two[0], *ids(ann.remember(["z"]))])
+        gone = ann.forget(frame("a").selectExpr(f"'{two[1]}' AS fid"))
+        assert ids(gone) == [two[1]]
+        again = ann.remember_many(["y"])[0]
+        assert again != two[1]
+        with pytest.raises(KeyError), ann.batch():
+            ann.remember(frame("never"))
+            ann.remember(["nor this"])
+            raise KeyError
+    assert texts(ann) == ["x", "y", "z"] and ann.commits().count() == 1
+    assert {r.fid: r.revision for r in ann.live().where("text <> 'z'").collect()} == {two[0]: 1, again: 1}
+
+
+def test_more_than_fits_on_the_driver(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "INLINE", 3)
+    ann = Space(spark, str(tmp_path / "s"), "ann")
+    with ann.batch():
+        for part in ("ab", "cd", "ae", "cf"):
+            ann.remember(list(part))
+        assert len(ann.staged.rows) == 3 and len(ann.staged.parts) == 2
+    assert texts(ann) == list("abcdef") and ann.history(1).first().added == 6
+
+
+def test_lost_objects_of_the_own_lane(spark, tmp_path):
+    root = tmp_path / "s"
+    ann = Space(spark, str(root), "ann", ttl=3600)
+    for t in "abc":
+        ann.remember([t])
+    ann.close()
+    lost = root / "log" / "agent=ann" / "epoch=0" / "level=0" / "lo=1"
+    shutil.move(lost, tmp_path / "aside")
+    # others do without; the owner neither reads on nor begins an epoch that would lack it, and the lane stays free
+    assert texts(Space(spark, str(root))) == ["a", "c"]
+    later = Space(spark, str(root), "ann")
+    for _ in range(2):
+        with pytest.raises(Unreadable):
+            later.remember(["d"])
+    assert later.lease.epoch is None and Lease(later.files, "lanes/ann").holder() is None
+    shutil.move(tmp_path / "aside", lost)
+    later.refresh()
+    later.remember(["d"])
+    assert texts(Space(spark, str(root))) == ["a", "b", "c", "d"]
+    later.close()
+    # a file of an object that is there
+    part = next((root / "log" / "agent=ann" / "epoch=1").rglob("part-*.parquet"))
+    part.unlink()
+    with pytest.raises(Unreadable):
+        Space(spark, str(root), "ann").remember(["e"])
+
+
+def test_a_failed_start_gives_the_lane_back(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "s")
+    ann = Space(spark, root, "ann", ttl=3600)
+    monkeypatch.setattr(ann, "_write", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        ann.remember(["x"])
+    monkeypatch.undo()
+    with Space(spark, root, "ann") as other:
+        other.remember(["y"])
+    ann.staged.clear()
+    ann.remember(["z"])
+    assert texts(Space(spark, root)) == ["y", "z"]
+
+
+def test_readers_write_nothing(spark, tmp_path):
+    reader = Space(spark, str(tmp_path / "nowhere"))
+    assert reader.live().count() == 0 and reader.commits().count() == 0 and not (tmp_path / "nowhere").exists()
+    Space(spark, str(tmp_path / "s"), "ann", dim=16).remember(["x"])
+    assert Space(spark, str(tmp_path / "s")).dim == Space(spark, str(tmp_path / "s"), "ben").dim == 16
+    with pytest.raises(ValueError):
+        Space(spark, str(tmp_path / "s"), dim=32)
+
+
+def test_damaged_payloads(spark, tmp_path):
+    root = str(tmp_path / "s")
+    ann, ben = Space(spark, root, "ann", dim=8), Space(spark, root, "ben")
+    ann.remember(["mine"])
+    write = ben._write
+    bad = F.struct(*(F.lit(9).alias("width") if c == "width" else F.col(f"payload.{c}").alias(c) for c in ("width", "dim", "norm", "cosine", "length", "spread", "codes")))
+    ben._write = lambda records, folder: write(records.withColumn("payload", F.when(F.col("text") == "bad", bad).otherwise(F.col("payload"))), folder)
+    ben.remember(["good", "bad"])
+    for space in (Space(spark, root), ann):
+        assert texts(space) == ["good", "mine"] and {r.text for r in space.recall("good", 9).collect()} == {"good", "mine"}
+        assert [r.agent for r in space.quarantined().collect()] == ["ben"]
+    with pytest.raises(Exception, match="damaged payload"):
+        texts(ben)
+
+
+def test_manifests(spark, tmp_path, monkeypatch):
+    """A reader lists those since the last manifest alone, and reads the chosen objects' paths."""
+    root = str(tmp_path / "s")
+    monkeypatch.setattr(catalog, "EVERY", 5)
+    monkeypatch.setattr(catalog, "SLICE", 4)
+    ann = Space(spark, root, "ann", dim=4, compact_every=None)
+    for i in range(2 * catalog.EVERY + 3):
+        ann.remember_many([f"t{i}"], embeddings=[[1.0, 0, 0, 0]])
+    reader = Space(spark, root)
+    tables, markers = reader.catalog.listing()
+    assert len(tables) == 1 and len(markers) == 3 and reader.files.listed < 60
+    assert reader.commits().count() == 2 * catalog.EVERY + 3 and reader.live().count() == 2 * catalog.EVERY + 3
+    # all markers say the same as the manifest and those after it
+    whole = reader.catalog.rows(((), tuple(reader.catalog._after("ann", None))))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, reader.commits().collect()))
+    # nothing new: the same rows, without another read
+    before = reader.commits(), reader.log()
+    assert reader.commits() is before[0] and reader.log() is before[1]
+    ann.compact()
+    ann.remember_many(["after"], embeddings=[[0, 1.0, 0, 0]])
+    assert reader.live().count() == 2 * catalog.EVERY + 4
+    files = {"log/" + x.rsplit("/log/", 1)[1].rsplit("/", 1)[0] for x in reader.log().inputFiles()}
+    assert files == {catalog.folder_of("ann", 0, 1, 0, 2 * catalog.EVERY + 2), catalog.folder_of("ann", 0, 0, 2 * catalog.EVERY + 3, 2 * catalog.EVERY + 3)}
+    assert ann.gc() == 2 * catalog.EVERY + 3
+    late = Space(spark, root)
+    assert late.live().count() == 2 * catalog.EVERY + 4 and late.commits().count() == 2
+    # an unreadable manifest: the one before it, and what came after
+    last = sorted((tmp_path / "s" / "manifests" / "ann").glob("*.json"))[-1]
+    last.write_text("{")
+    assert Space(spark, root).live().count() == 2 * catalog.EVERY + 4
+
+
+def test_ids_are_indexed(spark, tmp_path):
+    """Files are in order of ids and have Bloom filters, and the search for one id is pushed down to them."""
+    import pyarrow.parquet as pq
+
+    ann = Space(spark, str(tmp_path / "s"), "ann", dim=4)
+    got = ann.remember_many([f"text {i}" for i in range(400)], embeddings=[[1.0, 0, 0, 0]] * 400)
+    for file in (tmp_path / "s" / "log").rglob("*.parquet"):
+        rows = pq.read_table(file, partitioning=None)["fid"].to_pylist()
+        assert rows == sorted(rows)
+    plan = ann._sought(ann.log(), "fid", {got[5]})._jdf.queryExecution().executedPlan().toString()
+    assert f"EqualTo(fid,{got[5]})" in plan and "PushedFilters" in plan
+    assert ann.get(got[5]).text == "text 5" and ann.resolve_id(got[9][:20]) == got[9]
+    prefix = ann.log().where(F.col("fid").startswith("ab"))._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(fid,ab)" in prefix
+
+
+def test_a_block_keeps_its_own_error(spark, tmp_path):
+    ann = Space(spark, str(tmp_path / "s"), "ann")
+    with pytest.raises(KeyError), ann.task("t") as lease:
+        lease.epoch = 99  # lost meanwhile
+        raise KeyError
+    with pytest.raises(Fenced), ann.task("u") as lease:
+        lease.epoch = 99
