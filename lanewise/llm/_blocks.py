@@ -25,6 +25,10 @@ from . import _text as T
 
 #: Bytes of text in a block: what one task holds at a time.
 BLOCK_BYTES = 4 << 20
+#: What a row counts besides its text, so that rows without text fill blocks too.
+ROW_BYTES = 64
+#: Tasks of an exchange at most: with more blocks than that a task has several, one after the other.
+PARTITIONS = 8192
 NULL_ID = np.iinfo(np.int64).max
 BLOCKS = "block int, payload binary"
 MAIL = "bucket int, block int, payload binary"
@@ -46,11 +50,16 @@ def loads(payload: bytes) -> pa.Table:
 
 
 def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    """Blocks of about block_bytes of text each."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    """Blocks of about block_bytes of text and rows each."""
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)) + ROW_BYTES * F.count("*")).first()[0]
     return max(1, -(-total // block_bytes))
 
 
+def dealt(rows: DataFrame, n: int, column: str) -> DataFrame:
+    """rows dealt by block or bucket, of which there are n."""
+    return rows.repartition(min(n, PARTITIONS), column)
+
+
 def heavy(docs: DataFrame, weigh: Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]], most: int, different: int | None = None) -> np.ndarray:
     """Upper halves of keys, in order, whose strings take more than `most` bytes in all documents, or more than
     `different` bytes if equal strings are counted once. weigh gives key, name and bytes of each string of some texts.
@@ -111,7 +120,8 @@ def packed(docs: DataFrame, n: int, whole: bool = False) -> DataFrame:
                 row = pa.RecordBatch.from_arrays([c.slice(lo, hi - lo) for c in batch.columns[1:]], names)
                 yield pa.RecordBatch.from_arrays([pa.array([own[lo]], pa.int32()), pa.array([dumps(row)], pa.binary())], ["block", "payload"])
 
-    return docs.select(block, F.col("doc_id").cast("long"), F.col("text").cast("string"), *(docs[c].alias(k) for k, c in rest.items())).mapInArrow(T.lean(pack), BLOCKS).repartition(n, "block")
+    rows = docs.select(block, F.col("doc_id").cast("long"), F.col("text").cast("string"), *(docs[c].alias(k) for k, c in rest.items())).mapInArrow(T.lean(pack), BLOCKS)
+    return dealt(rows, n, "block")
 
 
 def _whole(table: pa.Table) -> pa.Table:
@@ -250,7 +260,7 @@ def sent(blocks: DataFrame, n: int, send: Callable[[pa.Table], Iterator[tuple[in
         T.release()
         return out
 
-    return blocks.groupBy("block").applyInArrow(run, MAIL).repartition(n, "bucket")
+    return dealt(blocks.groupBy("block").applyInArrow(run, MAIL), n, "bucket")
 
 
 def answered(messages: DataFrame, n: int, solve: Callable[[list[tuple[int, pa.Buffer]]], Iterator[tuple[int, bytes]]]) -> DataFrame:
@@ -262,7 +272,7 @@ def answered(messages: DataFrame, n: int, solve: Callable[[list[tuple[int, pa.Bu
         T.release()
         return out
 
-    return messages.groupBy("bucket").applyInArrow(run, MAIL).select("block", "payload").repartition(n, "block")
+    return dealt(messages.groupBy("bucket").applyInArrow(run, MAIL).select("block", "payload"), n, "block")
 
 
 def settled(blocks: DataFrame, answers: DataFrame, apply: Callable[[pa.Table, list[tuple[int, pa.Buffer]]], pa.Table], schema: str | StructType) -> DataFrame:

@@ -246,10 +246,24 @@ def prefixes(classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(T.lean(run), "token long, cid long, label long, n long, left long")
 
 
+def _possible(prefix: DataFrame, percent: int) -> DataFrame:
+    """The rows of prefix that may be a pair's first shingle in common, by sizes and places.
+
+    Of two linked classes a and b, a the smaller or equal one, the sizes from that shingle on bound their overlap, so
+    (100 + percent) * least(left) >= percent * (n_a + n_b) >= 2 * percent * n_a. A row stays if it may be the smaller of a
+    pair at all, or if one of these has a size that makes it the larger of a pair; its shingle needs two labels.
+    """
+    small = F.expr(f"{100 + percent} * left >= {2 * percent} * n")
+    sizes = [F.min(F.when(small, F.col("n"))).alias("from"), F.max(F.when(small, F.col("n"))).alias("to")]
+    tokens = checkpointed(prefix.groupBy("token").agg(F.min("label").alias("one"), F.max("label").alias("other"), *sizes).where("one < other AND from IS NOT NULL").drop("one", "other"))
+    large = F.expr(f"greatest({percent * percent} * n, {100 * percent} * from) <= 100 * least({percent} * n, {100 + percent} * left - {percent} * n, {percent} * to)")
+    return checkpointed(prefix.join(tokens, "token").where(small | large).select(*prefix.columns))
+
+
 def rest(classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """cid, token, many (classes of the token): what must still meet so that no link between two labels is missed, with
     one token for all that have the same classes."""
-    prefix = prefixes(classes, labels, percent)
+    prefix = _possible(_possible(prefixes(classes, labels, percent), percent), percent)
     sizes = [F.count("*").alias("many"), F.min("label").alias("one"), F.max("label").alias("other"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64("cid", F.lit(1))).alias("y")]
     tokens = prefix.groupBy("token").agg(*sizes, F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("sum"), F.min("left").alias("left"))
     # of two classes alone, sizes and places tell whether they can link
@@ -320,7 +334,7 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         return B.restored(table, columns, keep=keep)
 
     blocks = B.packed(docs, n, whole=True)
-    return blocks.groupBy("block").cogroup(decided.repartition(n, "block").groupBy("block")).applyInArrow(apply, B.schema_of(docs))
+    return blocks.groupBy("block").cogroup(B.dealt(decided, n, "block").groupBy("block")).applyInArrow(apply, B.schema_of(docs))
 
 
 def _between(links: DataFrame, labels: DataFrame) -> DataFrame:

@@ -48,6 +48,19 @@ def test_any_number_of_blocks(spark, tmp_path, monkeypatch, name, blocks):
     assert rows(Q.QUERIES[name](spark, corpus.write(tmp_path, DOCS)), *columns) == sorted(plain(DOCS))
 
 
+@pytest.mark.parametrize("name", PLAIN)
+def test_tasks_with_several_blocks(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(B, "block_count", lambda docs: 40)
+    monkeypatch.setattr(B, "PARTITIONS", 3)
+    plain, columns = PLAIN[name]
+    assert rows(Q.QUERIES[name](spark, corpus.write(tmp_path, DOCS)), *columns) == sorted(plain(DOCS))
+
+
+def test_rows_without_text_fill_blocks(spark):
+    assert B.block_count(spark.range(1_000_000).selectExpr("id AS doc_id", "CAST(NULL AS STRING) AS text")) == 16
+    assert B.block_count(spark.range(0).selectExpr("id AS doc_id", "'' AS text")) == 1
+
+
 def twins(n: int) -> tuple[str, str]:
     """A word of n letters and another: the Thue-Morse word and its complement, which collide modulo 2**64 at any odd base."""
     bits = [k.bit_count() % 2 for k in range(n)]
