@@ -1,7 +1,8 @@
 """Text embeddings by signed hashing of character n-grams, and counts of n-grams, in Arrow batches.
 
 A slice of a batch is one array of code points. Its n-grams are packed into 64-bit numbers by the place of each code
-point among those that the slice has, so that equal ones are found by sorting and each different one is hashed once.
+point among those that the slice has, so that equal ones are found by a hash table of numbers and each different one is
+hashed once; a worker keeps the hashes of what it has met.
 """
 
 from __future__ import annotations
@@ -19,7 +20,10 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, S
 # Dimension and n-gram lengths.
 DIM, SHORTEST, LONGEST = 256, 3, 5
 #: Code points of a slice, and different ones that can be packed.
-SLICE, KINDS = 1 << 18, 1 << 12
+SLICE, KINDS = 1 << 20, 1 << 12
+#: Hashes that a worker keeps from slice to slice; of rarer n-grams they are made again.
+KEPT = 200_000
+_HASHES: dict[str, bytes] = {}
 
 
 def normal(text: str | None) -> str:
@@ -71,14 +75,25 @@ def embed(dim: int = DIM) -> Column:
     return run
 
 
+def _hash(gram: str) -> bytes:
+    found = _HASHES.get(gram)
+    if found is None:
+        found = hashlib.blake2b(gram.encode(), digest_size=8).digest()
+        if len(_HASHES) < KEPT:
+            _HASHES[gram] = found
+    return found
+
+
 def embedded(texts: list[str], dim: int) -> np.ndarray:
     """A row for each of some normalised texts."""
     out = np.zeros((len(texts), dim))
     whole = "".join(texts)
     for n in range(SHORTEST, LONGEST + 1):
         code, at, row = packed(texts, n)
-        _, first, of = np.unique(code, return_index=True, return_inverse=True)
-        hashes = np.frombuffer(b"".join(hashlib.blake2b(whole[i : i + n].encode(), digest_size=8).digest() for i in at[first].tolist()), "<u8")
+        of, different = pd.factorize(code)
+        first = np.empty(len(different), np.int64)
+        first[of[::-1]] = at[::-1]
+        hashes = np.frombuffer(b"".join(map(_hash, [whole[i : i + n] for i in first.tolist()])), "<u8")
         slot, sign = (hashes % np.uint64(dim)).astype(np.int64), np.where(hashes >> np.uint64(63), 1.0, -1.0)
         out += np.bincount(row * dim + slot[of], sign[of], len(texts) * dim).reshape(out.shape)
     length = np.linalg.norm(out, axis=1, keepdims=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lanewise.sources.files import checkpointed
@@ -57,8 +57,10 @@ def chains(objects: DataFrame, until: int | None = None) -> DataFrame:
     while True:
         steps = reached.join(jumps, [*LANE, "node"])
         before = F.col("before") + _entered("stop", "entry", "wide") + F.col("between")
-        new = checkpointed(steps.select(*LANE, F.col("to").alias("node"), F.col("at").alias("entry"), before.alias("before"), F.col("to_stop").alias("stop"), F.col("to_wide").alias("wide")))
-        if new.isEmpty():
+        count = Observation()
+        steps = steps.select(*LANE, F.col("to").alias("node"), F.col("at").alias("entry"), before.alias("before"), F.col("to_stop").alias("stop"), F.col("to_wide").alias("wide"))
+        new = checkpointed(steps.observe(count, F.count(F.lit(1)).alias("n")))
+        if not count.get["n"]:
             break
         reached = checkpointed(reached.unionByName(new))
         then = jumps.select(*LANE, F.col("node").alias("to"), *(F.col(c).alias(f"then_{c}") for c in ("to", "at", "to_stop", "to_wide", "between")))

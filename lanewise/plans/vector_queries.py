@@ -130,7 +130,7 @@ def packed_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation turn's embedding: its length (1, or 0 without an n-gram) and dimension."""
-    rows = C.table(spark, sf_dir, "conversations").select("conv_id", "turn", embed.embed()("text").alias("v"))
+    rows = C.spread(C.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", embed.embed()("text").alias("v"))
     return rows.select("conv_id", "turn", F.round(vectors.norm(F.col("v")), 6).alias("length"), F.size("v").alias("dim"))
 
 

@@ -19,6 +19,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterable
 from contextlib import contextmanager, suppress
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
@@ -115,9 +116,9 @@ class Space:
     def _read(self, objects: DataFrame) -> DataFrame:
         """The records of some objects as they are stored, by the paths of these alone; of other lanes' objects those
         that can be read."""
-        rows = self.spark.createDataFrame([], f"{RECORD}, {PLACE}")
+        parts = []
         chosen: dict[bool, list[str]] = {True: [], False: []}
-        for x in objects.select(*OBJECT).toLocalIterator():
+        for x in objects.select(*OBJECT).collect():  # names, as many as paths are read
             chosen[x.agent == self.agent].append(catalog.folder_of(*x))
         for mine, names in chosen.items():
             gone = set(self.files.missing(names))
@@ -126,8 +127,8 @@ class Space:
             paths = [f"{self.root}/{x}" for x in names if x not in gone]
             if paths:
                 lenient = {"ignoreCorruptFiles": str(not mine).lower(), "ignoreMissingFiles": str(not mine).lower()}
-                rows = rows.unionByName(self.spark.read.schema(f"{RECORD}, {PLACE}").options(basePath=f"{self.root}/log", **lenient).parquet(*paths))
-        return rows
+                parts.append(self.spark.read.schema(f"{RECORD}, {PLACE}").options(basePath=f"{self.root}/log", **lenient).parquet(*paths))
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], f"{RECORD}, {PLACE}")
 
     def _good(self) -> Column:
         return (F.col("op") != "put") | vectors.valid(F.col("payload"), self.dim)

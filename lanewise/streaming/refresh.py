@@ -18,6 +18,7 @@ from lanewise.sources.files import Files
 
 FOLD = 8
 
+
 def source(spark: SparkSession, folder: str, schema: StructType | str, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(folder)
@@ -29,38 +30,57 @@ def followed(log: DataFrame, checkpoint: str, apply: Callable[[DataFrame, int],
     return (query.trigger(availableNow=True) if once else query).start()
 
 
+def spans(n: int) -> list[tuple[int, int]]:
+    """The parts that hold n batches: as many of FOLD**k batches each as the digits of n say, largest first."""
+    out, at, size = [], 0, 1
+    while size * FOLD <= n:
+        size *= FOLD
+    while at < n:
+        while at + size > n:
+            size //= FOLD
+        out.append((at, at + size))
+        at += size
+    return out
+
+
+def _name(span: tuple[int, int]) -> str:
+    return f"{span[0]:012d}-{span[1]:012d}"
+
+
 def refreshed(spark: SparkSession, log: DataFrame, checkpoint: str, folder: str) -> int:
     """Adds what is new to the state saved under folder and returns how many rows were new.
 
-    A batch b writes the state of its own rows, d<b>; each FOLD-th writes that of all rows so far, f<b>, from the last
-    such one and what was added since. So a batch costs as much as it has rows, and the whole state is written anew once in FOLD.
-    A batch that is run again after a failure writes the same from the same: what the last whole state was made from
-    goes with the next one.
+    The state is held in parts of 1, FOLD, FOLD**2, ... batches. A batch writes one part: its own rows' states, together
+    with the parts that make a larger one with it. So a row is written anew as often as the number of batches has digits,
+    and a batch costs on average as much as its own rows times that, however large the state is. Which parts a batch takes follows
+    from its number, so one that is run again after a failure writes the same from the same: parts that were taken go with
+    the next batch.
     """
     seen, files = 0, Files(spark, folder)
 
     def fold(rows: DataFrame, batch: int) -> None:
         nonlocal seen
+        before, part = spans(batch), spans(batch + 1)[-1]
+        kept = {_name(x) for x in before}
+        for x in files.names(""):
+            if x not in kept:
+                files.delete(x)
         count = Observation()
-        states, whole = merge.partial(rows.observe(count, F.count(F.lit(1)).alias("n"))), batch % FOLD == FOLD - 1
-        if whole and (parts := _parts(files, batch)):
-            states = merge.combined(states.unionByName(spark.read.parquet(*(f"{folder}/{x}" for x in parts))))
-        states.write.mode("overwrite").parquet(f"{folder}/{'f' if whole else 'd'}{batch}")
+        states = merge.partial(rows.observe(count, F.count(F.lit(1)).alias("n")))
+        if taken := [f"{folder}/{_name(x)}" for x in before if x[0] >= part[0]]:
+            states = merge.combined(states.unionByName(spark.read.parquet(*taken)))
+        states.write.mode("overwrite").parquet(f"{folder}/{_name(part)}")
         seen += count.get["n"]
-        if whole:
-            for x in files.names(""):
-                if int(x[1:]) < batch - FOLD:
-                    files.delete(x)
 
     log.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return seen
 
 
-def _parts(files: Files, before: int | None = None) -> list[str]:
-    """The last whole state and what was added since, perhaps before a batch."""
-    names = [x for x in files.names("") if before is None or int(x[1:]) < before]
-    last = max((int(x[1:]) for x in names if x[0] == "f"), default=-1)
-    return [x for x in names if int(x[1:]) > last or x == f"f{last}"]
+def _parts(files: Files) -> list[str]:
+    """The parts of the last batch that is whole."""
+    names = set(files.names(""))
+    done = [n for n in {int(x.split("-")[1]) for x in names} if all(_name(x) in names and files.any(f"{_name(x)}/_SUCCESS") for x in spans(n))]
+    return [_name(x) for x in spans(max(done, default=0))]
 
 
 def saved(spark: SparkSession, folder: str) -> DataFrame:
