@@ -70,6 +70,14 @@ def chains(objects: DataFrame, until: int | None = None) -> DataFrame:
     return chosen.select(*LANE, "lo", "hi", (F.col("before") + F.col("lo") - F.col("entry")).alias("n"), "level")
 
 
+def lost(objects: DataFrame) -> DataFrame:
+    """agent, epoch, gap, beyond: where a chain ends though its lane goes on, and how many objects lie beyond."""
+    ends = objects.groupBy(*LANE).agg(F.max("hi").alias("last"))
+    reached = chains(objects).groupBy(*LANE).agg((F.max("hi") + 1).alias("gap"))
+    broken = ends.join(reached, LANE, "left").select(*LANE, "last", F.coalesce("gap", F.lit(0)).alias("gap")).where("last >= gap").drop("last")
+    return objects.join(broken, LANE).where("lo > gap").groupBy(*LANE, "gap").agg(F.count("*").alias("beyond"))
+
+
 def islands(objects: DataFrame) -> DataFrame:
     """agent, epoch, lo, hi of the maximal stretches that single objects fill."""
     order = Window.partitionBy(*LANE).orderBy("lo")

@@ -249,6 +249,11 @@ SELECT fid, min(r) AS revision FROM tried WHERE NOT EXISTS (SELECT 1 FROM gone g
         lambda s, d: chain.covered(C.lane_objects(s, d)),
         f"""{OBJECTS}, islands AS (SELECT agent, epoch, min(lo) AS a, max(hi) AS b FROM (SELECT *, lo - row_number() OVER (PARTITION BY agent, epoch ORDER BY lo) AS i FROM lane_objects WHERE level = 0) GROUP BY agent, epoch, i)
 SELECT w.agent, w.epoch, w.lo, w.hi, EXISTS (SELECT 1 FROM islands i WHERE i.agent = w.agent AND i.epoch = w.epoch AND i.a <= w.lo AND i.b >= w.hi) AS covered FROM lane_objects w WHERE level = 1""",
+    ),
+    "lost_object": (
+        lambda s, d: chain.lost(C.lane_objects(s, d)),
+        f"""{_recursive("true").replace("SELECT agent, epoch, lo, hi, n FROM walked", "")}, ends AS (SELECT o.agent, o.epoch, coalesce(max(w.hi) + 1, 0) AS gap FROM lane_objects o LEFT JOIN walked w ON w.agent = o.agent AND w.epoch = o.epoch GROUP BY o.agent, o.epoch)
+SELECT o.agent, o.epoch, gap, count(*) AS beyond FROM lane_objects o JOIN ends e ON e.agent = o.agent AND e.epoch = o.epoch WHERE o.lo > gap GROUP BY o.agent, o.epoch, gap""",
     ),
     "restore_lane": (restore_lane, f"SELECT * FROM ({_recursive(f"agent = '{ME}'")}) WHERE epoch = (SELECT max(day(ts)) FROM (SELECT ts FROM (SELECT ts, event_id, row_number() OVER (PARTITION BY day(ts) ORDER BY ts, event_id) AS r FROM events WHERE user_id % 8 = 0) WHERE (r = 1 AND event_id % 97 <> 0) OR (r = 8 AND day(ts) % 3 = 0)))"),
     "refresh_delta": (refresh_delta, f"{_recursive('true').replace('SELECT agent, epoch, lo, hi, n FROM walked', '')} SELECT agent, epoch, lo, hi FROM walked WHERE (agent, epoch) IN (SELECT (agent, max(epoch)) FROM lane_objects WHERE lo = 0 GROUP BY agent) AND hi > {UNTIL}"),
