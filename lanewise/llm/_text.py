@@ -1,9 +1,9 @@
 """Whole-batch text kernels: words, rolling hashes and sliding minima over Arrow's UTF-8 buffers.
 
 Every function takes the concatenated bytes of some rows and the row offsets, so that one numpy call covers
-thousands of documents. A stretch's hash is two polynomials modulo the prime 2**31 - 1, at points drawn at random, so
-that no construction of words collides (as there is for every odd base modulo 2**64), finished with an avalanche step.
-Where rows are decided, bytes are compared besides.
+thousands of documents. A stretch's hash is two polynomials modulo the prime 2**31 - 1, at fixed points, finished with an
+avalanche step: the words that collide for every odd base modulo 2**64 don't here, but texts made against these very
+points could. Where rows are decided, bytes are compared besides.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ U64 = np.uint64
 WORD_BASE = U64(0xD1342543DE82EF95)
 GRAM_BASE = 0x9E3779B97F4A7C15
 P = U64((1 << 31) - 1)
-#: Points of the polynomials, two for each of two independent hashes; drawn once.
+#: Points of the polynomials, two for each of two hashes.
 POINTS = ((1186044283, 783652847), (2012744317, 1467125701))
 PIECE = 1 << 20
 
