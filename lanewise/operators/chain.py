@@ -62,7 +62,7 @@ def chains(objects: DataFrame, until: int | None = None) -> DataFrame:
         new = checkpointed(steps.observe(count, F.count(F.lit(1)).alias("n")))
         if not count.get["n"]:
             break
-        reached = checkpointed(reached.unionByName(new))
+        reached = reached.unionByName(new)  # of as many parts as rounds
         then = jumps.select(*LANE, F.col("node").alias("to"), *(F.col(c).alias(f"then_{c}") for c in ("to", "at", "to_stop", "to_wide", "between")))
         between = F.col("between") + _entered("to_stop", "at", "to_wide") + F.col("then_between")
         jumps = checkpointed(jumps.join(then, [*LANE, "to"]).select(*LANE, "node", F.col("then_to").alias("to"), F.col("then_at").alias("at"), F.col("then_to_stop").alias("to_stop"), F.col("then_to_wide").alias("to_wide"), between.alias("between")))

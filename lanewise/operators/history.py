@@ -25,25 +25,26 @@ def head(commits: DataFrame) -> DataFrame:
 def back(commits: DataFrame, n: int) -> DataFrame:
     """The positions n commits before the head; of an empty rest, of the first commit.
 
-    Commits are counted by second, once; the second that the n-th newest falls in is found through sums over ever finer
-    spans of these counts, and only its own commits are put in order.
+    Commits are counted by second; the second that the n-th newest falls in is found through sums over ever finer spans of
+    these counts, and only its own commits are put in order.
     """
-    second = F.date_trunc("second", _time(commits))
-    counts = checkpointed(commits.groupBy(second.alias("second")).agg(F.count("*").alias("many")))
+    rows = checkpointed(commits.select(*ORDER).withColumn("second", F.date_trunc("second", _time(commits))))
+    counts = checkpointed(rows.groupBy("second").agg(F.count("*").alias("many")))
     total = counts.agg(F.sum("many")).first()[0] or 0
     left, span = min(n, max(total - 1, 0)), F.lit(True)
     if not left:
-        return head(commits)
-    for unit in ("year", "day", "hour", "second"):  # at most some hundreds or thousands of each in one of those before
+        return head(rows)
+    for unit in ("day", "hour", "second"):  # as many rows as there are days, and then 24 and 3,600 at most
         inside = counts.where(span).groupBy(F.date_trunc(unit, "second").alias("at")).agg(F.sum("many").alias("many")).orderBy(F.desc("at"))
-        for at, many in inside.toLocalIterator():
+        for at, many in inside.collect():
             if many >= left:
                 break
             left -= many
         span = F.date_trunc(unit, "second") == F.lit(at)
-    newest = commits.where(second == F.lit(at)).orderBy(*[F.desc(c) for c in ORDER]).limit(left).select("agent", "epoch", "seq")
-    rest = commits.where(second < F.lit(at)).select(*ORDER).unionByName(commits.where(second == F.lit(at)).join(newest, ["agent", "epoch", "seq"], "left_anti").select(*ORDER))
-    return head(rest)
+    # the oldest of the commits that are left out
+    newest = rows.where(F.col("second") == F.lit(at)).orderBy(*[F.desc(c) for c in ORDER]).limit(left)
+    edge, kinds = newest.orderBy(*ORDER).first(), dict(rows.dtypes)
+    return head(rows.where(F.struct(*ORDER) < F.struct(*(F.lit(edge[c]).cast(kinds[c]).alias(c) for c in ORDER))))
 
 
 def _time(commits: DataFrame) -> Column:
