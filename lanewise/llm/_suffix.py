@@ -5,7 +5,7 @@ L suffixes in one sweep over the buckets upwards and these all S suffixes in one
 handles what the round before has put there (runs of one character). LMS substrings are sorted by the same sweeps,
 named, and the string of names is sorted recursively until all names differ. A sweep costs a few numpy calls for each
 character, so names of too many kinds are written as two digits each, which keeps their order and leaves an alphabet of the
-root of their number.
+root of their number. Suffixes that their own name decides aren't sorted again.
 
 Common prefixes of neighbours are computed in the order of the text: where a suffix and its neighbour follow equal
 characters, theirs is one less than that of the suffix before; only the others are compared.
@@ -21,6 +21,8 @@ from . import _text as T
 FEW = 12
 #: An alphabet may have a character for so many places of the string, and MOST in any string.
 SPARSE, MOST = 256, 16
+#: Names are written as digits if at most this share of them are leftmost S then; others have many characters for once.
+SHORTER = 0.9
 #: Characters of a common prefix that are compared for all suffixes together; longer ones follow one by one.
 TOGETHER = 512
 
@@ -100,14 +102,34 @@ def _leftmost(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _names_sorted(name: np.ndarray) -> np.ndarray:
-    """The suffixes of a string of names in order; its last name is 0, which is nowhere else."""
+    """The suffixes of a string of names in order; its last name is 0, which is nowhere else.
+
+    A name that stands once decides its suffix's place. Of neighbouring ones only the first is still needed, to end the
+    comparisons of the suffixes before it, so the others aren't sorted."""
+    count = np.bincount(name)
+    once = count[name] == 1
+    stays = ~once
+    stays[1:] |= ~once[:-1]
+    stays[-1] = True
+    left = np.flatnonzero(stays)
+    there = np.zeros(len(count), bool)
+    there[name[left]] = True
+    order = left[_sorted((np.cumsum(there) - 1)[name[left]])]
+    out, free = np.empty(len(name), np.int64), np.ones(len(name), bool)
+    own = (np.cumsum(count) - count)[name[once]]
+    out[own], free[own] = np.flatnonzero(once), False
+    out[free] = order[~once[order]]
+    return out
+
+
+def _sorted(name: np.ndarray) -> np.ndarray:
     many = int(name.max()) + 1
     if many <= max(MOST, len(name) // SPARSE):
         return suffix_array(name)
     base = int(np.ceil(np.sqrt(many)))
     digits = np.zeros(2 * len(name) + 1, np.int64)
     digits[:-1:2], digits[1::2] = name // base + 1, name % base + 1
-    if len(_leftmost(digits)[1]) > 0.75 * len(name):  # digits that would hardly shorten the string
+    if len(_leftmost(digits)[1]) > SHORTER * len(name):
         return suffix_array(name)
     order = suffix_array(digits)
     return order[(order % 2 == 0) & (order < 2 * len(name))] // 2
