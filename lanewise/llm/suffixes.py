@@ -103,7 +103,11 @@ def _part(raw: np.ndarray, offs: np.ndarray, lo: int, hi: int, length: int, gram
     # a run in which the minimiser stands twice may repeat a stretch within itself
     inner = np.zeros(len(at), bool)
     if len(at):
-        spot = np.flatnonzero(hashes <= low.max())
+        # only a gram that is the least of some stretch's can be one: the greatest minimiser of all stretches around it
+        width = length - gram + 1
+        around = np.zeros(len(lows) + 2 * (width - 1), T.U64)
+        around[width - 1 : width - 1 + len(lows)] = lows
+        spot = np.flatnonzero(hashes == ~T.sliding_min(~around, width))
         keys, name = np.unique(hashes[spot], return_inverse=True)
         spots = np.sort(name * len(raw) + spot)
         own = np.searchsorted(keys, low) * len(raw)

@@ -7,6 +7,8 @@ import pyarrow.parquet as pq
 import pytest
 
 from lanewise.llm import _suffix as S
+from lanewise.llm import _text as T
+from lanewise.llm import suffixes
 
 
 def plain(t: list[int]) -> list[int]:
@@ -47,3 +49,33 @@ def test_real_text():
     order = S.suffix_array(np.append(raw.astype(np.int64) + 2, 0))[1:].tolist()
     whole = raw.tobytes()
     assert sorted(order) == list(range(len(raw))) and all(whole[a : a + 5000] <= whole[b : b + 5000] for a, b in zip(order, order[1:]))
+
+
+@pytest.mark.parametrize("shorter", [0.0, 0.9])
+@pytest.mark.parametrize("kinds", [2, 9, 60, 400, 5000])
+def test_names_that_decide_their_suffixes(monkeypatch, kinds, shorter):
+    """Strings of names in which some, few or nearly all stand once, also at the start and before the end."""
+    monkeypatch.setattr(S, "SHORTER", shorter)
+    rng = np.random.default_rng(kinds)
+    for n in (1, 2, 5, 50, 600):
+        for _ in range(5):
+            drawn = rng.integers(0, kinds, n)
+            if n > 20:
+                drawn[n // 2 : n // 2 + n // 4] = drawn[: n // 4]  # a repeated stretch
+            name = np.append(np.unique(drawn, return_inverse=True)[1] + 1, 0)
+            assert S._names_sorted(name).tolist() == plain(name.tolist())
+
+
+@pytest.mark.parametrize("kinds", [1, 2, 26])
+def test_runs_whose_minimiser_stands_twice(kinds):
+    rng = np.random.default_rng(kinds)
+    length, gram = 12, 4
+    rows = [bytes(rng.integers(97, 97 + kinds, n).astype(np.uint8)) for n in (0, 5, 11, 12, 13, 40, 300)]
+    rows += [rows[-1][:20] * 4, b"x" * 60 + rows[-1][:30]]
+    raw, offs = np.frombuffer(b"".join(rows), np.uint8), np.append(0, np.cumsum([len(r) for r in rows]))
+    start, size, low, inner = suffixes._part(raw, offs, 0, len(rows), length, gram)
+    hashes = T.byte_grams(raw, gram)
+    assert inner.any() and sum(size) == sum(max(0, len(r) - length + 1) for r in rows)
+    for a, n, least, twice in zip(start, size, low, inner):
+        own = hashes[a : a + n + length - gram]
+        assert own.min() == least and twice == ((own == least).sum() > 1)
